@@ -78,7 +78,7 @@ found AS (
 
 _P4 = """
 WITH e AS (SELECT DISTINCT user_id, ts, event_id FROM ui_events WHERE trim(coalesce(user_id, '')) <> '' AND ts IS NOT NULL),
-f AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= 1800000 THEN 0 ELSE 1 END AS starts FROM e),
+f AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 1800000 THEN 0 ELSE 1 END AS starts FROM e),
 s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM f)
 """
 
