@@ -210,7 +210,8 @@ def measure(text: str | None, formula: Formula, marks: _Marks) -> tuple:
         return (0, None, None, None, None, None, None)
     length = total / len(shares)
     own = formula.base + formula.per_word * length
-    hard = sum(s > DEMANDING_SHARE for s in shares) / len(shares)
+    clear = [s for s in shares if s != DEMANDING_SHARE]
+    hard = sum(s > DEMANDING_SHARE for s in clear) / max(1, len(clear))
     score = own + formula.per_share * sum(shares) / len(shares)
     low, high = (1, DEMANDING - 1) if hard <= 0.5 else (DEMANDING, 5)
     return (len(shares), length, sum(shares) / len(shares), hard, score, int(min(high, max(low, round(score)))), hard > 0.5)
@@ -220,7 +221,7 @@ def reading_level(documents: DataFrame, formula: Formula, key: str = "doc_id", t
     """key, n_sentences, words_per_sentence, unfamiliar_share, demanding_share, score, level, demanding; one row per document.
 
     score is the formula over the document; demanding_share is the share of its sentences in which
-    unfamiliar words outnumber familiar ones; demanding says whether that is the bulk of them, and
+    unfamiliar words outnumber familiar ones, sentences with as many of either left aside; demanding says whether that is the bulk of them, and
     level is the score's grade on that side of the scale.  Sentence length counts in the score only:
     chains of everyday clauses are long, and the notes of calculations short.  Null, empty
     and blank texts and texts without sentences have n_sentences 0 and null elsewhere.  Texts are
