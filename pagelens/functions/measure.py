@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Dimensions between which a mismatch is a conflict; critical value of the interval; millimetres of a point.
 CONFLICTING = ("power", "pressure", "flow", "ratio")
@@ -108,7 +109,7 @@ def polygon_iou(a: list[tuple[float, float]], b: list[tuple[float, float]]) -> f
     return shared / (area(a) + area(b) - shared)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def polygons_iou(a: pd.Series, b: pd.Series) -> pd.Series:
     """MTH-10 over columns of array<struct<x, y>>."""
     points = lambda s: [(p["x"], p["y"]) for p in s] if s is not None else []
@@ -140,7 +141,7 @@ def width_mm(gap: Column, scale: Column) -> Column:
 
 def widest_pair(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """MTH-13: of each group the pair with the longest span, then the narrower one."""
-    return pairs.groupBy(*keys).agg(F.max_by(F.struct("ix_a", "ix_b", "gap", "span"), F.struct(F.col("span"), -F.col("gap"), -F.col("ix_a"))).alias("pair")).select(*keys, "pair.*")
+    return pairs.groupBy(*keys).agg(F.max_by(F.struct("ix_a", "ix_b", "gap", "span"), F.struct(F.col("span"), -F.col("gap"), -F.col("ix_a"), -F.col("ix_b"))).alias("pair")).select(*keys, "pair.*")
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Letters of one shape in the two alphabets, for ciphers and for labels.
 FOLD_LATIN = ("АВЕКМНОРСТУХ", "ABEKMHOPCTYX")
@@ -18,7 +19,7 @@ NUMBER = "(?<![0-9])(\\d+(?:[   ]\\d{3})*(?:[.,]\\d+)?)(?![0-9])"
 STANDARD = r"(?iu)(?:сп|снип|гост)\s*(?:р\s*)?(\d+(?:[.\-]\d+)*)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Composed form; Spark has no built-in for it.  Text already composed is best left out of this."""
     return s.str.normalize("NFC")
@@ -181,7 +182,7 @@ def canonical_digest(**fields: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)])), 256)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def token_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """TXT-18: edit distance in words.  For characters use F.levenshtein."""
 

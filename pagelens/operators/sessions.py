@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelens.session import nonblank
+
 GAP_MS = 1_800_000
 CHUNK_MS = 21_600_000
 
@@ -24,7 +26,7 @@ def sessionize(events: DataFrame, user: str = "user_id", ts: str = "ts", event_i
     session.  An empty table gives no rows; other columns are ignored.
     """
     e = events.select(F.col(user).alias("user_id"), F.col(ts).cast("bigint").alias("ts"), F.col(event_id).alias("event_id"))
-    e = e.where(F.col("user_id").isNotNull() & (F.length(F.trim("user_id")) > 0) & F.col("ts").isNotNull())
+    e = e.where(nonblank(F.col("user_id")).isNotNull() & F.col("ts").isNotNull())
     e = e.withColumn("chunk", F.expr(f"ts div {chunk_ms}")).repartition("user_id", "chunk")
     inside = Window.partitionBy("user_id", "chunk").orderBy("ts", "event_id")
     before, same = F.lag("ts").over(inside), F.lag("event_id").over(inside)

@@ -201,7 +201,9 @@ def amounts(rows: DataFrame, key: str, code: str, values: list[str], params: Dat
     declared = declared_units(params)
     rows = rows.select(F.col(key).alias("key"), F.col(code).alias("code"), *(F.col(v).alias(f"v{i}") for i, v in enumerate(values))).join(small(declared.select("code", F.col("unit").alias("own"))), "code")
     long = rows.select("key", "code", "own", F.explode(F.array(*(F.struct(F.lit(v).alias("field"), F.col(f"v{i}").cast("string").alias("value")) for i, v in enumerate(values)))).alias("x")).select("key", "code", "own", "x.field", "x.value")
-    long = long.withColumn("stated", stated(F.col("value"))).select("key", "code", "own", "field", "value", "stated.number", F.when(F.col("stated.number").isNotNull(), F.col("stated.unit")).alias("unit"))
+    # the generator keeps the optimizer from repeating the parse for every use of its result
+    nothing = F.struct(F.lit(None).cast("double").alias("number"), F.lit(None).cast("string").alias("unit"))
+    long = long.select("key", "code", "own", "field", "value", F.inline(F.array(F.coalesce(stated(F.col("value")), nothing)))).withColumn("unit", F.when(F.col("number").isNotNull(), F.col("unit")))
     aliases = alias_dictionary(long.select("unit").distinct().unionByName(declared.select("unit")).distinct(), units)
     aliases = cut_lineage(aliases)
     of = units.select("canon", "dimension", "si_factor").dropDuplicates(["canon"])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagelens.plans import problems
+from pagelens.plans import problems, quality, records, texts
 
-MODULES = (problems,)
+MODULES = (problems, texts, records, quality)
 
 
 def queries() -> dict:

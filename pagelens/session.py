@@ -76,8 +76,8 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def nonblank(col) -> F.Column:
-    """The value, or null where it is empty or only blanks."""
-    return F.when(F.length(F.trim(col)) > 0, col)
+    """The value, or null where it is empty or only blanks of any kind."""
+    return F.when(col.rlike(r"(?U)\S"), col)
 
 
 def skew_join(left: DataFrame, right: DataFrame, key: str, spread: str, weight: str, hot_rows: int = 100_000, salts: int = 16, most: int = 1000) -> DataFrame:
