@@ -45,6 +45,7 @@ SPELLINGS: dict[str, tuple[str, ...]] = {
     "т": ("т", "t", "тн", "тонн", "tonnes"),
 }
 #: Words before a number that only points somewhere.
+POINTER_STEMS = ("лист", "л.", "пом", "ос", "стр", "этаж", "узел", "разрез", "секци", "прим", "№")
 POINTERS = r"лист\w*|л\.|пом\w*|осях|оси|ось|стр\w*|этаж\w*|узел|разрез\w*|секци\w*|прим\w*|№"
 
 GRAMS = 2
@@ -54,14 +55,18 @@ MARK, ENDING, LETTER, DIGIT = 0.1, 0.25, 1.0, 3.0
 SHARE, NEAR, FAR = 0.12, 0.35, 1.5
 
 
+def _one_table() -> dict[str, str]:
+    """Each character that needs it and what it becomes, in one step; '' for removed ones."""
+    shapes = dict(zip(LATIN_GREEK + "ëË²³", CYRILLIC + "ёЁ23"))
+    table = dict.fromkeys(INVISIBLE, "") | dict.fromkeys(SPACES, " ") | dict.fromkeys(HYPHENS, "-") | shapes
+    return table | {chr(c): shapes.get(chr(c - 0xFEE0), chr(c - 0xFEE0)) for c in range(0xFF01, 0xFF5F)}
+
+
 def clean(col) -> F.Column:
     """Text without ink-less characters, with plain blanks, hyphens, digits and width, raised digits on the line, look-alikes Cyrillic."""
-    col = F.coalesce(col.cast("string"), F.lit(None).cast("string"))
-    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
-    narrow = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
-    col = F.translate(col, wide + SPACES + HYPHENS + "²³" + INVISIBLE, narrow + " " * len(SPACES) + "-" * len(HYPHENS) + "23")
-    col = F.translate(col, LATIN_GREEK + "ëË", CYRILLIC + "ёЁ")
-    return F.regexp_replace(F.regexp_replace(col, "([еЕ])̈", "ё"), "([иИ])̆", "й")
+    table = sorted(_one_table().items(), key=lambda x: x[1] == "")  # those without a counterpart are removed
+    col = F.translate(col.cast("string"), "".join(k for k, _ in table), "".join(v for _, v in table))
+    return F.when(F.contains(col, F.lit("\u0308")) | F.contains(col, F.lit("\u0306")), F.replace(F.replace(F.replace(F.replace(col, F.lit("е\u0308"), F.lit("ё")), F.lit("Е\u0308"), F.lit("Ё")), F.lit("и\u0306"), F.lit("й")), F.lit("И\u0306"), F.lit("Й"))).otherwise(col)
 
 
 def spelling(col) -> F.Column:
@@ -70,7 +75,7 @@ def spelling(col) -> F.Column:
     return F.regexp_replace(F.regexp_replace(col, r"^[\s.,;:=]+|[\s.,;:]+$", ""), r"\.(?=\S)", ". ")
 
 
-NUMBER = r"(?<![\wа-яёА-ЯЁ.,/])-?(?:\d{1,3}(?: \d{3})+(?:[.,]\d+)*(?!\d)|\d+(?:[.,]\d+)*)"
+NUMBER = r"(?=[-\d])(?<![\wа-яёА-ЯЁ.,/])-?(?:\d{1,3}(?: \d{3})+(?:[.,]\d+)*(?!\d)|\d+(?:[.,]\d+)*)"
 
 
 def bind(value, then) -> F.Column:
@@ -108,11 +113,21 @@ def stated(value) -> F.Column:
     in a field of its own of a JSON object.  Where a text has both points and commas the last one
     is the decimal sign; a single one is; several of one kind part thousands, as blanks do.
     """
-    t = clean(value)
-    t = F.regexp_replace(t, r'^\s*\{[^:]*:\s*"?([^"]*?)"?\s*,\s*"[^"]*"\s*:\s*"([^"]*)"\s*\}\s*$', "$1 $2")
-    t = F.regexp_replace(t, rf"(?iu)\([^()]*(?:{POINTERS})[^()]*\)", " ")
-    t = F.regexp_replace(t, r"(?iu)(?<![а-яё])в\s+осях\s+\S+\s+составляет", " ")
-    t = F.regexp_replace(t, rf"(?iu)(?<![а-яёa-z])(?:см\.\s*)?(?:{POINTERS})\.?\s*№?\s*\d+(?:\s*-\s*\d+)?\s*:?", " ")
+    pointing = rf"(?<![а-яё])(?:см\.\s*)?(?:{POINTERS})\.?\s*№?\s*\d+(?:\s*-\s*\d+)?\s*:?"
+    json = r'^\s*\{[^:]*:\s*"?([^"]*?)"?\s*,\s*"[^"]*"\s*:\s*"([^"]*)"\s*\}\s*$'
+
+    def has(text, *words):
+        out = F.contains(text, F.lit(words[0]))
+        for w in words[1:]:
+            out = out | F.contains(text, F.lit(w))
+        return out
+
+    def without_pointers(text):
+        text = F.regexp_replace(F.regexp_replace(text, rf"\([^()]*(?:{POINTERS})[^()]*\)", " "), r"(?<![а-яё])в\s+осях\s+\S+\s+составляет", " ")
+        return F.regexp_replace(text, pointing, " ")
+
+    t = bind(F.lower(clean(value)), lambda x: F.when(has(x, "{"), F.regexp_replace(x, json, "$1 $2")).otherwise(x))
+    t = bind(t, lambda x: F.when(has(x, *POINTER_STEMS), without_pointers(x)).otherwise(x))
 
     def parts(text):
         return F.struct(F.regexp_extract(text, f"({NUMBER})", 1).alias("raw"), F.regexp_instr(text, F.lit(NUMBER)).alias("at"), text.alias("text"))
@@ -203,7 +218,8 @@ def amounts(rows: DataFrame, key: str, code: str, values: list[str], params: Dat
     long = rows.select("key", "code", "own", F.explode(F.array(*(F.struct(F.lit(v).alias("field"), F.col(f"v{i}").cast("string").alias("value")) for i, v in enumerate(values)))).alias("x")).select("key", "code", "own", "x.field", "x.value")
     # the generator keeps the optimizer from repeating the parse for every use of its result
     nothing = F.struct(F.lit(None).cast("double").alias("number"), F.lit(None).cast("string").alias("unit"))
-    long = long.select("key", "code", "own", "field", "value", F.inline(F.array(F.coalesce(stated(F.col("value")), nothing)))).withColumn("unit", F.when(F.col("number").isNotNull(), F.col("unit")))
+    long = long.select("key", "code", "own", "field", F.inline(F.array(F.coalesce(stated(F.col("value")), nothing)))).withColumn("unit", F.when(F.col("number").isNotNull(), F.col("unit")))
+    long = cut_lineage(long)
     aliases = alias_dictionary(long.select("unit").distinct().unionByName(declared.select("unit")).distinct(), units)
     aliases = cut_lineage(aliases)
     of = units.select("canon", "dimension", "si_factor").dropDuplicates(["canon"])
@@ -213,7 +229,7 @@ def amounts(rows: DataFrame, key: str, code: str, values: list[str], params: Dat
     bare = F.col("unit") == ""
     canon, dimension, factor = (F.when(bare, F.col(p)).otherwise(F.col(c)) for p, c in (("param_unit", "canon"), ("param_dimension", "dimension"), ("param_factor", "si_factor")))
     si = F.col("number") * factor
-    return long.select("key", "code", "field", "value", "number", canon.alias("canon"), dimension.alias("dimension"), si.alias("amount_si"), F.when(dimension == F.col("param_dimension"), si / F.col("param_factor")).alias("amount"), "param_unit")
+    return long.select("key", "code", "field", "number", canon.alias("canon"), dimension.alias("dimension"), si.alias("amount_si"), F.when(dimension == F.col("param_dimension"), si / F.col("param_factor")).alias("amount"), "param_unit")
 
 
 def same_amount_other_unit(amounts_: DataFrame, a: str, b: str, within: float = 0.005) -> DataFrame:
