@@ -77,7 +77,7 @@ def number_steps(col: Column, steps: Column, unit: Column) -> Column:
     col = F.when(F.array_contains(steps, "strip_unit") & unit.isNotNull() & F.endswith(F.trim(col), unit), F.left(F.trim(col), F.length(F.trim(col)) - F.length(unit))).otherwise(col)
     col = F.regexp_replace(col, f"[\\s{BLANKS}]+", "")
     sides = F.split(F.translate(col, "хx*", "×××"), "×")
-    product = F.when(F.array_contains(steps, "multiply_dimensions") & (F.size(sides) == 2), (sides[0].try_cast("double") * sides[1].try_cast("double")).cast("string"))
+    product = F.when(F.array_contains(steps, "multiply_dimensions") & (F.size(sides) == 2), (F.get(sides, F.lit(0)).try_cast("double") * F.get(sides, F.lit(1)).try_cast("double")).cast("string"))
     col = F.coalesce(product, F.when(F.array_contains(steps, "decimal_comma"), localize_decimal(col)).otherwise(col))
     return F.when(F.array_contains(steps, "upper"), F.upper(col)).otherwise(col)
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pagelens.functions.measure import box_iou, jaccard
 from pagelens.functions.text import NUMBER, fold_label, parse_number, system_marks
 
+#: A number that is no part of a word or a unit.
+FIGURE = "(?<![A-Za-zА-Яа-яЁё])" + NUMBER
 PLACE = ["file_id", "page"]
 #: Words of the longest anchor, and after an anchor that may hold its value.
 ANCHOR_WORDS, AFTER_WORDS = 8, 12
@@ -48,7 +50,7 @@ def anchor_spans(tokens: DataFrame, rules: DataFrame) -> DataFrame:
     wide = with_following(tokens, ANCHOR_WORDS + AFTER_WORDS).withColumn("first", fold_label(F.col("text")))
     j = wide.join(F.broadcast(anchors), "first").where(F.col("n") <= ANCHOR_WORDS)
     said = F.array_join(F.transform(F.slice("next", F.lit(1), F.col("n")), lambda t: fold_label(t["text"])), " ")
-    j = j.where(said == F.col("anchor")).withColumn("end", F.element_at("next", F.col("n"))["ix"])
+    j = j.where(said == F.col("anchor")).withColumn("end", F.try_element_at("next", F.col("n"))["ix"])
     return j.groupBy("code", *PLACE, F.col("ix").alias("start")).agg(F.min_by(F.struct("end", "y0", "y1", F.slice("next", F.col("n") + 1, F.lit(AFTER_WORDS)).alias("after")), "n").alias("r")).select("code", *PLACE, "start", "r.*")
 
 
@@ -69,10 +71,10 @@ def extract_numbers(tokens: DataFrame, rules: DataFrame) -> DataFrame:
     row = same_row(F.col("after"), F.col("y0"), F.col("y1"))
     text = F.array_join(F.transform(row, lambda t: t["text"]), " ")
     s = spans.withColumn("on_row", F.size(F.filter("after", lambda t: (t["y0"] < F.col("y1")) & (F.col("y0") < t["y1"]))) > 0).withColumn("text", text)
-    plain = F.regexp_extract_all(F.regexp_replace("text", r"\([^)]*\)", " "), F.lit(NUMBER), 1)
-    s = s.withColumn("plain", plain).withColumn("note", F.size("plain") == 0).withColumn("reads", F.when(F.size("plain") > 0, F.col("plain")).otherwise(F.regexp_extract_all("text", F.lit(NUMBER), 1))).where(F.size("reads") > 0)
-    s = s.withColumn("value", parse_number(F.col("reads")[0])).withColumn("last_value", parse_number(F.element_at("reads", -1))).where("value is not null")
-    rank = F.struct(~F.col("on_row"), F.col("note"), F.col("value") == 0, F.instr(F.col("text"), F.col("reads")[0]), "page", "start")
+    plain = F.regexp_extract_all(F.regexp_replace("text", r"\([^)]*\)", " "), F.lit(FIGURE), 1)
+    s = s.withColumn("plain", plain).withColumn("note", F.size("plain") == 0).withColumn("reads", F.when(F.size("plain") > 0, F.col("plain")).otherwise(F.regexp_extract_all("text", F.lit(FIGURE), 1))).where(F.size("reads") > 0)
+    s = s.withColumn("value", parse_number(F.get("reads", F.lit(0)))).withColumn("last_value", parse_number(F.try_element_at("reads", F.lit(-1)))).where("value is not null")
+    rank = F.struct(~F.col("on_row"), F.col("note"), F.col("value") == 0, F.instr(F.col("text"), F.get("reads", F.lit(0))), "page", "start")
     agree = F.col("value").eqNullSafe(F.col("last_value"))
     return s.groupBy("code", "file_id").agg(F.min_by(F.struct("value", "last_value", "page", "start", F.when(agree, 0.99).otherwise(0.40).alias("confidence")), rank).alias("r")).select("code", "file_id", "r.*")
 
@@ -87,7 +89,7 @@ def extract_text(tokens: DataFrame, rules: DataFrame) -> DataFrame:
     j = first.join(F.broadcast(rules.where("regex is not null").select("code", "regex")), "code")
     text = F.array_join(F.transform(same_row(F.col("s.after"), F.col("s.y0"), F.col("s.y1")), lambda t: t["text"]), " ")
     j = j.withColumn("found", F.regexp_extract_all(text, F.col("regex"), F.lit(0))).where(F.size("found") > 0)
-    return j.select("code", "file_id", F.upper(F.col("found")[0]).alias("value"), (F.upper(F.col("found")[0]) == F.upper(F.element_at("found", -1))).alias("agree"))
+    return j.select("code", "file_id", F.upper(F.get("found", F.lit(0))).alias("value"), (F.upper(F.get("found", F.lit(0))) == F.upper(F.try_element_at("found", F.lit(-1)))).alias("agree"))
 
 
 def extract_presence(tokens: DataFrame, rules: DataFrame) -> DataFrame:
@@ -124,7 +126,7 @@ def element_table(tokens: DataFrame) -> DataFrame:
     marks = F.flatten(F.transform(F.filter(said, lambda x: F.upper(x).rlike(r"^[A-ZА-ЯЁ]+\d[\d.,\-/A-ZА-ЯЁ]*$")), system_marks))
     numbers = F.filter(said, lambda x: x.rlike(r"^\d+(?:[.,]\d+)?$"))
     g = g.withColumn("marks", marks).withColumn("numbers", numbers).where(F.size("marks") > 0)
-    e = g.select(*PLACE, F.explode("marks").alias("mark"), F.when(F.size("numbers") == 1, parse_number(F.col("numbers")[0])).alias("value"))
+    e = g.select(*PLACE, F.explode("marks").alias("mark"), F.when(F.size("numbers") == 1, parse_number(F.get("numbers", F.lit(0)))).alias("value"))
     return e.groupBy("file_id", "mark").agg(F.min("page").alias("page"), F.count(F.lit(1)).alias("n"), F.max("value").alias("v")).select("file_id", "page", "mark", F.when(F.col("n") == 1, F.col("v")).alias("value"), F.when(F.col("n") > 1, "repeated mark").when(F.col("v").isNull(), "number").alias("error"))
 
 

@@ -139,7 +139,7 @@ def _doubling(nodes: DataFrame) -> DataFrame:
         state = cut_lineage(state.join(ahead, "up", "left").select("node", "parent", F.col("up2").alias("up"), F.when(F.size("way") > n, F.col("way")).otherwise(F.concat("way", F.coalesce("way2", F.array().cast("array<string>")))).alias("way")))
         steps *= 2
     ring = F.col("up").isNotNull()
-    tree = state.where(~ring).withColumn("depth", F.size("way")).withColumn("root", F.coalesce(F.element_at("way", -1), F.col("node")))
+    tree = state.where(~ring).withColumn("depth", F.size("way")).withColumn("root", F.coalesce(F.try_element_at("way", F.lit(-1)), F.col("node")))
     under = tree.select(F.explode("way").alias("node"), F.col("node").alias("d")).groupBy("node").agg(F.sort_array(F.collect_list("d")).alias("descendants"))
     tree = tree.join(under, "node", "left").select("node", "parent", "root", "depth", F.reverse(F.concat(F.array("node"), "way")).alias("path"), F.coalesce("descendants", F.array().cast("array<string>")).alias("descendants"), F.coalesce(F.size("descendants"), F.lit(0)).cast("bigint").alias("n_descendants"), F.lit("tree").alias("mark"))
     rings = state.where(ring).select("node", "parent", F.lit("CYCLE").alias("root"), F.lit(-1).alias("depth"), F.lit(None).cast("array<string>").alias("path"), F.lit(None).cast("array<string>").alias("descendants"), F.lit(None).cast("bigint").alias("n_descendants"), F.when(F.array_contains("way", F.col("node")), "circle").otherwise("into_circle").alias("mark"))
