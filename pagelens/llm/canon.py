@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelens.session import cut_lineage
+
 # Fixed values, as classes of a regular expression: characters without width or ink, blanks, hyphens.
 INVISIBLE = r"[\x{00}-\x{08}\x{0e}-\x{1f}\x{7f}-\x{84}\x{86}-\x{9f}\x{ad}\x{34f}\x{61c}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180f}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{3164}\x{fe00}-\x{fe0f}\x{feff}\x{ffa0}\x{fff9}-\x{fffb}]"
 BLANKS = r"[\x{09}-\x{0d}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -34,25 +36,33 @@ def width_forms() -> tuple[str, str]:
     return "".join(wide), "".join(usual)
 
 
-def canonical_sql(column: str) -> str:
-    """DuckDB expression for the printed form of a column.
+def canonical_query(source: str, column: str, fast: bool = True) -> str:
+    """DuckDB query for all columns of source and `canonical`, the printed form of one of them.
 
     Removed or unified are characters without ink, blanks at the ends, kinds of blank and hyphen,
     width forms, composed or separate accents, and alphabets of letters of one shape.  Case, raised
     digits, punctuation and the number of inner blanks stay.  A value with any letter that only
     Cyrillic has comes out in Cyrillic, any other in Latin letters.
+
+    Values of plain Cyrillic, digits and marks are their own form but for outer blanks, which one
+    test finds (fast); the others go through every step.
     """
     wide, usual = ("'" + s.replace("'", "''") + "'" for s in width_forms())
-    v = f"regexp_replace({column}, '{INVISIBLE}', '', 'g')"
-    v = f"regexp_replace(translate({v}, {wide}, {usual}), '{INVISIBLE}', '', 'g')"
-    v = f"regexp_replace(regexp_replace({v}, '{BLANKS}', ' ', 'g'), '{HYPHENS}', '-', 'g')"
-    v = f"nfc_normalize(translate(nfc_normalize({v}), '{SHAPES}ёЁїЇ', '{LATIN}ëËïÏ'))"
-    return f"trim({v}, ' ')"
-
-
-def canonical_query(source: str, column: str) -> str:
-    back = f"translate(shape, '{TO_CYRILLIC[0]}', '{TO_CYRILLIC[1]}')"
-    return f"SELECT * EXCLUDE (shape), CASE WHEN regexp_matches(shape, '[\\x{{400}}-\\x{{52f}}]') THEN {back} ELSE shape END AS canonical FROM (SELECT *, {canonical_sql(column)} AS shape FROM {source})"
+    own = "".join(chr(c) for c in range(0x410, 0x450) if chr(c) not in SHAPES)
+    plain = rf"coalesce(regexp_full_match(x_v, '[ !-@\[-`{{-~А-Яа-яЁё№²³—‰]*') AND regexp_matches(x_v, '[{own}]'), false)" if fast else "false"
+    back = f"translate(x_v, '{TO_CYRILLIC[0]}', '{TO_CYRILLIC[1]}')"
+    steps = [
+        f"regexp_replace(x_v, '{INVISIBLE}', '', 'g')",
+        rf"CASE WHEN regexp_matches(x_v, '[\x{{3000}}-\x{{303f}}\x{{3131}}-\x{{318e}}\x{{ff01}}-\x{{ffee}}]') THEN regexp_replace(translate(x_v, {wide}, {usual}), '{INVISIBLE}', '', 'g') ELSE x_v END",
+        f"regexp_replace(regexp_replace(x_v, '{BLANKS}', ' ', 'g'), '{HYPHENS}', '-', 'g')",
+        f"nfc_normalize(translate(nfc_normalize(x_v), '{SHAPES}ёЁїЇ', '{LATIN}ëËïÏ'))",
+        rf"CASE WHEN regexp_matches(x_v, '[\x{{400}}-\x{{52f}}]') THEN {back} ELSE x_v END",
+    ]
+    q = f"SELECT *, {column} AS x_v FROM {source}"
+    q = f"SELECT *, {plain} AS x_plain FROM ({q})"
+    for step in steps:
+        q = f"SELECT * EXCLUDE (x_v), CASE WHEN x_plain THEN x_v ELSE {step} END AS x_v FROM ({q})"
+    return f"SELECT * EXCLUDE (x_v, x_plain), trim(x_v, ' ') AS canonical FROM ({q})"
 
 
 def canonicalize(df: DataFrame, column: str = "value") -> DataFrame:
@@ -95,7 +105,7 @@ def equal_in_print(rows: DataFrame) -> DataFrame:
     same = ["field", "grp", "canonical"]
     rows = canonicalize(rows.where("grp is not null and key is not null and value is not null").select("field", "grp", "key", "value"))
     mixed = rows.groupBy(*same).agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo <> hi").select(*same)
-    part = rows.join(mixed, same).select(*same, "key", "value").distinct()
+    part = cut_lineage(rows.join(mixed, same).select(*same, "key", "value").distinct())
     strings = part.select(*same, "value").distinct()
     pairs = strings.withColumnRenamed("value", "va").join(strings.withColumnRenamed("value", "vb"), same).where("va < vb")
     pairs = pairs.join(part.select(*same, F.col("value").alias("va"), F.col("key").alias("ka")), [*same, "va"]).join(part.select(*same, F.col("value").alias("vb"), F.col("key").alias("kb")), [*same, "vb"])

@@ -53,6 +53,17 @@ def test_canonical(spark):
     assert all(unicodedata.is_normalized("NFC", v) for v in got.values() if v)
 
 
+def test_fast_form_is_the_full_form():
+    import duckdb
+
+    rng = random.Random(8)
+    parts = ["а", "б", "А", "ё", "Ё", "й", "Y", "y", "a", "B", "1", " ", "-", "‐", "²", "№", "—", "(", "\\", "[", "]", "^", "`", "{", "~", "\u200b", "\u0308", "Ｂ", "0", ",", "У", "у", "и", "\u0306", "І", "\u3000"]
+    values = ["".join(rng.choice(parts[: rng.choice([6, 20, len(parts)])]) for _ in range(rng.randint(0, 8))) for _ in range(5000)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t AS SELECT unnest(?::VARCHAR[]) AS v", [values])
+    assert con.sql(f"SELECT count(*) FROM ({canon.canonical_query('t', 'v')}) a JOIN ({canon.canonical_query('t', 'v', False)}) b ON a.v = b.v AND a.canonical <> b.canonical").fetchall() == [(0,)]
+
+
 def test_equal_in_print(spark):
     r = [("f", "g", "1", "А1"), ("f", "g", "2", "A1"), ("f", "g", "3", "А1"), ("f", "g", "3", "А1"), ("f", "h", "4", "A1"), ("e", "g", "5", "A1"), ("f", "g", "6", None), ("f", None, "7", "A1"), ("f", "g", None, "A1"), ("f", "g", "8", "А1​")]
     got = {tuple(x) for x in canon.equal_in_print(spark.createDataFrame(r, "field string, grp string, key string, value string")).collect()}
