@@ -139,3 +139,36 @@ def confidence_band(confidence: Column) -> Column:
 def places(evidence: Column) -> Column:
     """AGG-37: (stage, file, page) of the fragments; null for no group, an empty list for an empty one."""
     return F.transform(evidence, lambda e: F.concat_ws(":", e["stage"], F.coalesce(e["file_id"], F.lit("-")), F.coalesce(e["pdf_page_number"].cast("string"), F.lit("-"))))
+
+
+def with_side_findings(findings: DataFrame, extra: DataFrame, keys: list[str]) -> DataFrame:
+    """CAS-04: findings and the extra ones of their rules, each with an id `pipe-CODE` or `pipe-CODE-n`.
+
+    findings: keys, code, status; extra: keys, code, pos, status.  Extra ones of a rule are numbered by pos from 1.
+    """
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy(*keys, "code").orderBy("pos"))
+    main = findings.select(*keys, "code", "status", F.concat(F.lit("pipe-"), "code").alias("finding_id"))
+    return main.unionByName(extra.select(*keys, "code", "status", F.concat_ws("-", F.lit("pipe"), "code", n.cast("string")).alias("finding_id")))
+
+
+def index_summary(index: DataFrame, keys: list[str]) -> DataFrame:
+    """AGG-02: rows, excluded and usable rows of a files index."""
+    return index.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("reason").isNotNull()).alias("excluded"), F.count_if(F.col("reason").isNull()).alias("usable"))
+
+
+def parse_report(documents: DataFrame, keys: list[str]) -> DataFrame:
+    """AGG-31: documents, errors, flagged ones and seconds of a run."""
+    return documents.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.count_if(F.col("injection").isNotNull()).alias("flagged"), F.sum("seconds").alias("seconds"))
+
+
+def families(rules: DataFrame, coverages: tuple[str, ...] = ("executable", "extractor_missing", "source_missing", "not_applicable", "advisory")) -> DataFrame:
+    """AGG-33: rules of each extractor family by coverage, zero-filled, in one row."""
+    return rules.groupBy("family").agg(*(F.count_if(F.col("coverage") == c).alias(c) for c in coverages))
+
+
+def gold_hits(gold: DataFrame, candidates: DataFrame) -> DataFrame:
+    """AGG-35: each gold check and whether its object has a candidate of its code."""
+    c = candidates.where(F.col("status") == "CANDIDATE").select("object_id", "parameter_code", F.lit(True).alias("_hit")).distinct()
+    return gold.join(c, ["object_id", "parameter_code"], "left").withColumn("hit", F.coalesce("_hit", F.lit(False))).drop("_hit")

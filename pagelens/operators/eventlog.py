@@ -147,3 +147,13 @@ def mass_confirm(picked: DataFrame, most: int = 50) -> DataFrame:
     g = picked.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("finding_id").alias("ids"), F.count_if(F.col("status") != "CANDIDATE").alias("other"), F.count_if(~F.col("human")).alias("machine"))
     why = F.array_compact(F.array(F.when(F.col("n") == 0, "empty"), F.when(F.col("n") > most, "too_many"), F.when(F.col("ids") < F.col("n"), "repeated"), F.when(F.col("other") > 0, "not_candidate"), F.when(F.col("machine") > 0, "not_human")))
     return g.select("n", why.alias("blocking"), (F.size(why) == 0).alias("allowed"))
+
+
+def locate(findings: DataFrame, wanted: DataFrame, legal: set[tuple[str, str]] = FINDING_STEPS) -> DataFrame:
+    """WIN-04: for (finding_id, target) the last process where the step to target is legal, else the last that has the finding.
+
+    findings: finding_id, process_id, pos, status.
+    """
+    steps = F.broadcast(findings.sparkSession.createDataFrame(sorted(legal), "status string, target string").withColumn("legal", F.lit(True)))
+    j = wanted.join(findings, "finding_id").join(steps, ["status", "target"], "left")
+    return j.groupBy("finding_id", "target").agg(F.max_by("process_id", F.struct(F.coalesce("legal", F.lit(False)), "pos")).alias("process_id"))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelens.functions.measure import box_iou, jaccard
+from pagelens.functions.measure import box_iou, jaccard, parallel_pairs, width_mm
 from pagelens.functions.text import NUMBER, fold_label, parse_number, system_marks
 
 #: A number that is no part of a word or a unit.
@@ -273,3 +273,43 @@ def collapse_rooms(diffs: DataFrame, keys: list[str]) -> DataFrame:
 def room_status(verdict: Column, has_pd: Column, has_rd: Column) -> Column:
     """CMP-16."""
     return F.when(~has_pd | ~has_rd, "ABSTAIN").when(verdict == "candidate", "CANDIDATE").when(verdict == "suspicion", "SUSPICION").when(verdict == "match", "AUTO_NO_DIFFERENCE").otherwise("ABSTAIN")
+
+
+def duct_width(segments: DataFrame, scales: DataFrame, labels: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """EXT-08: file_id, page, width_mm, agrees: where a page has exactly one parallel pair, its width at the drawing's scale; the label printed on the page must agree.
+
+    segments as for parallel_pairs, scales: file_id, scale; labels: file_id, page, label_mm.  A page
+    of several pairs, without scale or without label has a null width.
+    """
+    pairs = parallel_pairs(segments, PLACE).groupBy(*PLACE).agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("gap"))
+    said = labels.groupBy(*PLACE).agg(F.min("label_mm").alias("label_mm"))
+    j = pairs.join(scales.select("file_id", "scale"), "file_id", "left").join(said, PLACE, "left").withColumn("mm", width_mm(F.col("gap"), F.col("scale")))
+    agrees = (F.col("n") == 1) & (F.abs(F.col("mm") - F.col("label_mm")) <= tolerance * F.col("label_mm"))
+    return j.select(*PLACE, F.when(agrees, F.col("mm")).alias("width_mm"), F.coalesce(agrees, F.lit(False)).alias("agrees"))
+
+
+CIPHER = r"([А-ЯA-Z]{1,6}\d*(?:-\d+)*-(?:П|Р|И|ПД|РД|ИД)-[А-ЯЁ]{1,4}\d*(?:\.\d+)*)"
+
+
+def passports(tokens: DataFrame, names: DataFrame) -> DataFrame:
+    """EXT-14, REV-01 to REV-03: file_id, cipher, ambiguous, sheet, stage, approved_on, approval, confidence from the stamp of the first page.
+
+    tokens: the token table; names: file_id, name.  The cipher is the designation that stands most
+    often in the stamp (none if two do); a stage in the stamp that differs from the one in the file's
+    name leaves the stage open; approval needs its word and a person's name in the stamp; the
+    confidence is the share of cipher, sheet and stage that were read.
+    """
+    stamp = tokens.where((F.col("page") == 1) & (F.col("y0") >= STAMP_TOP))
+    n = stamp.select("file_id", F.regexp_extract(F.upper("text"), CIPHER, 1).alias("cipher")).where("cipher <> ''").groupBy("file_id", "cipher").agg(F.count(F.lit(1)).alias("n"))
+    best = n.groupBy("file_id").agg(F.max(F.struct("n", "cipher")).alias("b"), F.collect_list("n").alias("all"))
+    cipher = best.select("file_id", F.when(F.size(F.filter("all", lambda x: x == F.col("b.n"))) == 1, F.col("b.cipher")).alias("cipher"), (F.size(F.filter("all", lambda x: x == F.col("b.n"))) > 1).alias("ambiguous"))
+    said = stamp.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ix", "text"))), lambda t: t["text"]), " ").alias("said"))
+    date = F.try_to_date(F.regexp_extract("said", r"(\d{2}\.\d{2}\.\d{4})", 1), "dd.MM.yyyy")
+    in_stamp = F.coalesce(*[F.when(F.col("said").rlike(rf"(?iu)стадия\s+{s}(?![А-Яа-яЁё])"), v) for s, v in (("П", "PD"), ("Р", "RD"), ("И", "ID"))])
+    in_name = F.coalesce(*[F.when(F.col("name").rlike(rf"(?iu)(?:^|[-_ /])(?:{a}|{v})(?:[-_ /.]|$)"), v) for a, v in (("ПД", "PD"), ("РД", "RD"), ("ИД", "ID"))])
+    person = F.col("said").rlike(r"[А-ЯЁ][а-яё]+\s+[А-ЯЁ]\.\s*[А-ЯЁ]\.|[А-ЯЁ]\.\s*[А-ЯЁ]\.\s*[А-ЯЁ][а-яё]+")
+    approval = F.when(F.col("said").rlike("(?iu)утвержд") & person, "APPROVED").otherwise("UNKNOWN")
+    stage = F.when(in_stamp.isNull() | in_name.isNull() | (in_stamp == in_name), F.coalesce(in_stamp, in_name))
+    sheet = F.nullif(F.regexp_extract("said", r"(?iu)лист\s+(\d+)", 1), F.lit("")).try_cast("int")
+    j = names.select("file_id", "name").join(cipher, "file_id", "left").join(said, "file_id", "left").select("file_id", "cipher", F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"), sheet.alias("sheet"), stage.alias("stage"), date.alias("approved_on"), approval.alias("approval"))
+    return j.withColumn("confidence", F.size(F.array_compact(F.array(F.col("cipher"), F.col("sheet").cast("string"), F.col("stage")))) / 3.0)

@@ -168,3 +168,35 @@ def wire_codes(matrix: DataFrame, free: DataFrame) -> DataFrame:
 def split_leakage(items: DataFrame, key: str = "object_id", split: str = "split") -> DataFrame:
     """SET-05: keys that stand in more than one split."""
     return items.where(F.col(key).isNotNull() & F.col(split).isNotNull()).groupBy(key).agg(F.countDistinct(split).alias("n_splits")).where("n_splits > 1")
+
+
+def submission_faults(checks: DataFrame) -> DataFrame:
+    """FLT-09: object_id, check_id, faults of submitted checks that break the format; an object with any gets no score."""
+    labels = F.col("violation_label").isin("VIOLATION_PRESENT", "NO_VIOLATION", "COMPARISON_IMPOSSIBLE")
+    stages = F.forall(F.coalesce("evidence", F.array()), lambda e: F.coalesce(e["stage"].isin("PD", "RD", "ID"), F.lit(False)))
+    pages = F.forall(F.coalesce("evidence", F.array()), lambda e: e["pdf_page_number"].isNull() | (e["pdf_page_number"] >= 1))
+    faults = F.array_compact(F.array(F.when(F.col("object_id").isNull(), "object_id"), F.when(F.col("parameter_code").isNull(), "parameter_code"), F.when(~F.coalesce(labels, F.lit(False)), "violation_label"), F.when(~stages, "stage"), F.when(~pages, "page")))
+    return checks.select("object_id", "check_id", faults.alias("faults")).where(F.size("faults") > 0)
+
+
+def upload_guard(stage: Column, object_id: Column, process_object: Column, supersedes: Column, superseded_stage: Column, superseded_successor: Column, n_files: Column) -> Column:
+    """FLT-13: the first refusal of an upload, or null; what supersedes a file is one file of its stage, and the only successor."""
+    return (
+        F.when(~F.coalesce(stage.isin("PD", "RD", "ID"), F.lit(False)), "STAGE_REQUIRED")
+        .when(~object_id.eqNullSafe(process_object), "OBJECT_MISMATCH")
+        .when(supersedes.isNotNull() & (n_files != 1), "SUPERSEDES_ONE_FILE")
+        .when(supersedes.isNotNull() & ~stage.eqNullSafe(superseded_stage), "SUPERSEDES_OTHER_STAGE")
+        .when(supersedes.isNotNull() & superseded_successor.isNotNull(), "ALREADY_SUPERSEDED")
+    )
+
+
+def traceability_gaps(rules: DataFrame, findings: DataFrame) -> DataFrame:
+    """FLT-19: gap, n: rules without norms (column norms), findings without code or evidence."""
+    a = rules.agg(F.count_if(F.coalesce(F.size("norms"), F.lit(0)) <= 0).alias("n")).select(F.lit("rule_without_norm").alias("gap"), "n")
+    b = findings.agg(F.count_if(F.col("parameter_code").isNull()).alias("c"), F.count_if(F.coalesce(F.size("evidence"), F.lit(0)) <= 0).alias("e"))
+    return a.unionByName(b.select(F.lit("finding_without_code").alias("gap"), F.col("c").alias("n"))).unionByName(b.select(F.lit("finding_without_evidence").alias("gap"), F.col("e").alias("n")))
+
+
+def split_dropped(rows: DataFrame, error: str = "error") -> tuple[DataFrame, DataFrame]:
+    """FLT-24: (rows that stand, rows dropped with their error); an error never stops the rest."""
+    return rows.where(F.col(error).isNull()).drop(error), rows.where(F.col(error).isNotNull())

@@ -177,3 +177,11 @@ def last_file(index: DataFrame, pos: str = "pos") -> DataFrame:
     reason = F.when(F.col("excluded"), "excluded").when(F.col("stage").isNull(), "stage").when(~F.col("present"), "missing")
     x = index.withColumn("reason", reason)
     return x.groupBy("object_id", "stage").agg(F.max_by(F.when(F.col("reason").isNull(), F.col("file_id")), F.when(F.col("reason").isNull(), F.col(pos))).alias("file_id"), *(F.count_if(F.col("reason") == r).alias(f"n_{r}") for r in ("excluded", "stage", "missing")))
+
+
+def prior_heads(files: DataFrame) -> DataFrame:
+    """REV-17: per identity with a current revision the file before it, to be compared like a head: keys, head_id, prior_id."""
+    h = heads(files).where("head_id is not null").select(*KEYS, "identity", "head_id")
+    before = first_delivery(files).select(F.col("id").alias("head_id"), F.col("predecessor_id").alias("prior_id"))
+    ids = files.select(F.col("id").alias("prior_id")).distinct()
+    return h.join(before.where("prior_id is not null and prior_id <> head_id"), "head_id").join(ids, "prior_id", "left_semi").select(*KEYS, "identity", "head_id", "prior_id")

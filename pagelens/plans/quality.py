@@ -267,7 +267,44 @@ def mth_parallel_pairs(spark: SparkSession, d: str) -> DataFrame:
     return measure.widest_pair(measure.parallel_pairs(s, ["l_orderkey"]), ["l_orderkey"]).select("l_orderkey", "ix_a", "ix_b")
 
 
-_FUNCS = (agg_predictions, agg_score_scope, agg_unlabeled, agg_key_fields, agg_linkage, agg_pooled_accuracy, agg_flag_slices, agg_upper_median, agg_reliability, agg_ece, agg_threshold, agg_sensitivity, agg_cluster_f1, agg_frozen, agg_release_gate, agg_acceptance, cas_first_halt, cas_rule_order, cas_free_search, cas_dry_run, agg_coverage, agg_protocol, flt_wire, agg_completeness, agg_scenario, agg_manifest, agg_integrity, agg_latency, agg_places, agg_capability, ext_numbers, ext_text, ext_presence, ext_element_table, ext_multi_field, ext_provision, ext_room_diff, ext_align, ext_nearest, ext_dual_read, mth_parallel_pairs)
+def cas_side_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Of each object and parameter the first check is the finding, the others come beside it."""
+    from pyspark.sql import Window
+
+    c = _checks(spark, d).select("object_id", F.col("parameter_code").alias("code"), F.col("violation_label").alias("status"), F.col("check_id").alias("pos"))
+    c = c.withColumn("r", F.row_number().over(Window.partitionBy("object_id", "code").orderBy("pos")))
+    return cascade.with_side_findings(c.where("r = 1"), c.where("r > 1").drop("r"), ["object_id"])
+
+
+def agg_index(spark: SparkSession, d: str) -> DataFrame:
+    i = table(spark, d, "files").withColumn("reason", F.when(F.col("approval_status") == "NOT_APPROVED", "excluded").when(F.col("document_code").isNull(), "code"))
+    return cascade.index_summary(i, ["object_id", "doc_stage"])
+
+
+def agg_parse_report(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("source", F.when(F.col("text").isNull(), "empty").alias("error"), F.when(F.col("lang").isNull(), "lang").alias("injection"), (F.coalesce("n_chars", F.lit(0)) / 1000).alias("seconds"))
+    return cascade.parse_report(docs, ["source"]).select("source", "n", "errors", "flagged", F.round("seconds", 3).alias("seconds"))
+
+
+def agg_families(spark: SparkSession, d: str) -> DataFrame:
+    return cascade.families(table(spark, d, "params").withColumnRenamed("data_type", "family"))
+
+
+def agg_gold_hits(spark: SparkSession, d: str) -> DataFrame:
+    c = _checks(spark, d)
+    gold = c.where(F.col("split") == "TRAIN_PUBLIC").select("check_id", "object_id", "parameter_code")
+    cand = c.select("object_id", "parameter_code", F.when(F.col("violation_label") == "VIOLATION_PRESENT", "CANDIDATE").alias("status"))
+    return cascade.gold_hits(gold, cand).select("check_id", "hit")
+
+
+def ext_passports(spark: SparkSession, d: str) -> DataFrame:
+    """Passports of texts, their last lines taken as stamps; names from the files of the same number."""
+    t, _ = _tokens_rules(spark, d)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.concat_ws("-", "object_id", "source").alias("name"))
+    return extract.passports(t.withColumn("y0", F.lit(0.9)), docs)
+
+
+_FUNCS = (cas_side_findings, agg_index, agg_parse_report, agg_families, agg_gold_hits, ext_passports, agg_predictions, agg_score_scope, agg_unlabeled, agg_key_fields, agg_linkage, agg_pooled_accuracy, agg_flag_slices, agg_upper_median, agg_reliability, agg_ece, agg_threshold, agg_sensitivity, agg_cluster_f1, agg_frozen, agg_release_gate, agg_acceptance, cas_first_halt, cas_rule_order, cas_free_search, cas_dry_run, agg_coverage, agg_protocol, flt_wire, agg_completeness, agg_scenario, agg_manifest, agg_integrity, agg_latency, agg_places, agg_capability, ext_numbers, ext_text, ext_presence, ext_element_table, ext_multi_field, ext_provision, ext_room_diff, ext_align, ext_nearest, ext_dual_read, mth_parallel_pairs)
 QUERIES = {f.__name__: f for f in _FUNCS}
 
 _CHECKS = "c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY check_id ORDER BY received_at) AS k FROM public_checks) WHERE k = 1)"
@@ -288,6 +325,11 @@ have AS (SELECT object_id, doc_stage, count(DISTINCT id) AS n, bool_or(approval_
 complete AS (SELECT e.object_id, e.doc_stage, CASE WHEN h.n IS NULL THEN 'MISSING' WHEN h.ok THEN 'UPLOADED' ELSE 'PARTIAL' END AS state, coalesce(h.n, 0) AS n FROM every e LEFT JOIN have h ON h.object_id = e.object_id AND h.doc_stage = e.doc_stage)"""
 
 SQL = {
+    "cas_side_findings": f"WITH {_CHECKS}, r AS (SELECT *, row_number() OVER (PARTITION BY object_id, parameter_code ORDER BY check_id) AS n FROM c) SELECT object_id, parameter_code AS code, violation_label AS status, CASE WHEN n = 1 THEN 'pipe-' || parameter_code ELSE 'pipe-' || parameter_code || '-' || (n - 1) END AS finding_id FROM r",
+    "agg_index": "SELECT object_id, doc_stage, count(*) AS n, count(*) FILTER (coalesce(approval_status = 'NOT_APPROVED', false) OR document_code IS NULL) AS excluded, count(*) FILTER (NOT (coalesce(approval_status = 'NOT_APPROVED', false) OR document_code IS NULL)) AS usable FROM files GROUP BY ALL",
+    "agg_parse_report": "SELECT source, count(*) AS n, count(*) FILTER (text IS NULL) AS errors, count(*) FILTER (lang IS NULL) AS flagged, round(sum(coalesce(n_chars, 0) / 1000), 3) AS seconds FROM documents GROUP BY 1",
+    "agg_families": "SELECT data_type AS family, count(*) FILTER (coverage = 'executable') AS executable, count(*) FILTER (coverage = 'extractor_missing') AS extractor_missing, count(*) FILTER (coverage = 'source_missing') AS source_missing, count(*) FILTER (coverage = 'not_applicable') AS not_applicable, count(*) FILTER (coverage = 'advisory') AS advisory FROM params GROUP BY 1",
+    "agg_gold_hits": f"WITH {_CHECKS}, k AS (SELECT DISTINCT object_id, parameter_code FROM c WHERE violation_label = 'VIOLATION_PRESENT') SELECT c.check_id, k.object_id IS NOT NULL AS hit FROM c LEFT JOIN k ON k.object_id = c.object_id AND k.parameter_code = c.parameter_code WHERE split = 'TRAIN_PUBLIC'",
     "agg_predictions": _SCORE + "SELECT * FROM pred",
     "agg_score_scope": _SCORE
     + f""", n AS (SELECT matrix_scope, count(*) FILTER (label = 'VIOLATION_PRESENT' AND coalesce(predicted = 'VIOLATION_PRESENT', false)) AS tp, count(*) FILTER (label = 'NO_VIOLATION' AND coalesce(predicted = 'VIOLATION_PRESENT', false)) AS fp,

@@ -183,7 +183,34 @@ def evt_strongest(spark: SparkSession, d: str) -> DataFrame:
     return eventlog.strongest(e, ["check_id"], "confidence", "pos")
 
 
-_FUNCS = (rev_heads, rev_catalog, rev_stale, rev_blank_components, rev_filename_chains, rev_stage_volumes, rev_bind, rev_modal, rev_diff, rev_normative, rev_in_force, int_batch, int_http, int_first_per_hash, int_usable, int_injection, int_finding_faults, int_registry_faults, set_split_leakage, set_wire_codes, evt_card_actions, evt_usability, evt_illegal_steps, evt_rate_limit, evt_retry, evt_inbox, evt_attempts, evt_insert_once, evt_newest, evt_upsert, evt_next_version, evt_strongest)
+def rev_prior_heads(spark: SparkSession, d: str) -> DataFrame:
+    return revisions.prior_heads(table(spark, d, "files")).select("object_id", "doc_stage", "head_id", "prior_id")
+
+
+def int_submission_faults(spark: SparkSession, d: str) -> DataFrame:
+    f = intake.submission_faults(table(spark, d, "public_checks").withColumn("parameter_code", F.when(F.col("parameter_id").isNotNull(), F.col("parameter_code"))))
+    return f.select(F.explode("faults").alias("fault")).groupBy("fault").agg(F.count(F.lit(1)).alias("n"))
+
+
+def int_upload_guard(spark: SparkSession, d: str) -> DataFrame:
+    f = revisions.first_delivery(table(spark, d, "files"))
+    old = f.select(F.col("id").alias("old_id"), F.col("object_id").alias("old_object"), F.col("doc_stage").alias("old_stage"), F.col("successor_id").alias("old_successor"))
+    j = f.join(old, F.col("predecessor_id") == F.col("old_id"), "left")
+    g = intake.upload_guard(F.col("doc_stage"), F.col("object_id"), F.coalesce("old_object", F.col("object_id")), F.col("old_id"), F.col("old_stage"), F.col("old_successor"), F.lit(1))
+    return j.groupBy(g.alias("refusal")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def int_traceability(spark: SparkSession, d: str) -> DataFrame:
+    rules = table(spark, d, "params").select(F.array_compact(F.array(F.nullif("unit", F.lit("")))).alias("norms"))
+    return intake.traceability_gaps(rules, table(spark, d, "public_checks"))
+
+
+def evt_locate(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "public_checks").where("finding_group_id is not null").select(F.col("finding_group_id").alias("finding_id"), F.col("check_id").alias("process_id"), F.col("check_id").alias("pos"), F.when(F.col("violation_label") == "NO_VIOLATION", "AUTO_NO_DIFFERENCE").otherwise("CANDIDATE").alias("status")).distinct()
+    return eventlog.locate(c, c.select("finding_id", F.lit("CONFIRMED_VIOLATION").alias("target")).distinct())
+
+
+_FUNCS = (rev_prior_heads, int_submission_faults, int_upload_guard, int_traceability, evt_locate, rev_heads, rev_catalog, rev_stale, rev_blank_components, rev_filename_chains, rev_stage_volumes, rev_bind, rev_modal, rev_diff, rev_normative, rev_in_force, int_batch, int_http, int_first_per_hash, int_usable, int_injection, int_finding_faults, int_registry_faults, set_split_leakage, set_wire_codes, evt_card_actions, evt_usability, evt_illegal_steps, evt_rate_limit, evt_retry, evt_inbox, evt_attempts, evt_insert_once, evt_newest, evt_upsert, evt_next_version, evt_strongest)
 QUERIES = {f.__name__: f for f in _FUNCS}
 
 _FIRST = """first_files AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY uploaded_at) AS k FROM files) WHERE k = 1)"""
@@ -204,6 +231,19 @@ decided AS (SELECT batch, pos, CASE WHEN total > 209715200 OR why IS NOT NULL TH
 """
 
 SQL = {
+    "rev_prior_heads": _HEADS + "SELECT r.object_id, r.doc_stage, r.head_id, f.predecessor_id AS prior_id FROM resolved r JOIN first_files f ON f.id = r.head_id WHERE f.predecessor_id <> f.id AND f.predecessor_id IN (SELECT id FROM files)",
+    "int_submission_faults": """
+        SELECT fault, count(*) AS n FROM (
+          SELECT 'object_id' AS fault FROM public_checks WHERE object_id IS NULL
+          UNION ALL SELECT 'parameter_code' FROM public_checks WHERE parameter_id IS NULL OR parameter_code IS NULL
+          UNION ALL SELECT 'violation_label' FROM public_checks WHERE violation_label IS NULL OR violation_label NOT IN ('VIOLATION_PRESENT', 'NO_VIOLATION', 'COMPARISON_IMPOSSIBLE')
+          UNION ALL SELECT 'stage' FROM public_checks WHERE len(list_filter(evidence, lambda e: e.stage IS NULL OR e.stage NOT IN ('PD', 'RD', 'ID'))) > 0
+          UNION ALL SELECT 'page' FROM public_checks WHERE len(list_filter(evidence, lambda e: e.pdf_page_number < 1)) > 0) GROUP BY 1""",
+    "int_upload_guard": f"""WITH {_FIRST}
+        SELECT CASE WHEN f.doc_stage IS NULL OR f.doc_stage NOT IN ('PD', 'RD', 'ID') THEN 'STAGE_REQUIRED' WHEN f.object_id IS DISTINCT FROM coalesce(o.object_id, f.object_id) THEN 'OBJECT_MISMATCH' WHEN o.id IS NOT NULL AND f.doc_stage IS DISTINCT FROM o.doc_stage THEN 'SUPERSEDES_OTHER_STAGE' WHEN o.id IS NOT NULL AND o.successor_id IS NOT NULL THEN 'ALREADY_SUPERSEDED' END AS refusal, count(*) AS n
+        FROM first_files f LEFT JOIN first_files o ON o.id = f.predecessor_id GROUP BY 1""",
+    "int_traceability": "SELECT 'rule_without_norm' AS gap, count(*) FILTER (coalesce(unit, '') = '') AS n FROM params UNION ALL SELECT 'finding_without_code', count(*) FILTER (parameter_code IS NULL) FROM public_checks UNION ALL SELECT 'finding_without_evidence', count(*) FILTER (coalesce(len(evidence), 0) = 0) FROM public_checks",
+    "evt_locate": "SELECT finding_group_id AS finding_id, 'CONFIRMED_VIOLATION' AS target, arg_max(check_id, (violation_label IS DISTINCT FROM 'NO_VIOLATION', check_id)) AS process_id FROM public_checks WHERE finding_group_id IS NOT NULL GROUP BY 1",
     "rev_heads": _HEADS + "SELECT * FROM resolved",
     "rev_catalog": _HEADS + """SELECT f.id, CASE WHEN trim(coalesce(f.file_hash, '')) = '' THEN 'UNREADABLE' WHEN r.status IS DISTINCT FROM 'RESOLVED' THEN 'CLARIFICATION_REQUIRED' WHEN f.id = r.head_id THEN 'CURRENT' ELSE 'SUPERSEDED' END AS actuality
         FROM first_files f LEFT JOIN resolved r ON r.object_id = f.object_id AND r.doc_stage = f.doc_stage AND trim(coalesce(f.document_code, ''), ' ') <> '' AND r.identity = trim(f.document_code, ' ') || '|' || coalesce(f.discipline, '')""",

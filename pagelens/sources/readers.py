@@ -140,3 +140,9 @@ def upsert(spark: SparkSession, new: DataFrame, path: str, keys: list[str]) -> D
     except Exception:  # noqa: BLE001  no table yet
         return new
     return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+
+
+def normative_registry(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-12: versions of norms, one JSON object a line; `error` for a missing id or an end before the start."""
+    x = spark.read.schema("norm_id string, version string, effective_from date, expires_at date, signed boolean").json(path)
+    return x.withColumn("error", F.when(F.col("norm_id").isNull(), "norm_id").when(F.col("expires_at") < F.col("effective_from"), "dates"))

@@ -49,3 +49,8 @@ def params_csv(params: DataFrame, path: str) -> None:
 def publish(stream: DataFrame, send, checkpoint: str):
     """SNK-04: hand each micro-batch to `send(rows, batch_id)`; a batch that raises is handed over again."""
     return stream.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def summary(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """SNK-06: one JSON text per row of an aggregate, under its keys."""
+    return rows.select(*keys, F.to_json(F.struct(*[c for c in sorted(rows.columns) if c not in keys])).alias("json"))

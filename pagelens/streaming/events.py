@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +35,36 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "1 hou
     return event_time(events).withWatermark("at", late).groupBy(F.window("at", width).alias("w"), "event").agg(F.count(F.lit(1)).alias("n")).select("w.start", "w.end", "event", "n")
 
 
+def rate_limited(events: DataFrame, most: int, window_ms: int) -> DataFrame:
+    """STR-09 on a stream: user_id, ts, allowed; the state of a user is the times allowed within the window.
+
+    Hits of one micro-batch are walked in order of time; one that arrives out of order is judged by
+    the state of its arrival.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        held = list(state.get[0]) if state.exists else []
+        hits = pd.concat(list(batches)).sort_values("ts")
+        allowed = []
+        for t in hits["ts"]:
+            held = [h for h in held if h > t - window_ms]
+            allowed.append(len(held) < most)
+            if allowed[-1]:
+                held.append(int(t))
+        state.update((held,))
+        yield pd.DataFrame({"user_id": key[0], "ts": hits["ts"], "allowed": allowed})
+
+    x = event_time(events).select("user_id", "ts")
+    return x.groupBy("user_id").applyInPandasWithState(step, "user_id string, ts bigint, allowed boolean", "held array<bigint>", "append", "NoTimeout")
+
+
+def delivery_states(outbox: DataFrame) -> DataFrame:
+    """STR-06 on a stream of outbox changes (event_id, status, attempts): the receiver's state of each and the seconds to its next attempt."""
+    from pagelens.operators.eventlog import retry_delay, sync_state
+
+    return outbox.select("event_id", sync_state(F.col("status")).alias("sync_state"), F.when(F.col("status") == "PENDING", retry_delay(F.col("attempts"))).alias("next_in_s"))
+
+
 def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """Drain what is there into Parquet and stop."""
     q = df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
