@@ -46,7 +46,7 @@ SPELLINGS: dict[str, tuple[str, ...]] = {
 }
 #: Words before a number that only points somewhere.
 POINTER_STEMS = ("лист", "л.", "пом", "ос", "стр", "этаж", "узел", "разрез", "секци", "прим", "№")
-POINTERS = r"лист\w*|л\.|пом\w*|осях|оси|ось|стр\w*|этаж\w*|узел|разрез\w*|секци\w*|прим\w*|№"
+POINTERS = r"лист\w*|пом\w*|осях|оси|ось|стр\w*|этаж\w*|узел|разрез\w*|секци\w*|прим\w*|№"
 
 GRAMS = 2
 #: Weights of the edit distance: a mark or blank, a letter of a word's ending, another letter, a digit.
@@ -123,7 +123,7 @@ def stated(value) -> F.Column:
         return out
 
     def without_pointers(text):
-        text = F.regexp_replace(F.regexp_replace(text, rf"\([^()]*(?:{POINTERS})[^()]*\)", " "), r"(?<![а-яё])в\s+осях\s+\S+\s+составляет", " ")
+        text = F.regexp_replace(F.regexp_replace(text, rf"\([^()]*(?:{POINTERS}|л)\.?\s*№?\s*\d[^()]*\)", " "), r"(?<![а-яё])в\s+осях\s+\S+\s+составляет", " ")
         return F.regexp_replace(text, pointing, " ")
 
     t = bind(F.lower(clean(value)), lambda x: F.when(has(x, "{"), F.regexp_replace(x, json, "$1 $2")).otherwise(x))

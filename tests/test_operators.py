@@ -278,3 +278,35 @@ def test_streaming(spark, testdata, tmp_path):
     assert out.count() == out.select("event_id").distinct().count() == batch.select("event_id").distinct().count()
     events.run_once(events.sessions(stream, late="1 hour"), str(tmp_path / "s"), str(tmp_path / "cps"))
     assert spark.read.parquet(str(tmp_path / "s")).where("n_events < 1 or end_ts < start_ts").count() == 0
+
+
+def test_rate_limit_stream(spark, tmp_path):
+    from pagelens.streaming import events
+
+    rows = [("a", t, t) for t in (0, 1, 2, 3, 10, 11, 12)] + [(None, 1, 99), ("b", 5, 100)]
+    src = str(tmp_path / "hits")
+    spark.createDataFrame(rows, "user_id string, ts bigint, event_id bigint").coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema("user_id string, ts bigint, event_id bigint").parquet(src)
+    events.run_once(events.rate_limited(stream, 2, 10), str(tmp_path / "o"), str(tmp_path / "c"))
+    got = spark.read.parquet(str(tmp_path / "o"))
+    assert sorted((r.user_id, r.ts) for r in got.where("allowed").collect()) == [("a", 0), ("a", 1), ("a", 10), ("a", 11), ("b", 5)]
+
+
+def test_passports(spark):
+    words = "АБ1-0001-П-ОВ2.1 лист 7 стадия П утвердил Иванов И. И. утверждаю 01.02.2024 31.02.2024".split()
+    t = spark.createDataFrame([("f", 1, i, w, 0.1, 0.9, 0.2, 0.92) for i, w in enumerate(words)] + [("g", 1, 0, "текст", 0.1, 0.1, 0.2, 0.2)], "file_id string, page int, ix int, text string, x0 double, y0 double, x1 double, y1 double")
+    names = spark.createDataFrame([("f", "том ПД 1.pdf"), ("g", "x.pdf"), ("h", "RD_1.pdf")], "file_id string, name string")
+    got = {r.file_id: r for r in extract.passports(t, names).collect()}
+    assert (got["f"].cipher, got["f"].sheet, got["f"].stage, str(got["f"].approved_on), got["f"].approval, got["f"].confidence) == ("АБ1-0001-П-ОВ2.1", 7, "PD", "2024-02-01", "APPROVED", 1.0)
+    assert got["g"].confidence == 0 and got["h"].stage == "RD"
+    differs = {r.file_id: r.stage for r in extract.passports(t, names.withColumn("name", F.lit("a_RD_1.pdf"))).collect()}
+    assert differs["f"] is None
+
+
+def test_duct_width(spark):
+    seg = spark.createDataFrame([("f", 1, 1, 0.0, 0.0, 100.0, 10.0), ("f", 1, 2, 1.0, 5.0, 95.0, 30.0), ("g", 1, 1, 0.0, 0.0, 100.0, 10.0), ("g", 1, 2, 45.0, 0.0, 100.0, 20.0)], "file_id string, page int, ix int, angle double, lo double, hi double, offset double")
+    scale = spark.createDataFrame([("f", 100)], "file_id string, scale int")
+    mm = 20 * 25.4 / 72 * 100
+    label = spark.createDataFrame([("f", 1, 700.0)], "file_id string, page int, label_mm double")
+    got = extract.duct_width(seg, scale, label).collect()
+    assert len(got) == 1 and got[0].width_mm == pytest.approx(mm)

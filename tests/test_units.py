@@ -18,6 +18,8 @@ TEXTS = [
     ("109 920 м3 (лист 34)", 109920.0, "м3"),
     ("1,234,567.5", 1234567.5, ""),
     ("７0 мм", 70.0, "мм"),
+    ("вместимость (л.): 5,5", 5.5, "л"),
+    ("12 л. (л. 3)", 12.0, "л"),
     ("не указано", None, None),
     ("", None, None),
     (None, None, None),
