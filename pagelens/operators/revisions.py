@@ -10,6 +10,8 @@ from pagelens.operators.hierarchy import components
 from pagelens.session import nonblank
 
 KEYS = ["object_id", "doc_stage"]
+#: Rules of a catalogue that is spread over every object and stage.
+MAX_RULES = 10_000
 
 
 def first_delivery(files: DataFrame) -> DataFrame:
@@ -130,7 +132,10 @@ def bind_rules(rules: DataFrame, heads_: DataFrame) -> DataFrame:
     by_kind = h.select(*KEYS, "head_id", "document_code", F.explode("kinds").alias("kind")).join(F.broadcast(kinds), "kind").select("code", *KEYS, "head_id", "document_code").distinct()
     g = by_kind.groupBy("code", *KEYS).agg(F.countDistinct("head_id").alias("n_match"), F.countDistinct("document_code").alias("n_codes"))
     stages = h.groupBy(*KEYS).agg(F.max("n_all").alias("n_all"))
-    every = stages.join(F.broadcast(rules.select("code")))
+    codes = [r["code"] for r in rules.select("code").distinct().limit(MAX_RULES + 1).collect()]
+    if len(codes) > MAX_RULES:
+        raise ValueError(f"a catalogue of more than {MAX_RULES} rules")
+    every = stages.withColumn("code", F.explode(F.array(*map(F.lit, sorted(codes)))))
     r = every.join(g, ["code", *KEYS], "left").fillna(0, ["n_match", "n_codes"])
     status = F.when((F.col("n_all") == 1) | (F.col("n_match") == 1), "BOUND").when((F.col("n_match") > 1) & (F.col("n_codes") > 1), "BOUND").otherwise("CONFLICT")
     return r.select("code", *KEYS, "n_all", "n_match", status.alias("status"))

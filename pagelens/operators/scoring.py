@@ -130,12 +130,11 @@ def sensitivity(claims: DataFrame, keys: list[str], thresholds: tuple[float, ...
     they are aggregated, so that no group is sorted whole.
     """
     most = max(ks)
-    spark = claims.sparkSession
-    t = F.broadcast(spark.createDataFrame([(float(x),) for x in thresholds], "threshold double"))
-    x = claims.join(t, F.col("confidence") >= F.col("threshold"))
+    reached = F.filter(F.array(*map(F.lit, thresholds)), lambda t: F.col("confidence") >= t)
+    x = claims.withColumn("threshold", F.explode(reached))
     ranked = x.withColumn("r", F.row_number().over(Window.partitionBy("threshold", *keys).orderBy(F.col("confidence").desc(), "id"))).where(F.col("r") <= most)
-    k = F.broadcast(spark.createDataFrame([(i,) for i in ks], "k int"))
-    per = ranked.join(k, F.col("r") <= F.col("k")).groupBy("threshold", "k", *keys).agg(F.avg(F.col("correct").cast("double")).alias("p"))
+    counted = ranked.withColumn("k", F.explode(F.filter(F.array(*map(F.lit, ks)), lambda k: F.col("r") <= k)))
+    per = counted.groupBy("threshold", "k", *keys).agg(F.avg(F.col("correct").cast("double")).alias("p"))
     return per.groupBy("threshold", "k").agg(F.count(F.lit(1)).alias("groups"), F.avg("p").alias("precision_at_k"))
 
 
@@ -160,7 +159,7 @@ def cluster_f1_interval(counts: DataFrame, draws: int = 5000, seed: int = SEED,
     d = counts.select(F.xxhash64("cluster").alias("h"), "tp", "fp", "fn").mapInPandas(draw, "draw int, tp double, fp double, fn double").groupBy("draw").agg(f1(F.sum("tp"), F.sum("fp"), F.sum("fn")).alias("f"))
     ends = d.agg(F.percentile("f", 0.025).alias("low"), F.percentile("f", 0.975).alias("high"))
     enough = F.col("clusters") >= least
-    return n.join(ends).select("clusters", "f1", F.when(enough, F.col("low")).alias("low"), F.when(enough, F.col("high")).alias("high"))
+    return n.withColumn("_one", F.lit(1)).join(ends.withColumn("_one", F.lit(1)), "_one").select("clusters", "f1", F.when(enough, F.col("low")).alias("low"), F.when(enough, F.col("high")).alias("high"))
 
 
 def line_bootstrap(lines: list[tuple[int, int]], draws: int = DRAWS, seed: int = SEED) -> tuple[float, float]:

@@ -87,7 +87,8 @@ def mth_wilson(spark: SparkSession, d: str) -> DataFrame:
 
 def mth_unit_scale(spark: SparkSession, d: str) -> DataFrame:
     u = table(spark, d, "measure_units")
-    pairs = u.select(F.col("canon").alias("unit"), F.col("dimension").alias("dim")).join(u.select(F.col("canon").alias("target"), F.col("dimension").alias("dim2")), F.col("dim").isNotNull())
+    names = [r[0] for r in u.select("canon").distinct().limit(1000).collect()]
+    pairs = u.select(F.col("canon").alias("unit"), F.explode(F.array(*map(F.lit, sorted(names)))).alias("target"))
     return measure.to_unit(pairs.select("unit", "target").withColumn("value", F.lit(2.5)), "value", "unit", "target", u).select("unit", "target", "scaled", "unit_conflict")
 
 
@@ -108,8 +109,11 @@ def _stage_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 def cmp_rules(spark: SparkSession, d: str) -> DataFrame:
     """All comparators over all parts at once: rules × pairs, eight rules."""
-    rules = F.broadcast(spark.createDataFrame(RULES, RULE_TYPE).select("code", F.struct("operator", "value", "min_value", "max_value", "tolerance_abs", "tolerance_rel", "rounding", "values", "trigger").alias("rule")))
-    x = _stage_pairs(spark, d).join(rules)
+    names = [x.split(":")[0].split()[0] for x in RULE_TYPE.split(", ")]
+    kinds = dict(x.split(" ") for x in RULE_TYPE.split(", "))
+    literal = lambda v, k: (F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)).cast(k)
+    rules = F.array(*(F.struct(F.lit(r[0]).alias("code"), F.struct(*(literal(v, kinds[n]).alias(n) for n, v in zip(names[1:], r[1:]))).alias("rule")) for r in RULES))
+    x = _stage_pairs(spark, d).withColumn("x", F.explode(rules)).select("*", "x.code", "x.rule")
     c = comparators.compare(F.col("rule"), F.col("expected"), F.col("actual"), F.col("expected_text"), F.col("actual_text"))
     return x.select("l_partkey", "code", c.alias("c")).select("l_partkey", "code", "c.status", F.round("c.delta", 4).alias("delta"), "c.error_reason")
 

@@ -23,8 +23,8 @@ def rules(spark: SparkSession, folder: str) -> DataFrame:
     """SRC-01: one JSON file per rule, with `error` where a code is not canonical or repeated, the coverage unknown or versions are mixed."""
     r = spark.read.schema(RULE).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
     n = r.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
-    v = r.agg(F.countDistinct("matrix_version").alias("versions"))
-    j = r.join(F.broadcast(n), "code", "left").join(F.broadcast(v))
+    versions = r.select("matrix_version").where("matrix_version is not null").distinct().limit(2).count()
+    j = r.join(F.broadcast(n), "code", "left").withColumn("versions", F.lit(versions))
     error = F.when(F.col("code").isNull() | (rule_code(F.col("code")) != F.col("code")), "code").when(F.col("n") > 1, "duplicate").when(~F.coalesce(F.col("coverage").isin(*COVERAGES), F.lit(False)), "coverage").when(F.col("versions") > 1, "version")
     return j.withColumn("error", error).drop("n", "versions")
 
