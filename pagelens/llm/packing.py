@@ -98,6 +98,7 @@ def pack(x: DataFrame, part_items: int = PART_ITEMS, joined: int = JOINED) -> Da
     one partition is left; full containers stay as they are.  Items of 0 tokens take part and weigh nothing.  Repeated rows are separate
     items.  An empty table gives no rows.
     """
+    x = cut_lineage(x)  # the sizes are counted once, for the number of partitions and for the packing
     counts = [r["count"] for r in x.groupBy("target_id").count().collect()]
     parts = max(1, -(-max(counts, default=0) // part_items))
     rest = x.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)))
