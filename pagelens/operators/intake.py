@@ -11,12 +11,41 @@ CODES = {"UNSAFE_FILENAME": 400, "UNSUPPORTED_FORMAT": 415, "CORRUPTED": 422, "F
 MAGIC = {"pdf": "25504446", "docx": "504B0304", "zip": "504B0304", "xml": "3C"}
 #: Words of a token window that is scanned at once.
 WINDOW = 5
-# Kinds of text that tries to give orders to a reading machine.
+# Texts that try to give orders to a reading machine; the reference's 24 patterns of three types, in its order.
 INJECTIONS = {
-    "override": r"(?iu)(ignore|disregard|forget) (all |the )?(previous|prior|above)|игнорируй|забудь (все|предыдущие)",
-    "role": r"(?iu)you are now|act as|system prompt|ты теперь|системн\w+ (промпт|инструкци)",
-    "verdict": r"(?iu)mark (all|everything) as|no violations? found|считать соответствующим|нарушений нет",
+    "override": (
+        r"\bignore\s+(all\s+)?(previous\s+)?rules?\b",
+        r"\bignore\s+(all\s+)?instructions?\b",
+        r"\bforget\s+(all\s+)?(previous\s+)?(rules?|instructions?)\b",
+        r"\bdisregard\s+(all\s+)?rules?\b",
+        r"\boverride\s+(all\s+)?rules?\b",
+        r"\bnew\s+instructions?:\b",
+        r"\bstop\s+following\b",
+        r"игнорир[уй]+\s+все\s+правил",
+        r"игнорир[уй]+\s+правил",
+        r"забудь\s+(все\s+)?правил",
+        r"отмен[иь]\s+(все\s+)?правил",
+        r"новые\s+инструкции:",
+    ),
+    "role": (
+        r"\byou\s+are\s+(now\s+)?a\b",
+        r"\bpretend\s+(to\s+be|you\s+are)\b",
+        r"\bact\s+as\s+(a|an)\b",
+        r"\bfrom\s+now\s+on\s+you\s+are\b",
+        r"ты\s+теперь\b",
+        r"притворись\b",
+        r"сделайся\s+(как\s+)?\b",
+    ),
+    "leak": (
+        r"\bprint\s+system\s+prompt\b",
+        r"\bshow\s+(me\s+)?your\s+(system\s+)?instructions\b",
+        r"\brepeat\s+(everything\s+)?above\b",
+        r"\bwhat\s+are\s+your\s+instructions\b",
+        r"\becho\s+(back\s+)?your\s+prompt\b",
+    ),
 }
+#: One more phrase, which the reference lets pass; looked for only where none of its patterns is found.
+MORE_INJECTIONS = {"override": (r"\bignore\s+all\s+previous\s+instructions?\b",)}
 
 
 def filename_is_safe(name: Column) -> Column:
@@ -79,13 +108,22 @@ def usable(entries: DataFrame, allowed: DataFrame, hidden: DataFrame, path: str)
 
 
 def scan_injection(text: Column) -> Column:
-    """FLT-10, WIN-10: struct(kind, window) of the first window of five words that matches, patterns in order; null if none does."""
-    words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
+    """FLT-10, WIN-10: struct(kind, pattern, window) of the first window of five words that matches, patterns in order; null if none does.
+
+    Words are parted by blanks of any kind, letters compared in any case.  A match in a window is
+    one in the whole text too, so texts without any are not cut into windows.
+    """
+    said = F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
+    words = F.split(said, " ")
     windows = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words))), lambda i: F.array_join(F.slice(words, i, WINDOW), " "))
-    any_ = "|".join(INJECTIONS.values()).replace("(?iu)", "")
-    hit = F.try_element_at(F.filter(windows, lambda w: w.rlike("(?iu)" + any_)), F.lit(1))
-    kind = F.coalesce(*[F.when(hit.rlike(p), k) for k, p in INJECTIONS.items()])
-    return F.when(hit.isNotNull(), F.struct(kind.alias("kind"), hit.alias("window")))
+
+    def first(kinds: dict[str, tuple[str, ...]]) -> Column:
+        any_ = "(?iuU)" + "|".join(p for ps in kinds.values() for p in ps)
+        hit = F.try_element_at(F.filter(windows, lambda w: w.rlike(any_)), F.lit(1))
+        found = F.coalesce(*[F.when(hit.rlike("(?iuU)" + p), F.struct(F.lit(k).alias("kind"), F.lit(p).alias("pattern"), hit.alias("window"))) for k, ps in kinds.items() for p in ps])
+        return F.when(said.rlike(any_), found)
+
+    return F.coalesce(first(INJECTIONS), first(MORE_INJECTIONS))
 
 
 def fragment_faults(sha256: Column, page: Column, polygon: Column) -> Column:

@@ -92,7 +92,7 @@ def int_usable(spark: SparkSession, d: str) -> DataFrame:
 
 def int_injection(spark: SparkSession, d: str) -> DataFrame:
     s = intake.scan_injection(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", s.alias("s")).where("s is not null").select("doc_id", "s.kind", "s.window")
+    return table(spark, d, "documents").select("doc_id", s.alias("s")).where("s is not null").select("doc_id", "s.kind", "s.pattern", "s.window")
 
 
 def int_finding_faults(spark: SparkSession, d: str) -> DataFrame:
