@@ -1,8 +1,8 @@
 """Values read from token tables (EXT-01 to EXT-16, CMP-11 to CMP-16).
 
 A token is a row (file_id, page, ix, text, x0, y0, x1, y1), ix being its place in reading order;
-rules are rows (code, anchors, regex, tolerance ...).  Rules and tokens meet in a join on the first
-word of an anchor, so that the work follows the places where an anchor may begin.
+rules are rows (code, anchors, regex, tolerance ...).  Anchors are looked for page by page, a page
+being a bounded group; see `anchors` for what is read beside them.
 """
 
 from __future__ import annotations
@@ -14,13 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelens.functions.measure import box_iou, jaccard, parallel_pairs, width_mm
-from pagelens.functions.text import NUMBER, fold_label, parse_number, system_marks
+from pagelens.functions.text import enum_value, fold_label, parse_number, system_marks
+from pagelens.operators import anchors as pages
 
-#: A number that is no part of a word or a unit.
-FIGURE = "(?<![A-Za-zА-Яа-яЁё])" + NUMBER
 PLACE = ["file_id", "page"]
-#: Words of the longest anchor, and after an anchor that may hold its value.
-ANCHOR_WORDS, AFTER_WORDS = 8, 12
 #: Lower edge of the part of a page above the stamp.
 STAMP_TOP = 0.70
 
@@ -28,55 +25,87 @@ STAMP_TOP = 0.70
 def tokens_of_text(docs: DataFrame, key: str, text: str) -> DataFrame:
     """file_id, page, ix, text, x0, y0, x1, y1 of plain text: words in order, lines as rows of a page (SRC-06, SRC-07 geometry)."""
     lines = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("file_id"), F.posexplode(F.split(text, r"\r?\n")).alias("row", "line"))
-    words = lines.select("file_id", "row", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("col", "text")).where("text <> ''")
+    words = lines.select("file_id", "row", F.posexplode(F.split(F.trim(F.regexp_replace("line", r"(?U)\s+", " ")), " ")).alias("col", "text")).where("text <> ''")
     y, x = F.least(F.col("row"), F.lit(40)) * 0.02, F.least(F.col("col"), F.lit(40)) * 0.02
     return words.select("file_id", F.lit(1).alias("page"), (F.col("row").cast("bigint") * 1_000_000 + F.col("col")).alias("ix"), "text", x.alias("x0"), y.alias("y0"), (x + 0.02).alias("x1"), (y + 0.02).alias("y1"))
 
 
-def with_following(tokens: DataFrame, n: int, name: str = "next") -> DataFrame:
-    """tokens with an array of the structs of itself and the n - 1 tokens that follow on the page."""
-    w = Window.partitionBy(*PLACE).orderBy("ix").rowsBetween(0, n - 1)
-    return tokens.withColumn(name, F.collect_list(F.struct("ix", "text", "x0", "y0", "x1", "y1")).over(w))
+def _rules(rules: DataFrame) -> list[pages.Rule]:
+    """The rules, a list of fixed size, as plain values; number_regex, unit, steps and norms may be left out."""
+    known = [c for c in ("code", "anchors", "number_regex", "unit", "steps", "norms") if c in rules.columns]
+    return [pages.rule(**r.asDict()) for r in rules.select(*known).collect()]
+
+
+def _by_page(tokens: DataFrame, rules: list[pages.Rule], columns: str, found) -> DataFrame:
+    """file_id, page and what found(page, places, rule, start, end) gives for each anchor span; pages that name no anchor are passed over."""
+    t = tokens.select(*PLACE, "ix", "text", "y0", "y1").where("text is not null")
+    kinds = dict(t.dtypes)
+    names = [*PLACE, "code", "start", "end", *(c.strip().split()[0] for c in columns.split(";"))]
+    schema = ", ".join([f"file_id {kinds['file_id']}", f"page {kinds['page']}", "code string", "start bigint", "end bigint", *(c.strip() for c in columns.split(";"))])
+
+    def one(key: tuple, rows: list[tuple]) -> list[tuple]:
+        page = pages.Page([r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows])
+        said = " ".join(f for f in page.folded if f)
+        out = []
+        for r in rules:
+            if any(a in said for a in r.anchors):
+                for start, end in pages.spans(page.folded, r.anchors):
+                    hit = found(page, [x[0] for x in rows], r, start, end)
+                    if hit is not None:
+                        out.append((*key, r.code, rows[start][0], rows[end][0], *hit))
+        return out
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, rows, out = None, [], []
+        for b in batches:
+            for f, p, *token in zip(b["file_id"], b["page"], b["ix"], b["text"], b["y0"], b["y1"]):
+                if (f, p) != key:
+                    if rows:
+                        out += one(key, rows)
+                    key, rows = (f, p), []
+                rows.append(tuple(token))
+            yield pd.DataFrame(out, columns=names)
+            out = []
+        if rows:
+            yield pd.DataFrame(one(key, rows), columns=names)
+
+    return t.repartition(*PLACE).sortWithinPartitions(*PLACE, "ix").mapInPandas(walk, schema)
 
 
 def anchor_spans(tokens: DataFrame, rules: DataFrame) -> DataFrame:
-    """EXT-01: code, file_id, page, start, end, y0, y1, after: for each token where an anchor begins, the shortest span that contains one, and the tokens after it.
+    """EXT-01: file_id, page, code, start, end, after: for each token the shortest span of at most eight from it whose folded text contains an anchor, and the text of the tokens after it.
 
-    rules: code, anchors (array).  Anchors are compared folded; of several spans from one token
-    the shortest counts.
+    rules: code, anchors (array).  `after` is of the twelve tokens that follow, those on the row of the span's end if any are.
     """
-    anchors = rules.select("code", F.explode("anchors").alias("anchor")).select("code", fold_label(F.col("anchor")).alias("anchor"))
-    anchors = anchors.withColumn("first", F.split("anchor", " ")[0]).withColumn("n", F.size(F.split("anchor", " ")))
-    wide = with_following(tokens, ANCHOR_WORDS + AFTER_WORDS).withColumn("first", fold_label(F.col("text")))
-    j = wide.join(F.broadcast(anchors), "first").where(F.col("n") <= ANCHOR_WORDS)
-    said = F.array_join(F.transform(F.slice("next", F.lit(1), F.col("n")), lambda t: fold_label(t["text"])), " ")
-    j = j.where(said == F.col("anchor")).withColumn("end", F.try_element_at("next", F.col("n"))["ix"])
-    return j.groupBy("code", *PLACE, F.col("ix").alias("start")).agg(F.min_by(F.struct("end", "y0", "y1", F.slice("next", F.col("n") + 1, F.lit(AFTER_WORDS)).alias("after")), "n").alias("r")).select("code", *PLACE, "start", "r.*")
 
+    def after(page: pages.Page, places: list[int], r: pages.Rule, start: int, end: int) -> tuple:
+        rest = range(end + 1, min(len(places), end + 1 + pages.AFTER_WORDS))
+        return (" ".join(page.words[i] for i in [j for j in rest if page.overlap(end, j)] or rest),)
 
-def same_row(after: Column, y0: Column, y1: Column) -> Column:
-    """The tokens of a span that share its row, or all where none does."""
-    row = F.filter(after, lambda t: (t["y0"] < y1) & (y0 < t["y1"]))
-    return F.when(F.size(row) > 0, row).otherwise(after)
+    return _by_page(tokens, _rules(rules), "after string", after)
 
 
 def extract_numbers(tokens: DataFrame, rules: DataFrame) -> DataFrame:
-    """EXT-02: code, file_id, value, last_value, page, start, confidence: of each rule and file the best-placed number after an anchor.
-
-    Bracketed numbers are notes and only taken where there is no other.  The first and the last
-    number of the row are two reads; where they differ the confidence is .40, else .99.  Of several
-    anchors the one whose number is on its row, no note, not zero and nearest wins.
+    """EXT-02: code, file_id, value, last_value, page, start, confidence: of each rule and file the best-placed number beside an anchor.
+
+    rules: code, anchors, and where needed number_regex, unit (values are brought to it, those of
+    another dimension passed over), steps of the notation and norms.  Read are the plain numbers
+    after the anchor on its row, else the nearest one before it on its row, else bracketed ones
+    (notes) after it; where nothing stands after it on the row, the next twelve tokens.  The first
+    and the last number are two reads; where they differ the confidence is .40, else .99.  Of
+    several anchors the one whose number is on its row, no note, under no foreign norm, not zero,
+    nearest, and on a numbered row wins.
     """
-    spans = anchor_spans(tokens, rules)
-    row = same_row(F.col("after"), F.col("y0"), F.col("y1"))
-    text = F.array_join(F.transform(row, lambda t: t["text"]), " ")
-    s = spans.withColumn("on_row", F.size(F.filter("after", lambda t: (t["y0"] < F.col("y1")) & (F.col("y0") < t["y1"]))) > 0).withColumn("text", text)
-    plain = F.regexp_extract_all(F.regexp_replace("text", r"\([^)]*\)", " "), F.lit(FIGURE), 1)
-    s = s.withColumn("plain", plain).withColumn("note", F.size("plain") == 0).withColumn("reads", F.when(F.size("plain") > 0, F.col("plain")).otherwise(F.regexp_extract_all("text", F.lit(FIGURE), 1))).where(F.size("reads") > 0)
-    s = s.withColumn("value", parse_number(F.get("reads", F.lit(0)))).withColumn("last_value", parse_number(F.try_element_at("reads", F.lit(-1)))).where("value is not null")
-    rank = F.struct(~F.col("on_row"), F.col("note"), F.col("value") == 0, F.instr(F.col("text"), F.get("reads", F.lit(0))), "page", "start")
-    agree = F.col("value").eqNullSafe(F.col("last_value"))
-    return s.groupBy("code", "file_id").agg(F.min_by(F.struct("value", "last_value", "page", "start", F.when(agree, 0.99).otherwise(0.40).alias("confidence")), rank).alias("r")).select("code", "file_id", "r.*")
+
+    def best(page: pages.Page, places: list[int], r: pages.Rule, start: int, end: int) -> tuple | None:
+        hit = page.best_number(start, end, r)
+        return hit and (*hit[0], hit[1], hit[2])
+
+    marks = ["off_row", "note", "foreign", "zero", "distance", "unnumbered"]
+    s = _by_page(tokens, _rules(rules), "off_row boolean; note boolean; foreign boolean; zero boolean; distance int; unnumbered boolean; value double; last_value double", best)
+    agree = F.col("value") == F.col("last_value")
+    r = F.min_by(F.struct("value", "last_value", "page", "start", F.when(agree, 0.99).otherwise(0.40).alias("confidence")), F.struct(*marks, "page", "end", "start"))
+    return s.groupBy("code", "file_id").agg(r.alias("r")).select("code", "file_id", "r.*")
 
 
 def extract_text(tokens: DataFrame, rules: DataFrame) -> DataFrame:
@@ -84,12 +113,10 @@ def extract_text(tokens: DataFrame, rules: DataFrame) -> DataFrame:
 
     rules: code, anchors, regex; a rule without regex reads nothing.
     """
-    spans = anchor_spans(tokens, rules)
-    first = spans.groupBy("code", "file_id").agg(F.min_by(F.struct("after", "y0", "y1"), F.struct("page", "start")).alias("s"))
+    first = anchor_spans(tokens, rules).groupBy("code", "file_id").agg(F.min_by("after", F.struct("page", "start")).alias("said"))
     j = first.join(F.broadcast(rules.where("regex is not null").select("code", "regex")), "code")
-    text = F.array_join(F.transform(same_row(F.col("s.after"), F.col("s.y0"), F.col("s.y1")), lambda t: t["text"]), " ")
-    j = j.withColumn("found", F.regexp_extract_all(text, F.col("regex"), F.lit(0))).where(F.size("found") > 0)
-    return j.select("code", "file_id", F.upper(F.get("found", F.lit(0))).alias("value"), (F.upper(F.get("found", F.lit(0))) == F.upper(F.try_element_at("found", F.lit(-1)))).alias("agree"))
+    j = j.withColumn("found", F.transform(F.regexp_extract_all("said", F.concat(F.lit("(?iu)"), "regex"), F.lit(0)), enum_value)).where(F.size("found") > 0)
+    return j.select("code", "file_id", F.get("found", F.lit(0)).alias("value"), (F.get("found", F.lit(0)) == F.try_element_at("found", F.lit(-1))).alias("agree"))
 
 
 def extract_presence(tokens: DataFrame, rules: DataFrame) -> DataFrame:

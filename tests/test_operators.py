@@ -1,6 +1,7 @@
 """Golden rows and odd cases of the comparing, text, scoring, intake, revision and extraction operators."""
 
 import json
+import random
 import re
 import zipfile
 from datetime import datetime
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagelens.functions import measure, text
-from pagelens.operators import cascade, comparators, eventlog, extract, intake, revisions, scoring
+from pagelens.operators import anchors, cascade, comparators, eventlog, extract, intake, revisions, scoring
 from pagelens.plans.texts import RULE_TYPE
 
 
@@ -226,6 +227,43 @@ def test_extraction(spark):
     assert m == {"м2": (10.0, None), "м3": (None, "repeated"), "га": (None, "missing")}
 
 
+def test_anchor_by_containment_and_whole_row(spark):
+    """What an equality of words and a window of twelve after the anchor would lose."""
+    filler = " ".join("слово" for _ in range(20))
+    cases = [
+        ("«Площадь»: 12", (12.0, 12.0, 0.99)),  # the anchor within a token
+        ("подплощадью 13", (13.0, 13.0, 0.99)),
+        ("общая\u00a0площадь\u00a014\u00a0м2", (14.0, 14.0, 0.99)),  # no-break blanks
+        ("23 площадь (прим. 7)", (23.0, 23.0, 0.99)),  # before the anchor, a note after it
+        ("7 8 площадь", (7.0, 7.0, 0.99)),  # spans begin at every token, as in the reference: `8 площадь` has 7 before it
+        (f"площадь {filler} 15", (15.0, 15.0, 0.99)),  # on the row, more than twelve tokens on
+        (f"площадь 16 {filler} 17", (16.0, 17.0, 0.40)),
+        ("площадь\nв том числе 18", (18.0, 18.0, 0.99)),  # a following row
+        (f"площадь\n{filler} 19", None),  # too far on following rows
+        ("площадь стен\n20", None),  # the row goes on without a number
+        ("площадь 0\nплощадь стен и 21", (21.0, 21.0, 0.99)),
+        ("площадь 5 000 мм2", (0.005, 0.005, 0.99)),
+        ("площадь 2 тыс. м2", (2000.0, 2000.0, 0.99)),
+        ("площадь 30 кВт", None),  # another dimension
+        ("без якоря 22", None),
+    ]
+    docs = spark.createDataFrame([(str(i), t) for i, (t, _) in enumerate(cases)], "id string, t string")
+    rules = spark.createDataFrame([("S", ["Площадь"], "м2")], "code string, anchors array<string>, unit string")
+    t = extract.tokens_of_text(docs, "id", "t")
+    got = {int(r.file_id): (r.value, r.last_value, r.confidence) for r in extract.extract_numbers(t, rules).collect()}
+    assert {i: got.get(i) for i in range(len(cases))} == {i: e for i, (_, e) in enumerate(cases)}
+    assert {int(r.file_id) for r in extract.extract_presence(t, rules).collect()} == set(range(14))
+
+
+def test_spans_equal_search():
+    rng = random.Random(3)
+    for _ in range(300):
+        words = [rng.choice(["а", "аб", "б", "ба", "в"]) for _ in range(rng.randrange(0, 14))]
+        wanted = tuple(" ".join(rng.choice(["а", "б", "ба"]) for _ in range(rng.randrange(1, 4))) for _ in range(2))
+        slow = [(i, e) for i in range(len(words)) for e in [next((e for e in range(i, min(len(words), i + 8)) if any(a in " ".join(words[i : e + 1]) for a in wanted)), None)] if e is not None]
+        assert anchors.spans(words, wanted) == slow
+
+
 def test_rooms(spark):
     pd_, rd = ([("o", r, f) for r, f in x] for x in ([("1", "a"), ("2", None), ("3", "a"), ("4", None)], [("1", None), ("2", "a"), ("4", None), ("5", None)]))
     s = "object_id string, room string, feature string"
