@@ -130,19 +130,48 @@ def _by_component(arrays: bool):
     return run
 
 
-def _doubling(nodes: DataFrame) -> DataFrame:
-    """The same result for components too large for one task: each round doubles the steps known."""
-    state = cut_lineage(nodes.select("node", "parent", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), F.array()).otherwise(F.array("parent")).alias("way")))
-    n, steps = state.count(), 1
-    while steps <= n and state.where(F.col("up").isNotNull()).limit(1).count():
-        ahead = state.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("way").alias("way2"))
-        state = cut_lineage(state.join(ahead, "up", "left").select("node", "parent", F.col("up2").alias("up"), F.when(F.size("way") > n, F.col("way")).otherwise(F.concat("way", F.coalesce("way2", F.array().cast("array<string>")))).alias("way")))
+def _double(state: DataFrame, most: int, step) -> DataFrame:
+    """step(state, ahead) until no `up` is left or more than `most` links are known; ahead is the state of `up`."""
+    steps = 1
+    while steps <= most and state.where(F.col("up").isNotNull()).limit(1).count():
+        ahead = state.select(F.col("node").alias("up"), *(F.col(c).alias(f"{c}2") for c in state.columns if c != "node"))
+        state = cut_lineage(step(state, ahead))
         steps *= 2
-    ring = F.col("up").isNotNull()
-    tree = state.where(~ring).withColumn("depth", F.size("way")).withColumn("root", F.coalesce(F.try_element_at("way", F.lit(-1)), F.col("node")))
-    under = tree.select(F.explode("way").alias("node"), F.col("node").alias("d")).groupBy("node").agg(F.sort_array(F.collect_list("d")).alias("descendants"))
-    tree = tree.join(under, "node", "left").select("node", "parent", "root", "depth", F.reverse(F.concat(F.array("node"), "way")).alias("path"), F.coalesce("descendants", F.array().cast("array<string>")).alias("descendants"), F.coalesce(F.size("descendants"), F.lit(0)).cast("bigint").alias("n_descendants"), F.lit("tree").alias("mark"))
-    rings = state.where(ring).select("node", "parent", F.lit("CYCLE").alias("root"), F.lit(-1).alias("depth"), F.lit(None).cast("array<string>").alias("path"), F.lit(None).cast("array<string>").alias("descendants"), F.lit(None).cast("bigint").alias("n_descendants"), F.when(F.array_contains("way", F.col("node")), "circle").otherwise("into_circle").alias("mark"))
+    return state
+
+
+def _doubling(nodes: DataFrame, arrays: bool) -> DataFrame:
+    """The same result for components too large for one task: each round doubles the links known.
+
+    A node carries its ancestor that many links up (none beyond the root), the highest one known,
+    and the number of nodes less than that many links below; whoever still has an ancestor after
+    as many links as there are nodes leads into a circle, and these ancestors are its nodes.
+    Only for tree nodes, and only where asked, are ways written out, which is the size of the result.
+    """
+    nodes = cut_lineage(nodes)
+
+    def pairs(state: DataFrame, ahead: DataFrame) -> DataFrame:
+        more = state.where("up is not null").groupBy(F.col("up").alias("node")).agg(F.sum("below").alias("more"))
+        j = state.join(ahead.drop("below2", "parent2", "component2"), "up", "left").join(more, "node", "left")
+        return j.select("node", "parent", "component", F.col("up2").alias("up"), F.coalesce("top2", "top").alias("top"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("below") + F.coalesce("more", F.lit(0))).alias("below"))
+
+    one = F.col("parent").isNotNull().cast("bigint")
+    state = nodes.select("node", "parent", "component", F.col("parent").alias("up"), F.coalesce("parent", "node").alias("top"), one.alias("depth"), F.lit(1).cast("bigint").alias("below"))
+    state = _double(state, nodes.count(), pairs)
+    none = F.lit(None).cast("array<string>")
+    tree = state.where("up is null").select("node", "parent", F.col("top").alias("root"), F.col("depth").cast("int").alias("depth"), (F.col("below") - 1).alias("n_descendants"), F.lit("tree").alias("mark"))
+    ring = state.where("up is not null")
+    circle = ring.select(F.col("up").alias("node")).distinct().withColumn("on_it", F.lit(True))
+    mark = F.when(F.col("on_it"), "circle").otherwise("into_circle")
+    rings = ring.join(circle, "node", "left").select("node", "parent", F.lit("CYCLE").alias("root"), F.lit(-1).alias("depth"), none.alias("path"), none.alias("descendants"), F.lit(None).cast("bigint").alias("n_descendants"), mark.alias("mark"))
+    if not arrays:
+        return tree.withColumn("path", none).withColumn("descendants", none).unionByName(rings)
+    tree = cut_lineage(tree)
+    longer = lambda s, ahead: s.join(ahead, "up", "left").select("node", F.col("up2").alias("up"), F.concat("way", F.coalesce("way2", F.array().cast("array<string>"))).alias("way"))
+    ways = _double(tree.select("node", F.col("parent").alias("up"), F.array_compact(F.array("parent")).alias("way")), tree.count(), longer)
+    ways = ways.select("node", "way", F.reverse(F.concat(F.array("node"), "way")).alias("path"))
+    under = ways.select(F.explode("way").alias("node"), F.col("node").alias("d")).groupBy("node").agg(F.sort_array(F.collect_list("d")).alias("descendants"))
+    tree = tree.join(ways.select("node", "path"), "node").join(under, "node", "left").withColumn("descendants", F.coalesce("descendants", F.array().cast("array<string>")))
     return tree.unionByName(rings)
 
 
@@ -166,8 +195,6 @@ def hierarchy(links: DataFrame, arrays: bool = True, component_rows: int = COMPO
     fit = rows.join(large, "component", "left_anti") if some else rows
     out = fit.repartition("component").sortWithinPartitions("component").mapInPandas(_by_component(arrays), SCHEMA)
     if some:
-        rest = _doubling(rows.join(large, "component", "left_semi").select("node", "parent"))
-        if not arrays:
-            rest = rest.withColumn("path", F.lit(None).cast("array<string>")).withColumn("descendants", F.lit(None).cast("array<string>"))
+        rest = _doubling(rows.join(large, "component", "left_semi").select("node", "parent", "component"), arrays)
         out = out.unionByName(rest)
     return out

@@ -113,6 +113,19 @@ def test_hierarchy(spark):
     assert hierarchy.hierarchy(df.limit(0)).count() == 0
 
 
+def test_large_components_carry_no_ways(spark, monkeypatch):
+    """Without arrays nothing that is written between rounds may grow with the way up; a long way into a circle and a deep chain."""
+    parent = {f"c{i:03d}": f"c{i + 1:03d}" for i in range(300)} | {"c300": "c298"} | {f"t{i:03d}": f"t{i + 1:03d}" for i in range(200)} | {"u": "t150"}
+    df = spark.createDataFrame([*parent.items()], "node string, parent string")
+    seen, cut = [], hierarchy.cut_lineage
+    monkeypatch.setattr(hierarchy, "cut_lineage", lambda x: seen.append(x.dtypes) or cut(x))
+    rows = {r.node: r for r in hierarchy.hierarchy(df, arrays=False, component_rows=30).collect()}
+    assert not [t for types in seen for _, t in types if t.startswith("array")]
+    assert {n: (r.root, r.depth) for n, r in rows.items()} == brute_tree(parent)
+    assert {n: r.n_descendants for n, r in rows.items()} == {r.node: r.n_descendants for r in hierarchy.hierarchy(df, arrays=False).collect()}
+    assert sorted(n for n, r in rows.items() if r.mark not in ("tree", "into_circle")) == ["c298", "c299", "c300"]
+
+
 def circles(parent):
     seen = set()
     for n in parent:
