@@ -96,8 +96,10 @@ def _traverse(nodes: list[str], parents: list[str | None], arrays: bool) -> list
             walk.append(n)
             n = parent[n]
         if n in grey:
-            circle.update(walk[grey[n] :])
-            back.add(walk[-1])
+            ring = walk[grey[n] :]
+            circle.update(ring)
+            first = min(ring)
+            back.update(m for m in ring if parent[m] == first)
         grey.clear()
         black.update(walk)
         for m in walk:
@@ -162,15 +164,18 @@ def _doubling(nodes: DataFrame, arrays: bool) -> DataFrame:
     tree = state.where("up is null").select("node", "parent", F.col("top").alias("root"), F.col("depth").cast("int").alias("depth"), (F.col("below") - 1).alias("n_descendants"), F.lit("tree").alias("mark"))
     ring = state.where("up is not null")
     circle = ring.select(F.col("up").alias("node")).distinct().withColumn("on_it", F.lit(True))
-    mark = F.when(F.col("on_it"), "circle").otherwise("into_circle")
-    rings = ring.join(circle, "node", "left").select("node", "parent", F.lit("CYCLE").alias("root"), F.lit(-1).alias("depth"), none.alias("path"), none.alias("descendants"), F.lit(None).cast("bigint").alias("n_descendants"), mark.alias("mark"))
+    first = ring.groupBy("component").agg(F.min("up").alias("first"))  # a component has one circle at most
+    mark = F.when(F.col("on_it") & (F.col("parent") == F.col("first")), "back_edge").when(F.col("on_it"), "circle").otherwise("into_circle")
+    rings = ring.join(circle, "node", "left").join(first, "component").select("node", "parent", F.lit("CYCLE").alias("root"), F.lit(-1).alias("depth"), none.alias("path"), none.alias("descendants"), F.lit(None).cast("bigint").alias("n_descendants"), mark.alias("mark"))
     if not arrays:
         return tree.withColumn("path", none).withColumn("descendants", none).unionByName(rings)
     tree = cut_lineage(tree)
     longer = lambda s, ahead: s.join(ahead, "up", "left").select("node", F.col("up2").alias("up"), F.concat("way", F.coalesce("way2", F.array().cast("array<string>"))).alias("way"))
     ways = _double(tree.select("node", F.col("parent").alias("up"), F.array_compact(F.array("parent")).alias("way")), tree.count(), longer)
     ways = ways.select("node", "way", F.reverse(F.concat(F.array("node"), "way")).alias("path"))
-    under = ways.select(F.explode("way").alias("node"), F.col("node").alias("d")).groupBy("node").agg(F.sort_array(F.collect_list("d")).alias("descendants"))
+    ways = cut_lineage(ways.orderBy("path").withColumn("pos", F.monotonically_increasing_id()))  # sorted by path is depth-first
+    below = F.sort_array(F.collect_list(F.struct("pos", "d")))
+    under = ways.select(F.explode("way").alias("node"), "pos", F.col("node").alias("d")).groupBy("node").agg(F.transform(below, lambda x: x["d"]).alias("descendants"))
     tree = tree.join(ways.select("node", "path"), "node").join(under, "node", "left").withColumn("descendants", F.coalesce("descendants", F.array().cast("array<string>")))
     return tree.unionByName(rings)
 
@@ -183,7 +188,8 @@ def hierarchy(links: DataFrame, arrays: bool = True, component_rows: int = COMPO
     traversed there with an explicit stack; a component of more than component_rows nodes is
     resolved by joins instead, whatever its size.  A node on a circle, or whose way up leads
     into one, has root CYCLE, depth -1 and null path and descendants; mark is `circle`,
-    `into_circle`, or `back_edge` for the node whose link closes the circle.  With arrays=False
+    `into_circle`, or `back_edge` for the node whose link closes the circle, walked from its
+    smallest node.  The rows do not depend on component_rows.  With arrays=False
     path and descendants stay null.  Null nodes and parents are left out; an empty input gives
     no rows.
     """

@@ -126,6 +126,17 @@ def test_large_components_carry_no_ways(spark, monkeypatch):
     assert sorted(n for n, r in rows.items() if r.mark not in ("tree", "into_circle")) == ["c298", "c299", "c300"]
 
 
+def test_hierarchy_is_the_same_for_any_limit(spark):
+    """Marks, order of descendants and all else, with and without arrays; several circles, a link to itself, siblings out of name order."""
+    rng = random.Random(5)
+    parent = {f"n{i}": f"n{rng.randrange(0, 90)}" for i in range(80)} | {f"d{i}": f"d{rng.randrange(0, i)}" for i in range(1, 60)} | {"s": "s", "t": "s", "x": "y", "y": "x", "z": "x"}
+    df = spark.createDataFrame([*parent.items()], "node string, parent string")
+    for arrays in (True, False):
+        one, two = (sorted(map(repr, hierarchy.hierarchy(df, arrays, limit).select(*(c.split()[0] for c in hierarchy.SCHEMA.split(", "))).collect())) for limit in (200_000, 1))
+        assert one == two
+        assert sum("mark='back_edge'" in r for r in two) == sum(1 for _ in circles(parent))
+
+
 def circles(parent):
     seen = set()
     for n in parent:
