@@ -95,24 +95,30 @@ def pack(x: DataFrame, part_items: int = PART_ITEMS, joined: int = JOINED) -> Da
     decreasing.  A partition whose container count equals its lower bound is certified: only its
     open containers (those not full) can be spared by others.  The items of open containers of all
     partitions are exchanged (joined partitions become one) and packed again, round by round, until
-    one partition is left; full containers stay as they are.  Items of 0 tokens take part and weigh nothing.  Repeated rows are separate
+    one partition of the target is left; full containers stay as they are.  No task takes more than
+    about joined * part_items items: where so many stay open that the partitions don't become fewer
+    by a quarter, the target's open containers stay as packed.  Items of 0 tokens take part and weigh nothing.  Repeated rows are separate
     items.  An empty table gives no rows.
     """
     x = cut_lineage(x)  # the sizes are counted once, for the number of partitions and for the packing
-    counts = [r["count"] for r in x.groupBy("target_id").count().collect()]
-    parts = max(1, -(-max(counts, default=0) // part_items))
-    rest = x.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)))
+    counts = {r["target_id"]: r["count"] for r in x.groupBy("target_id").count().collect()}
+    n_first = max(1, -(-max(counts.values(), default=0) // part_items))
+    parts = dict.fromkeys(counts, n_first)
+    rest = x.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n_first)))
     done, n_round = [], 0
     while True:
         packed = cut_lineage(rest.groupBy("target_id", "part").applyInPandas(_pack, PACKED)).withColumn("round", F.lit(n_round))
-        if parts == 1:
+        open_ = packed.where("used < capacity")
+        left = {r["target_id"]: r["count"] for r in open_.groupBy("target_id").count().collect()} if max(parts.values(), default=1) > 1 else {}
+        fewer = {t: max(-(-parts[t] // joined), -(-n // (joined * part_items))) for t, n in left.items()}
+        parts = {t: n for t, n in fewer.items() if 4 * n <= 3 * parts[t]}
+        if not parts:
             done.append(packed)
             break
-        full = packed.where("used >= capacity")
-        done.append(full)
+        going = F.broadcast(x.sparkSession.createDataFrame([*parts.items()], "target_id int, parts int"))
+        done.append(packed.where(~(F.col("target_id").isin(*parts) & F.expr("used < capacity"))))
         n_round += 1
-        parts = -(-parts // joined)
-        rest = packed.where("used < capacity").select("target_id", "capacity", "doc_id", "piece", "n_tokens", F.pmod(F.col("part"), F.lit(parts)).alias("part"))
+        rest = open_.join(going, "target_id").select("target_id", "capacity", "doc_id", "piece", "n_tokens", F.pmod(F.xxhash64("part", "bin"), F.col("parts")).alias("part"))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -182,6 +182,24 @@ def test_pack(spark, part_items):
     assert packing.pack(packing.items(df.limit(0), targets)).count() == 0
 
 
+def test_pack_leaves_no_task_with_all_items(spark):
+    """Items above half the capacity fill no container exactly, so what is open hardly shrinks; a target beside it still ends in one partition."""
+    rng = random.Random(6)
+    sizes = [(i, "t", rng.randint(33, 63)) for i in range(3000)] + [(i, "u", rng.randint(1, 30)) for i in range(3000, 3100)]
+    df = spark.createDataFrame(sizes, "doc_id bigint, tokenizer string, n_tokens bigint")
+    targets = spark.createDataFrame([(1, "t", 64), (2, "u", 64)], "target_id int, tokenizer string, capacity int")
+    got = packing.pack(packing.items(df, targets), part_items=20, joined=4).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == sorted((i, n) for i, _, n in sizes)
+    groups, filled = {}, {}
+    for r in got:
+        task = (r.target_id, *r.container_id.split("-")[:2])
+        groups[task] = groups.get(task, 0) + 1
+        filled[r.target_id, r.container_id] = filled.get((r.target_id, r.container_id), 0) + r.n_tokens
+    assert max(groups.values()) < 2 * 4 * 20 and max(filled.values()) <= 64
+    last = max(int(g[1]) for g in groups if g[0] == 2)
+    assert len([g for g in groups if g[0] == 2 and int(g[1]) == last]) == 1
+
+
 def test_reading_level_on_held_out_passages(spark, testdata):
     from pagelens.session import table
 
