@@ -1,9 +1,10 @@
 """Encoding of a corpus with a public tokenizer as a bounded-lookahead streaming transducer.
 
-Text is cut where no later character can change what stands before the cut: in front of every
-blank that follows a character with ink.  Such chunks are encoded once each and kept in a table
-of fixed size.  A chunk too long for that goes through StreamingEncoder, which emits a token as
-soon as the merge list's sufficient lookahead lies behind it, in constant memory.
+Every text goes through StreamingEncoder slice by slice.  Its state is the text that the split
+pattern can't cut yet and, of a piece that goes on, the bytes whose tokens a later byte could
+still change.  A token is emitted once it is stable: its piece has ended, or the merge list's
+sufficient lookahead lies behind it.  Pieces are merged here, by rank; a table of fixed size
+remembers what they gave.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import base64
 import codecs
 import functools
+import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,12 +22,14 @@ from pyspark.sql import functions as F
 
 #: Folder of the vocabulary files; None takes the installed package public_tokenizers.
 VOCABULARIES: str | None = None
-#: Chunks kept encoded by one Python worker; the table is emptied when full.
-KEPT = 250_000
-#: Characters from which a chunk without a cut is streamed rather than kept.
-LONG = 400
+#: Pieces remembered by one encoder, and bytes of the longest of them; the table is emptied when full.
+KEPT, KEPT_BYTES = 250_000, 64
+#: Characters handed to the encoder at once.
+SLICE = 1 << 14
 #: Characters after a piece that decide where it ends: the longest contraction of the split pattern.
 PIECE_LOOKAHEAD = 3
+#: Bytes from which a piece is merged by a heap rather than by looking through all its pairs.
+HEAPED = 48
 #: Values of a result batch.
 BATCH_VALUES = 4_000_000
 
@@ -85,23 +89,16 @@ class Vocabulary:
 
     def __init__(self, path: str) -> None:
         import public_tokenizers
-        import tiktoken
+        import regex
 
         self.ranks = read_ranks(path)
-        self.pattern = public_tokenizers.PATTERN
-        self.engine = tiktoken.Encoding("pagelens", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})
+        self.pieces = regex.compile(public_tokenizers.PATTERN)
         self.token_bytes = {i: b for b, i in self.ranks.items()}
 
     @functools.cached_property
     def lookahead(self) -> int:
         return sufficient_lookahead(merge_pairs(self.ranks))
 
-    @functools.cached_property
-    def pieces(self):
-        import regex
-
-        return regex.compile(self.pattern)
-
     def kind(self, ch: str) -> str:
         """A character of the same class of the split pattern that begins no contraction."""
         import regex
@@ -109,11 +106,53 @@ class Vocabulary:
         return "a" if regex.match(r"\p{L}", ch) else "1" if regex.match(r"\p{N}", ch) else " " if regex.match(r"\s", ch) else "!"
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one piece of the split pattern."""
-        return self.engine._encode_single_piece(piece)
-
-    def chunk(self, text: str) -> list[int]:
-        return self.engine.encode_ordinary(text)
+        """Ids of one piece: of all neighbours the pair of least rank, the leftmost of equals, becomes one, until no pair has a rank."""
+        ranks = self.ranks
+        if piece in ranks:
+            return [ranks[piece]]
+        if len(piece) > HEAPED:
+            return self._merge_heaped(piece)
+        get, none = ranks.get, len(ranks)
+        at = list(range(len(piece) + 1))  # where the parts begin
+        of = [get(piece[i : i + 2], none) for i in range(len(piece) - 1)]  # rank of each part with the next
+        while of:
+            least = min(of)
+            if least == none:
+                break
+            i = of.index(least)
+            del at[i + 1], of[i]
+            if i < len(of):
+                of[i] = get(piece[at[i] : at[i + 2]], none)
+            if i:
+                of[i - 1] = get(piece[at[i - 1] : at[i + 1]], none)
+        return [ranks[piece[x:y]] for x, y in zip(at, at[1:])]
+
+    def _merge_heaped(self, piece: bytes) -> list[int]:
+        """The same for long pieces: pairs wait in a heap, the parts are a linked list by their first bytes."""
+        ranks, n = self.ranks, len(piece)
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # a part [i, end[i]), and the first byte of the one before it
+        heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        gone = bytearray(n)
+        while heap:
+            _, i, stop = heapq.heappop(heap)
+            j = end[i]
+            if gone[i] or j >= n or end[j] != stop:  # one of the two parts is another by now
+                continue
+            end[i], gone[j] = stop, 1
+            if stop < n:
+                before[stop] = i
+                if (r := ranks.get(piece[i : end[stop]])) is not None:
+                    heapq.heappush(heap, (r, i, end[stop]))
+            if i:
+                h = before[i]
+                if (r := ranks.get(piece[h:stop])) is not None:
+                    heapq.heappush(heap, (r, h, stop))
+        out, i = [], 0
+        while i < n:
+            out.append(ranks[piece[i : end[i]]])
+            i = end[i]
+        return out
 
 
 @functools.lru_cache(maxsize=4)
@@ -121,70 +160,88 @@ def vocabulary(name: str, folder: str | None = None) -> Vocabulary:
     return Vocabulary(vocabulary_path(f"{name}.tiktoken", folder))
 
 
+class _Kept(dict):
+    """Piece to what `of` makes of its ids; bounded."""
+
+    def __init__(self, vocab: Vocabulary, of: Callable[[list[int]], object]) -> None:
+        self.v, self.of = vocab, of
+
+    def __missing__(self, piece: str):
+        data = piece.encode("utf-8", "replace")
+        value = self.of(self.v.merge(data))
+        if len(data) <= KEPT_BYTES:
+            if len(self) >= KEPT:
+                self.clear()
+            self[piece] = value
+        return value
+
+
+def _packed(ids: list[int]) -> bytes:
+    return np.asarray(ids, dtype="<i4").tobytes()
+
+
 class StreamingEncoder:
-    """feed() takes text in any slices and returns the ids that no later text can change; finish() returns the rest.
+    """feed() takes text in any slices and gives what `kept` makes of the ids that no later text can change; finish() gives the rest.
 
     Held back are at most the lookahead of the split pattern, that of the merges, and one token.
     """
 
-    def __init__(self, vocab: Vocabulary) -> None:
-        self.v = vocab
+    def __init__(self, vocab: Vocabulary, kept: _Kept | None = None, lookahead: int | None = None) -> None:
+        self.v, self.kept = vocab, _Kept(vocab, _packed) if kept is None else kept
+        self.lookahead = vocab.lookahead if lookahead is None else lookahead
         self.text = ""
         self.open = b""
 
-    def _merge_open(self, all_: bool) -> list[int]:
-        """Ids of the piece under way that are stable, or all of them at its end."""
-        if all_:
-            ids, self.open = (self.v.merge(self.open) if self.open else []), b""
-            return ids
-        if len(self.open) <= 2 * self.v.lookahead:
+    def _stable(self, ended: bool) -> list:
+        """Of the piece under way the tokens that are stable: all at its end, else those with the lookahead behind them."""
+        if ended:
+            piece, self.open = self.open, b""
+            return [self.kept.of(self.v.merge(piece))] if piece else []
+        if len(self.open) <= 2 * self.lookahead:
             return []
-        out, end, limit = [], 0, len(self.open) - self.v.lookahead
+        ids, end, limit = [], 0, len(self.open) - self.lookahead
         for i in self.v.merge(self.open):
             n = len(self.v.token_bytes[i])
             if end + n > limit:
                 break
-            out.append(i)
+            ids.append(i)
             end += n
         self.open = self.open[end:]
-        return out
+        return [self.kept.of(ids)]
 
-    def feed(self, text: str, last: bool = False) -> list[int]:
+    def feed(self, text: str, last: bool = False) -> list:
         self.text += text
-        out: list[int] = []
-        done, limit = 0, len(self.text) - (0 if last else PIECE_LOOKAHEAD)
+        out: list = []
+        done = 0
         if self.open:
             # the open piece is a run of letters, digits, marks or blanks; it goes on as far as the same run does
-            m = self.v.pieces.match(self.kind + self.text)
-            n = max(0, m.end() - 1)
+            limit = len(self.text) - (0 if last else PIECE_LOOKAHEAD)
+            n = max(0, self.v.pieces.match(self.kind + self.text).end() - 1)
             if n >= limit and not last:
                 n = max(0, limit)
                 self.open += self.text[:n].encode("utf-8", "replace")
                 self.text = self.text[n:]
-                return self._merge_open(False)
+                return self._stable(False)
             self.open += self.text[:n].encode("utf-8", "replace")
-            out += self._merge_open(True)
+            out = self._stable(True)
             done = n
-        for m in self.v.pieces.finditer(self.text, done):
-            if m.end() > limit or (m.end() == len(self.text) and not last):
-                s = m.group()
-                if not last and len(s) > 2 * self.v.lookahead + PIECE_LOOKAHEAD:
-                    keep = m.end() - PIECE_LOOKAHEAD
-                    self.open = self.text[m.start() : keep].encode("utf-8", "replace")
-                    self.kind = self.v.kind(self.text[keep - 1])
-                    done = keep
-                    out += self._merge_open(False)
-                break
-            out += self.v.merge(m.group().encode("utf-8", "replace"))
-            done = m.end()
-        self.text = self.text[done:]
-        if last and self.text:
-            out += self.v.chunk(self.text)
-            self.text = ""
+        # every character belongs to a piece, so the pieces say where each of them ends
+        pieces, held = self.v.pieces.findall(self.text, done), 0
+        while pieces and held < PIECE_LOOKAHEAD and not last:
+            held += len(pieces.pop())
+        out += map(self.kept.__getitem__, pieces)
+        self.text = self.text[len(self.text) - held :] if held else ""
+        if held > 2 * self.lookahead + PIECE_LOOKAHEAD:
+            first = self.v.pieces.match(self.text).end()
+            if first > 2 * self.lookahead + PIECE_LOOKAHEAD:
+                keep = first - PIECE_LOOKAHEAD
+                self.open, self.kind = self.text[:keep].encode("utf-8", "replace"), self.v.kind(self.text[keep - 1])
+                self.text = self.text[keep:]
+                out += self._stable(False)
         return out
 
-    def finish(self) -> list[int]:
-        return self.feed("", last=True) + self._merge_open(True)
+    def finish(self) -> list:
+        return self.feed("", last=True) + self._stable(True)
 
 
 class StreamingDecoder:
@@ -201,73 +258,30 @@ class StreamingDecoder:
         return self.state.decode(b"", True)
 
 
-def stream(vocab: Vocabulary, text: str, slice_: int = 1 << 14) -> list[int]:
+def stream(vocab: Vocabulary, text: str, slice_: int = SLICE) -> list[int]:
+    """The ids of a text fed in slices."""
     e = StreamingEncoder(vocab)
-    out: list[int] = []
-    for i in range(0, len(text), slice_):
-        out += e.feed(text[i : i + slice_])
-    return out + e.finish()
-
-
-class _Kept(dict):
-    """Chunk to what `of` makes of its ids; bounded."""
-
-    def __init__(self, vocab: Vocabulary, lead: str, of: Callable[[list[int]], object]) -> None:
-        self.v, self.lead, self.of = vocab, lead, of
-
-    def __missing__(self, chunk: str):
-        text = self.lead + chunk
-        value = self.of(stream(self.v, text) if len(text) > LONG else self.v.chunk(text))
-        if len(text) <= LONG:
-            if len(self) >= KEPT:
-                self.clear()
-            self[chunk] = value
-        return value
-
-
-def _packed(ids: list[int]) -> bytes:
-    return np.asarray(ids, dtype="<i4").tobytes()
+    out = [x for i in range(0, len(text), slice_) for x in e.feed(text[i : i + slice_])]
+    return np.frombuffer(b"".join(out + e.finish()), dtype="<i4").tolist()
 
 
 class Encoder:
-    """Ids or their number of whole texts, by way of the kept chunks."""
-
-    def __init__(self, vocab: Vocabulary, count: bool = False) -> None:
-        of = len if count else _packed
-        self.first, self.rest = _Kept(vocab, "", of), _Kept(vocab, " ", of)
-        self.join = sum if count else b"".join
-
-    def parts(self, text: str) -> Iterator:
-        """What each chunk gives, in order.
-
-        A plain blank is a cut if ink stands before it; a chunk that ends in another blank, or is
-        empty because blanks follow each other, has none behind it, so it is joined with the next.
-        """
-        chunks = text.split(" ")
-        if "" in chunks or not all(map(_ends_in_ink, chunks)):
-            joined, held = [], None
-            for c in chunks:
-                held = c if held is None else f"{held} {c}"
-                if _ends_in_ink(held):
-                    joined.append(held)
-                    held = None
-            if held is not None:
-                joined.append(held)
-            chunks = joined
-        yield self.first[chunks[0]]
-        yield from map(self.rest.__getitem__, chunks[1:])
-
-    def __call__(self, text: str | None):
-        return self.join(self.parts(text)) if text else self.join(())
+    """Packed ids of whole texts, or their number."""
 
+    def __init__(self, vocab: Vocabulary, count: bool = False, lookahead: int | None = None) -> None:
+        self.v, self.kept, self.join = vocab, _Kept(vocab, len if count else _packed), sum if count else b"".join
+        self.lookahead = vocab.lookahead if lookahead is None else lookahead
 
-def _ends_in_ink(chunk: str) -> bool:
-    return chunk != "" and not (chunk[-1].isspace() or chunk[-1] in "\x1c\x1d\x1e\x1f")
+    def __call__(self, text: str | None):
+        e, out = StreamingEncoder(self.v, self.kept, self.lookahead), []
+        for i in range(0, len(text or ""), SLICE):
+            out += e.feed(text[i : i + SLICE], i + SLICE >= len(text))
+        return self.join(out + e._stable(True))
 
 
 @functools.lru_cache(maxsize=8)
-def _encoder(name: str, folder: str | None, count: bool) -> Encoder:
-    return Encoder(vocabulary(name, folder), count)
+def _encoder(name: str, folder: str | None, count: bool, lookahead: int) -> Encoder:
+    return Encoder(vocabulary(name, folder), count, lookahead)
 
 
 def encode(documents: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
@@ -277,9 +291,10 @@ def encode(documents: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     of any length are encoded whole.
     """
     rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    lookahead = vocabulary(tokenizer, folder).lookahead  # of the merge list, found once, by the driver
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(tokenizer, folder, False)
+        enc = _encoder(tokenizer, folder, False, lookahead)
         for batch in batches:
             keys, at, packed, total = batch.column("key"), 0, [], 0
             for i, t in enumerate(batch.column("text").to_pylist()):
@@ -298,9 +313,10 @@ def encode(documents: DataFrame, tokenizer: str, key: str = "doc_id", text: str
 def count_tokens(documents: DataFrame, tokenizers: list[str], key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
     """key, tokenizer, n_tokens: the length of each text in tokens of each tokenizer; 0 for null and empty texts."""
     rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    lookaheads = {t: vocabulary(t, folder).lookahead for t in tokenizers}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encs = [_encoder(t, folder, True) for t in tokenizers]
+        encs = [_encoder(t, folder, True, n) for t, n in lookaheads.items()]
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for name, enc in zip(tokenizers, encs):
