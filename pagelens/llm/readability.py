@@ -130,7 +130,8 @@ def word_frequencies(documents: DataFrame, seed: Seeds, text: str = "text") -> D
                     counts[seed.place(ws)].update(ws | {""})
             if sum(map(len, counts.values())) > 2_000_000:
                 yield out()
-        yield out()
+        if any(counts.values()):
+            yield out()
 
     counted = documents.select(F.col(text).cast("string").alias("text")).mapInPandas(run, "word string, " + ", ".join(f"{c} bigint" for c in CLASSES))
     return counted.groupBy("word").agg(*(F.sum(c).alias(c) for c in CLASSES))
