@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.operators.orphans import file_times
-from pagelens.session import cut_lineage
+from pagelens.session import Rounds, cut_lineage, skew_join
 
 #: Nodes up to which one component is traversed by one task; larger ones are resolved by pointer doubling.
 COMPONENT_ROWS = 200_000
+#: Values of a result batch.
+BATCH_VALUES = 500_000
 SCHEMA = "node string, parent string, root string, depth int, path array<string>, descendants array<string>, n_descendants bigint, mark string"
 
 
@@ -23,89 +25,118 @@ def parent_links(files: DataFrame) -> DataFrame:
     otherwise the smallest id that names the file as its successor.  A file may be its own
     parent.  Blank and dangling links give none.
     """
-    once = file_times(files)
+    once = cut_lineage(file_times(files))
     ids = once.select(F.col("id").alias("parent"))
     up = once.select(F.col("id").alias("node"), F.explode("predecessors").alias("parent")).join(ids, "parent", "left_semi").groupBy("node").agg(F.min("parent").alias("by_predecessor"))
     down = once.select(F.col("id").alias("parent"), F.explode("successors").alias("node")).groupBy("node").agg(F.min("parent").alias("by_successor"))
     return once.select(F.col("id").alias("node")).join(up, "node", "left").join(down, "node", "left").select("node", F.coalesce("by_predecessor", "by_successor").alias("parent")).where(F.col("parent").isNotNull())
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node, component: the smallest node that is connected with it, by alternating large and small stars.
+def components(links: DataFrame) -> DataFrame:
+    """node, component: the smallest node that is connected with it, in a graph of any links, by alternating large and small stars.
 
-    Each round is two aggregations and joins of the remaining star edges; the number of rounds
-    grows with the logarithm of the longest chain.  Rounds are written to the checkpoint folder.
+    Nodes are numbered in the order of their names.  Each round is two aggregations and joins of the
+    remaining star edges, written to the checkpoint folder; their number grows with the logarithm of
+    the longest chain.  Edges gather at one node of a component, so the join by it is split by skew_join.
     """
-    pairs = links.where(F.col("node") != F.col("parent")).select(F.greatest("node", "parent").alias("u"), F.least("node", "parent").alias("v")).distinct()
-    edges = cut_lineage(pairs)
-    seen = None
-    for _ in range(max_rounds):
+    nodes = links.select("node").unionByName(links.select(F.col("parent").alias("node"))).distinct()
+    ids = cut_lineage(nodes.orderBy("node").withColumn("id", F.monotonically_increasing_id()))
+    a, b = ids.select("node", F.col("id").alias("a")), ids.select(F.col("node").alias("parent"), F.col("id").alias("b"))
+    pairs = links.where(F.col("node") != F.col("parent")).select("node", "parent").join(a, "node").join(b, "parent")
+    edges, seen = cut_lineage(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), None
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = skew_join(both, low, "u", "v", "n").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = cut_lineage(small)
+        rest = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = cut_lineage(rest.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    alone = links.select(F.col("node")).unionByName(links.select(F.col("parent").alias("node"))).distinct()
-    return alone.join(edges.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
+    labels = ids.join(edges, F.col("id") == F.col("u"), "left").select("node", F.coalesce("v", "id").alias("id"))
+    return labels.join(ids.withColumnRenamed("node", "component"), "id").select("node", "component")
 
 
-def _traverse(nodes: list[str], parents: list[str | None], arrays: bool) -> list[tuple]:
-    """Depth-first, without recursion.  White nodes are new, grey ones on the current way down, black ones done."""
+def forest_components(links: DataFrame) -> DataFrame:
+    """node, parent, component of a graph with one parent a node at most, and of its roots: a component is named by its root, or by the smallest node of its circle.
+
+    Every node points to an ancestor, twice as far up each round, until that is the root; a round is
+    one join, whose many rows for one ancestor adaptive execution can split.  After a round in which
+    no more nodes were left than links looked up, all nodes below a root have ended, and the others
+    lead into a circle and point to a node on it.
+    """
+    roots = links.select(F.col("parent").alias("node")).join(links.select("node"), "node", "left_anti").distinct()
+    none = F.lit(None).cast("string")
+    state = Rounds(links.sparkSession)
+    state.add(roots.select("node", none.alias("parent"), none.alias("up"), F.col("node").alias("top"), F.col("node").alias("low")))
+    state.add(links.select("node", "parent", F.col("parent").alias("up"), F.col("parent").alias("top"), F.least("node", "parent").alias("low")))
+    steps, left, final = 1, None, False
+    while True:
+        live = state.read().where((F.col("round") == state.last) & F.col("up").isNotNull())
+        left = live.count()
+        if not left or final:
+            break
+        final = left < steps
+        ahead = state.read().where((F.col("round") == state.last) | F.col("up").isNull())
+        ahead = ahead.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("top").alias("top2"), F.col("low").alias("low2"))
+        state.add(live.join(ahead, "up").select("node", "parent", F.col("up2").alias("up"), F.col("top2").alias("top"), F.least("low", "low2").alias("low")))
+        steps *= 2
+    trees = state.read().where("up is null").select("node", "parent", F.col("top").alias("component"))
+    if not left:
+        return trees
+    circles = live.join(live.select(F.col("node").alias("up"), F.col("low").alias("component")), "up")
+    return trees.unionByName(circles.select("node", "parent", "component"))
+
+
+def _traverse(nodes: list[str], parents: list[str | None], arrays: bool) -> Iterator[tuple]:
+    """Depth-first, without recursion.  White nodes are new, grey ones on the current way down, black ones done.
+
+    Rows are given one by one, so that of the paths and descendants, whose size may be the square of
+    the component's, none is held.
+    """
     parent = dict(zip(nodes, parents))
     children: dict[str, list[str]] = {}
     for n, p in parent.items():
         if p is not None:
             children.setdefault(p, []).append(n)
-    out: list[tuple] = []
     black: set[str] = set()
     for top in (n for n, p in parent.items() if p is None):
-        path: list[str] = []
+        depth = 0
         below: dict[str, int] = {}
-        order: list[tuple[str, tuple, int]] = []
+        order: list[tuple[str, int]] = []
         stack: list[tuple[str, bool]] = [(top, False)]
         while stack:
             n, leaving = stack.pop()
             if leaving:
-                path.pop()
+                depth -= 1
                 below[n] = len(order) - below[n]
                 black.add(n)
                 continue
-            path.append(n)
-            below[n] = len(order) + 1
-            order.append((n, tuple(path) if arrays else (), len(path) - 1))
+            order.append((n, depth))
+            below[n] = len(order)
+            depth += 1
             stack.append((n, True))
             stack.extend((c, False) for c in sorted(children.get(n, ()), reverse=True))
-        names = [n for n, _, _ in order]
-        for i, (n, way, depth) in enumerate(order):
-            out.append((n, parent[n], top, depth, list(way) if arrays else None, names[i + 1 : i + 1 + below[n]] if arrays else None, below[n], "tree"))
-    grey: dict[str, int] = {}
-    circle: set[str] = set()
-    back: set[str] = set()
+        names, path = [n for n, _ in order], []
+        for i, (n, depth) in enumerate(order):
+            del path[depth:]
+            path.append(n)
+            yield n, parent[n], top, depth, list(path) if arrays else None, names[i + 1 : i + 1 + below[n]] if arrays else None, below[n], "tree"
     for start in parent:
+        grey: dict[str, int] = {}
         walk, n = [], start
         while n not in black and n not in grey:
             grey[n] = len(walk)
             walk.append(n)
             n = parent[n]
-        if n in grey:
-            ring = walk[grey[n] :]
-            circle.update(ring)
-            first = min(ring)
-            back.update(m for m in ring if parent[m] == first)
-        grey.clear()
+        ring = walk[grey[n] :] if n in grey else []
+        circle, first = set(ring), min(ring, default=None)
         black.update(walk)
         for m in walk:
-            mark = "back_edge" if m in back else "circle" if m in circle else "into_circle"
-            out.append((m, parent[m], "CYCLE", -1, None, None, None, mark))
-    return out
+            mark = "into_circle" if m not in circle else "back_edge" if parent[m] == first else "circle"
+            yield m, parent[m], "CYCLE", -1, None, None, None, mark
 
 
 def _by_component(arrays: bool):
@@ -113,8 +144,15 @@ def _by_component(arrays: bool):
         names = [c.split()[0] for c in SCHEMA.split(", ")]
         kept: list[pd.DataFrame] = []
 
-        def done(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame(_traverse(pdf["node"].tolist(), [p if isinstance(p, str) else None for p in pdf["parent"]], arrays), columns=names)
+        def done(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            rows, held = [], 0
+            for row in _traverse(pdf["node"].tolist(), [p if isinstance(p, str) else None for p in pdf["parent"]], arrays):
+                rows.append(row)
+                held += 1 + len(row[4] or ()) + len(row[5] or ())
+                if held > BATCH_VALUES:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=names)
 
         for pdf in batches:
             if not len(pdf):
@@ -124,10 +162,10 @@ def _by_component(arrays: bool):
             if open_.all() and (not kept or kept[-1]["component"].iloc[-1] == last):
                 kept.append(pdf)
                 continue
-            yield done(pd.concat([*kept, pdf[~open_]]))
+            yield from done(pd.concat([*kept, pdf[~open_]]))
             kept = [pdf[open_]]
         if kept:
-            yield done(pd.concat(kept))
+            yield from done(pd.concat(kept))
 
     return run
 
@@ -195,7 +233,7 @@ def hierarchy(links: DataFrame, arrays: bool = True, component_rows: int = COMPO
     """
     links = links.select(F.col("node").cast("string").alias("node"), F.col("parent").cast("string").alias("parent")).where("node is not null and parent is not null").groupBy("node").agg(F.min("parent").alias("parent"))
     links = cut_lineage(links)
-    rows = cut_lineage(components(links).join(links, "node", "left"))
+    rows = cut_lineage(forest_components(links))
     large = rows.groupBy("component").count().where(F.col("count") > component_rows).select("component")
     some = bool(large.limit(1).count())
     fit = rows.join(large, "component", "left_anti") if some else rows

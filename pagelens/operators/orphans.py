@@ -17,9 +17,8 @@ def file_times(files: DataFrame) -> DataFrame:
     )
 
 
-def file_references(files: DataFrame, checks: DataFrame) -> DataFrame:
-    """src_table, rec_id, ref_field, ref_id, at: one row per record, field and file id referred to."""
-    once = file_times(files)
+def file_references(once: DataFrame, checks: DataFrame) -> DataFrame:
+    """src_table, rec_id, ref_field, ref_id, at: one row per record, field and file id referred to.  once: as file_times gives it."""
     links = [once.select(F.lit("files").alias("src_table"), F.col("id").alias("rec_id"), F.lit(field).alias("ref_field"), F.explode(column).alias("ref_id"), "at") for field, column in (("predecessor_id", "predecessors"), ("successor_id", "successors"))]
     named = checks.where(F.col("check_id").isNotNull()).select("check_id", "recorded_at", F.explode("evidence.file_id").alias("ref_id")).where(nonblank(F.col("ref_id")).isNotNull())
     named = named.groupBy("check_id", "ref_id").agg(F.min("recorded_at").alias("at"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens.operators import hierarchy, orphans, sessions, units
-from pagelens.session import table
+from pagelens.session import cut_lineage, table
 
 
 def _amounts(spark: SparkSession, d: str) -> DataFrame:
@@ -24,9 +24,10 @@ def p1_amounts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _references(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "files")
+    once = cut_lineage(orphans.file_times(table(spark, d, "files")))  # read three times
+    refs = cut_lineage(orphans.file_references(once, table(spark, d, "public_checks")))  # read twice: for the keys, and for the rows
     removed = table(spark, d, "file_removals").select(F.col("file_id").alias("id"))
-    return orphans.orphan_references(orphans.file_references(files, table(spark, d, "public_checks")), orphans.file_times(files).select("id", "at"), removed)
+    return orphans.orphan_references(refs, once.select("id", "at"), removed)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

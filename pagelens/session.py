@@ -6,11 +6,13 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows up to which a side counts as small enough to be sent to every executor.
 BROADCAST_ROWS = 20_000
@@ -53,20 +55,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from the files.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where none is
-    set (tests, local runs) a local folder is made.  The files survive lost executors.
+    It lies in the folder that the cluster names in spark.checkpoint.dir, so that what is written
+    there survives lost executors.  Where none is named, a local session gets a folder of its own,
+    removed at its end; on a cluster, whose executors could not share it, that is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="pagelens-checkpoint-"))
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if not named:
+            named = tempfile.mkdtemp(prefix="pagelens-checkpoint-")
+            atexit.register(shutil.rmtree, named, True)
+        sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and go on from the files."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Rounds:
+    """A table that grows by a part each round, in the shared folder; every round is cut off from the ones before it."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.last = spark, f"{shared_folder(spark)}/rounds-{uuid.uuid4()}", -1
+
+    def add(self, df: DataFrame) -> None:
+        self.last += 1
+        self.schema = df.schema
+        df.write.parquet(f"{self.folder}/round={self.last}")
+
+    def read(self) -> DataFrame:
+        """All rows so far, with the number of their `round`."""
+        return self.spark.read.schema(T.StructType([*self.schema, T.StructField("round", T.IntegerType())])).parquet(self.folder)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark df for broadcast if it is counted to have at most `rows` rows; else leave the join to the planner.
 
@@ -80,14 +109,17 @@ def nonblank(col) -> F.Column:
     return F.when(col.rlike(r"(?U)\S"), col)
 
 
-def skew_join(left: DataFrame, right: DataFrame, key: str, spread: str, weight: str, hot_rows: int = 100_000, salts: int = 16, most: int = 1000) -> DataFrame:
-    """Inner join of left with right, which has one row per key and in `weight` the key's rows on the left.
+def skew_join(left: DataFrame, right: DataFrame, key: str | list[str], spread: str, weight: str, hot_rows: int = 100_000, most: int = 1000) -> DataFrame:
+    """Inner join of left with right, which has in `weight` the number of the key's rows on the left.
 
-    Keys with at least hot_rows rows are split over `salts` tasks by the hash of `spread`.
-    The broadcast list holds the `most` heaviest of them, so its size is fixed; a hot key
-    beyond the list meets salt 0 and is only joined without splitting.
+    A key with hot_rows rows or more is split by the hash of `spread` over as many tasks as it
+    fills.  The broadcast list holds the `most` heaviest of them, so its size is fixed; a key
+    beyond the list has at most 1 / most of all rows, and is joined in one task.
     """
-    hot = right.where(F.col(weight) >= hot_rows).orderBy(F.col(weight).desc(), key).limit(most).select(key, F.lit(True).alias("_hot"))
-    salted = left.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)).drop("_hot")
-    copies = right.withColumn("_salt", F.explode(F.when(F.col(weight) >= hot_rows, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-    return salted.join(copies.drop(weight), [key, "_salt"]).drop("_salt")
+    keys = [key] if isinstance(key, str) else key
+    tasks = F.ceil(F.col(weight) / hot_rows).cast("int")
+    hot = right.where(F.col(weight) >= hot_rows).groupBy(*keys).agg(F.max(weight).alias(weight))
+    hot = hot.orderBy(F.col(weight).desc(), *keys).limit(most).select(*keys, tasks.alias("_tasks"))
+    salted = left.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_tasks")).cast("int"), F.lit(0))).drop("_tasks")
+    copies = right.withColumn("_salt", F.explode(F.when(F.col(weight) >= hot_rows, F.sequence(F.lit(0), tasks - 1)).otherwise(F.array(F.lit(0)))))
+    return salted.join(copies.drop(weight), [*keys, "_salt"]).drop("_salt")

@@ -69,11 +69,11 @@ def test_orphans(spark):
         ("public_checks", "k2", "evidence.file_id", "gone", "deleted", "2024-05"),
     }
     for hot in (1, 100_000):
-        found = orphans.orphan_references(orphans.file_references(files, checks), orphans.file_times(files).select("id", "at"), removed, hot_rows=hot)
+        found = orphans.orphan_references(orphans.file_references(orphans.file_times(files), checks), orphans.file_times(files).select("id", "at"), removed, hot_rows=hot)
         assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, expected))
     report = {(r.src_table, r.kind, r.period): r.n_refs for r in orphans.orphan_report(found).collect()}
     assert report["files", "missing", "2024-01"] == 1
-    none = orphans.orphan_references(orphans.file_references(files.limit(0), checks.limit(0)), orphans.file_times(files.limit(0)).select("id", "at"), removed)
+    none = orphans.orphan_references(orphans.file_references(orphans.file_times(files.limit(0)), checks.limit(0)), orphans.file_times(files.limit(0)).select("id", "at"), removed)
     assert none.count() == 0
 
 
