@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.session import cut_lineage
+from pagelens.session import cut_lineage, skew_join
 
 # Fixed values, as classes of a regular expression: characters without width or ink, blanks, hyphens.
 INVISIBLE = r"[\x{00}-\x{08}\x{0e}-\x{1f}\x{7f}-\x{84}\x{86}-\x{9f}\x{ad}\x{34f}\x{61c}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180f}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{3164}\x{fe00}-\x{fe0f}\x{feff}\x{ffa0}\x{fff9}-\x{fffb}]"
@@ -94,21 +94,40 @@ def canonicalize(df: DataFrame, column: str = "value") -> DataFrame:
     return plain.mapInArrow(run, schema).toDF(*names, "canonical")
 
 
-def equal_in_print(rows: DataFrame) -> DataFrame:
+SAME = ["field", "grp", "canonical"]
+
+
+def _canonical_rows(rows: DataFrame) -> DataFrame:
+    """The rows with their printed form, found once and written to the shared folder."""
+    return cut_lineage(canonicalize(rows.where("grp is not null and key is not null and value is not null").select("field", "grp", "key", "value")))
+
+
+def print_classes(rows: DataFrame) -> DataFrame:
+    """field, grp, canonical, n_strings, n_records: the classes of equal print of a group that more than one string has.
+
+    One row per class, however many records it has; null groups, keys and values are left out.
+    """
+    n = _canonical_rows(rows).groupBy(*SAME, "value").agg(F.countDistinct("key").alias("n"))
+    return n.groupBy(*SAME).agg(F.count(F.lit(1)).alias("n_strings"), F.sum("n").alias("n_records")).where("n_strings > 1")
+
+
+def equal_in_print(rows: DataFrame, hot_rows: int = 100_000) -> DataFrame:
     """field, key_a, key_b (key_a < key_b): pairs of records of one group whose values print the same but differ as strings.
 
     rows: field, grp, key, value.  Groups are first reduced to the printed forms that more than one
     string has; pairs are made of the distinct strings of those, and records joined to them, so
-    that the work follows the pairs that come out and not the square of a group.  Null groups,
-    keys and values are left out; repeated rows count once.
+    that the work follows the pairs that come out and not the square of a group.  A string that
+    many records have is split over several tasks in these joins.  Null groups, keys and values are
+    left out; repeated rows count once.
     """
-    same = ["field", "grp", "canonical"]
-    rows = canonicalize(rows.where("grp is not null and key is not null and value is not null").select("field", "grp", "key", "value"))
-    mixed = rows.groupBy(*same).agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo <> hi").select(*same)
-    part = cut_lineage(rows.join(mixed, same).select(*same, "key", "value").distinct())
-    strings = part.select(*same, "value").distinct()
-    pairs = strings.withColumnRenamed("value", "va").join(strings.withColumnRenamed("value", "vb"), same).where("va < vb")
-    pairs = pairs.join(part.select(*same, F.col("value").alias("va"), F.col("key").alias("ka")), [*same, "va"]).join(part.select(*same, F.col("value").alias("vb"), F.col("key").alias("kb")), [*same, "vb"])
+    rows = _canonical_rows(rows)
+    mixed = rows.groupBy(*SAME).agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo <> hi").select(*SAME)
+    part = cut_lineage(rows.join(mixed, SAME).select(*SAME, "key", "value").distinct())
+    strings = part.groupBy(*SAME, "value").agg(F.count(F.lit(1)).alias("n"))
+    pairs = strings.withColumnsRenamed({"value": "va", "n": "na"}).join(strings.withColumnsRenamed({"value": "vb", "n": "nb"}), SAME).where("va < vb")
+    side = lambda s: part.select(*SAME, F.col("value").alias(f"v{s}"), F.col("key").alias(f"k{s}"))
+    pairs = skew_join(side("a"), pairs, [*SAME, "va"], "ka", "na", hot_rows)
+    pairs = skew_join(side("b"), pairs, [*SAME, "vb"], "kb", "nb", hot_rows)
     return pairs.where("ka <> kb").select("field", F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).distinct()
 
 

@@ -64,9 +64,23 @@ def test_fast_form_is_the_full_form():
     assert con.sql(f"SELECT count(*) FROM ({canon.canonical_query('t', 'v')}) a JOIN ({canon.canonical_query('t', 'v', False)}) b ON a.v = b.v AND a.canonical <> b.canonical").fetchall() == [(0,)]
 
 
+def test_fast_form_of_every_allowed_character():
+    """Each character that the fast test lets pass, alone and beside a letter that only Cyrillic has."""
+    import duckdb
+
+    plain = [chr(c) for c in [*range(0x20, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F), *range(0x410, 0x450), 0x401, 0x451, *map(ord, "№²³—‰")]]
+    values = [v for c in plain for v in (c, f"{c}б", f"Щ{c}", f"б{c}б", f" {c}{c}ж ")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t AS SELECT unnest(?::VARCHAR[]) AS v", [values])
+    assert con.sql(f"SELECT count(*) FROM ({canon.canonical_query('t', 'v')}) a JOIN ({canon.canonical_query('t', 'v', False)}) b ON a.v = b.v AND a.canonical <> b.canonical").fetchall() == [(0,)]
+
+
 def test_equal_in_print(spark):
     r = [("f", "g", "1", "А1"), ("f", "g", "2", "A1"), ("f", "g", "3", "А1"), ("f", "g", "3", "А1"), ("f", "h", "4", "A1"), ("e", "g", "5", "A1"), ("f", "g", "6", None), ("f", None, "7", "A1"), ("f", "g", None, "A1"), ("f", "g", "8", "А1​")]
-    got = {tuple(x) for x in canon.equal_in_print(spark.createDataFrame(r, "field string, grp string, key string, value string")).collect()}
+    df = spark.createDataFrame(r, "field string, grp string, key string, value string")
+    got = {tuple(x) for x in canon.equal_in_print(df).collect()}
+    assert got == {tuple(x) for x in canon.equal_in_print(df, hot_rows=1).collect()}
+    assert [(r.n_strings, r.n_records) for r in canon.print_classes(df).collect()] == [(3, 4)]
     assert got == {("f", "1", "2"), ("f", "2", "3"), ("f", "1", "8"), ("f", "2", "8"), ("f", "3", "8")}
     assert canon.equal_in_print(spark.createDataFrame([], "field string, grp string, key string, value string")).count() == 0
 
