@@ -8,6 +8,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import accumulate
 
 from pagelens.functions.text import NUMBER
 
@@ -37,13 +38,16 @@ ROW_NUMBER = re.compile(r"\d{1,2}\.")
 NORM = re.compile(r"(сп|снип|гост)\s*(\d+(?:[.\-]\d+)*)", re.IGNORECASE)
 
 
-@lru_cache(maxsize=50_000)
-def fold(text: str) -> str:
+def fold_once(text: str) -> str:
     """TXT-01 of one string."""
     folded = unicodedata.normalize("NFC", text).casefold().replace("м²", "м2").replace("m²", "m2")
     return re.sub(r"\s+", " ", folded).strip()
 
 
+#: The same for words, which recur.
+fold = lru_cache(maxsize=50_000)(fold_once)
+
+
 @dataclass(frozen=True)
 class Rule:
     code: str
@@ -171,19 +175,29 @@ def number(raw: str, steps: tuple[str, ...]) -> float | None:
         return None
 
 
+_compiled = lru_cache(re.compile)
+
+
+def _notes(words: list[str]) -> list[bool]:
+    """Whether each word stands in brackets."""
+    depth, notes = 0, []
+    for w in words:
+        notes.append(depth > 0 or "(" in w)
+        depth = max(0, depth + w.count("(") - w.count(")"))
+    return notes
+
+
 def reads(words: list[str], r: Rule, at_end: bool) -> list[tuple[float, str, bool, int, int]]:
     """value, text, note, distance, place of each number of the words; what stands in brackets is a note."""
-    if not words:
+    text = " ".join(words)
+    matches = list(_compiled(r.pattern).finditer(text))
+    if not matches:
         return []
-    depth, notes, place = 0, [], []
-    for i, w in enumerate(words):
-        notes.append(depth > 0 or "(" in w)
-        depth = max(0, depth + w.count("(") - w.count(")"))
-        place += [i] * len(w) + [-1]
-    text, out, target = " ".join(words), [], canonical(r.unit)
-    for m in re.finditer(r.pattern, text):
-        i = place[m.start()] if m.start() < len(text) else -1
-        if i < 0 or ROW_NUMBER.fullmatch(words[i].strip()):
+    starts = [0, *accumulate(len(w) + 1 for w in words)]
+    notes, out, target = _notes(words) if "(" in text else None, [], canonical(r.unit)
+    for m in matches:
+        i = bisect_right(starts, m.start()) - 1
+        if m.start() >= starts[i] + len(words[i]) or ROW_NUMBER.fullmatch(words[i].strip()):
             continue
         raw = next((g for g in m.groups() if g), m.group(0))
         value = number(raw, r.steps)
@@ -192,7 +206,7 @@ def reads(words: list[str], r: Rule, at_end: bool) -> list[tuple[float, str, boo
             continue
         if source and target and source[0] == target[0] and source[1] != target[1]:
             value = value * UNITS[source[1]][1] / UNITS[target[1]][1]
-        out.append((value, raw, notes[i], len(words) - 1 - i if at_end else i, i))
+        out.append((value, raw, notes is not None and notes[i], len(words) - 1 - i if at_end else i, i))
     return out
 
 
@@ -212,7 +226,8 @@ class Page:
         """Places of the tokens on the row of token i, itself included."""
         key = (self.tops[i], self.bottoms[i])
         if key not in self.rows:
-            self.rows[key] = [j for j in range(len(self.words)) if self.overlap(i, j)]
+            top, bottom = key
+            self.rows[key] = [j for j, (t, b) in enumerate(zip(self.tops, self.bottoms)) if top < b and t < bottom]
         return self.rows[key]
 
     def best_number(self, start: int, end: int, r: Rule) -> tuple | None:

@@ -7,6 +7,7 @@ being a bounded group; see `anchors` for what is read beside them.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,9 +37,26 @@ def _rules(rules: DataFrame) -> list[pages.Rule]:
     return [pages.rule(**r.asDict()) for r in rules.select(*known).collect()]
 
 
+#: Blanks of any kind between words, as (?U)\s has them.
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def text_pages(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """file_id, page, body of plain texts: a page each, whose lines are its rows.
+
+    Such pages need not be cut into tokens and gathered again: the readers below take them whole
+    where they lie, without a shuffle.
+    """
+    return docs.where(F.col(text).isNotNull()).select(F.col(key).alias("file_id"), F.lit(1).alias("page"), F.col(text).alias("body"))
+
+
 def _by_page(tokens: DataFrame, rules: list[pages.Rule], columns: str, found) -> DataFrame:
-    """file_id, page and what found(page, places, rule, start, end) gives for each anchor span; pages that name no anchor are passed over."""
-    t = tokens.select(*PLACE, "ix", "text", "y0", "y1").where("text is not null")
+    """file_id, page and what found(page, places, rule, start, end) gives for each anchor span; pages that name no anchor are passed over.
+
+    tokens: a token table, brought together by page, or text_pages.
+    """
+    whole = "body" in tokens.columns
+    t = tokens.select(*PLACE, "body") if whole else tokens.select(*PLACE, "ix", "text", "y0", "y1").where("text is not null")
     kinds = dict(t.dtypes)
     names = [*PLACE, "code", "start", "end", *(c.strip().split()[0] for c in columns.split(";"))]
     schema = ", ".join([f"file_id {kinds['file_id']}", f"page {kinds['page']}", "code string", "start bigint", "end bigint", *(c.strip() for c in columns.split(";"))])
@@ -55,6 +73,17 @@ def _by_page(tokens: DataFrame, rules: list[pages.Rule], columns: str, found) ->
                         out.append((*key, r.code, rows[start][0], rows[end][0], *hit))
         return out
 
+    def named(body: str) -> bool:
+        said = pages.fold_once(body)
+        return any(a in said for r in rules for a in r.anchors)
+
+    def lines(body: str) -> list[tuple]:
+        return [(row * 1_000_000 + col, word, float(row), row + 1.0) for row, line in enumerate(re.split(r"\r?\n", body)) for col, word in enumerate(w for w in _BLANKS.split(line) if w)]
+
+    def walk_whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([x for f, p, body in zip(b["file_id"], b["page"], b["body"]) if named(body) for x in one((f, p), lines(body))], columns=names)
+
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, rows, out = None, [], []
         for b in batches:
@@ -69,7 +98,7 @@ def _by_page(tokens: DataFrame, rules: list[pages.Rule], columns: str, found) ->
         if rows:
             yield pd.DataFrame(one(key, rows), columns=names)
 
-    return t.repartition(*PLACE).sortWithinPartitions(*PLACE, "ix").mapInPandas(walk, schema)
+    return t.mapInPandas(walk_whole, schema) if whole else t.repartition(*PLACE).sortWithinPartitions(*PLACE, "ix").mapInPandas(walk, schema)
 
 
 def anchor_spans(tokens: DataFrame, rules: DataFrame) -> DataFrame:

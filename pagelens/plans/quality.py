@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens.functions import measure
-from pagelens.functions.text import fold_label
 from pagelens.operators import cascade, extract, scoring
-from pagelens.operators.anchors import fold
 from pagelens.session import table
 
 KEYS = ["object_id", "parameter_code", "location"]
@@ -208,17 +204,8 @@ def _tokens_rules(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _anchored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Tokens of the documents that may name an anchor, each line a row of its own, and the rules.
-
-    Texts with letters that this folding may take otherwise than the operator's are kept unseen.
-    """
-    docs = table(spark, d, "documents")
-    said = F.regexp_replace(fold_label(F.regexp_replace("text", r"(?U)\s+", " ")), "ß", "ss")
-    odd = F.col("text").rlike("[^\\x00-\u00b4\u00b6-\u012f\u0131-\u0148\u014a-\u017e\u0400-\u0482\u048a-\u052f\u2010-\u206f\u20a0-\u20bf\u2116]")
-    named = [said.contains(fold(a)) for _, anchors, _ in ANCHOR_RULES for a in anchors]
-    t = extract.tokens_of_text(docs.where(reduce(lambda x, y: x | y, named) | odd), "doc_id", "text")
-    row = F.floor(F.col("ix") / 1_000_000).cast("double")
-    return t.withColumn("y0", row).withColumn("y1", row + 1), _tokens_rules(spark, d)[1]
+    """The documents as pages, and the rules."""
+    return extract.text_pages(table(spark, d, "documents"), "doc_id", "text"), _tokens_rules(spark, d)[1]
 
 
 def ext_numbers(spark: SparkSession, d: str) -> DataFrame:
