@@ -9,12 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagelens.session import small
+
 # Dimensions between which a mismatch is a conflict; critical value of the interval; millimetres of a point.
 CONFLICTING = ("power", "pressure", "flow", "ratio")
 Z = 1.96
 POINT_MM = 25.4 / 72
-# Acceptance thresholds.
-THRESHOLDS = {"ca": 0.95, "key_field": 0.95, "linkage": 0.95, "localisation": 0.95, "precision": 0.90, "recall": 0.80, "f1": 0.85, "fpr": 0.10}
+# Acceptance thresholds; the last is an upper bound.
+THRESHOLDS = {
+    "character_accuracy": 0.95, "key_field_exact_match": 0.90, "document_linkage": 0.95, "evidence_localization": 0.95, "precision": 0.90, "recall": 0.80, "f1": 0.85,
+    "false_positive_rate": 0.10,
+}
 
 
 def decimal(col: Column) -> Column:
@@ -39,8 +44,8 @@ def to_unit(df: DataFrame, value: str, unit: str, target: str, units: DataFrame)
 
     A conflict is a difference of dimension that touches power, pressure, flow or ratio.
     """
-    a = F.broadcast(units.select(F.col("canon").alias(unit), F.col("dimension").alias("_da"), F.col("si_factor").alias("_fa")))
-    b = F.broadcast(units.select(F.col("canon").alias(target), F.col("dimension").alias("_db"), F.col("si_factor").alias("_fb")))
+    a = small(units.select(F.col("canon").alias(unit), F.col("dimension").alias("_da"), F.col("si_factor").alias("_fa")))
+    b = small(units.select(F.col("canon").alias(target), F.col("dimension").alias("_db"), F.col("si_factor").alias("_fb")))
     df = df.join(a, unit, "left").join(b, target, "left")
     scaled = F.when(F.col("_da") == F.col("_db"), F.col(value) * F.col("_fa") / F.col("_fb")).otherwise(F.col(value))
     conflict = F.coalesce((F.col("_da") != F.col("_db")) & (F.col("_da").isin(*CONFLICTING) | F.col("_db").isin(*CONFLICTING)), F.lit(False))
@@ -74,6 +79,13 @@ def normalized_point(x: Column, y: Column, left: Column, bottom: Column, width:
     return F.struct(clamp(turned["x"]).alias("x"), clamp(turned["y"]).alias("y"))
 
 
+def source_point(x: Column, y: Column, left: Column, bottom: Column, width: Column, height: Column, rotate: Column) -> Column:
+    """MTH-09: the page point of a normalized one, the way back of normalized_point."""
+    u = F.when(rotate == 90, y).when(rotate == 180, 1 - x).when(rotate == 270, 1 - y).otherwise(x)
+    v = F.when(rotate == 90, 1 - x).when(rotate == 180, 1 - y).when(rotate == 270, x).otherwise(y)
+    return F.struct((left + u * width).alias("x"), (bottom + (1 - v) * height).alias("y"))
+
+
 def box_iou(a: Column, b: Column) -> Column:
     """MTH-11: shared area of two boxes over their union; 0 where either is flat."""
     w = F.greatest(F.lit(0.0), F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"]))
@@ -149,10 +161,15 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)).cast("double"))
 
 
+#: Upper edge of the stamp on a page.
+STAMP = 0.70
+
+
 def grid_cells(points: DataFrame, keys: list[str], x: str = "x", y: str = "y", cells: int = 16, least: int = 40) -> DataFrame:
-    """MTH-14: keys, cells: occupied cells of a grid over [0, 1]², of pages with at least `least` paths."""
+    """MTH-14: keys, cells: occupied cells of a grid over [0, 1]² above the stamp, of pages with at least `least` paths, those in the stamp counted."""
     at = lambda c: F.least(F.lit(cells - 1), F.floor(F.col(c) * cells).cast("int"))
-    g = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.collect_set(at(y) * cells + at(x)).alias("cells"))
+    inside = F.col(x).between(0, 1) & F.col(y).between(0, 1) & (F.col(y) < STAMP)
+    g = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.collect_set(F.when(inside, at(y) * cells + at(x))).alias("cells"))
     return g.where(F.col("_n") >= least).drop("_n")
 
 
@@ -161,6 +178,11 @@ def visible(levels: DataFrame, keys: list[str], grey: str = "grey", least: float
     return levels.groupBy(*keys).agg(F.when(F.count(grey) >= samples, F.stddev_pop(grey) >= least).alias("visible"))
 
 
+def all_visible(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """MTH-15: of several parts (column visible) one hidden makes the whole hidden; else one unknown makes it unknown."""
+    return parts.groupBy(*keys).agg(F.when(F.bool_or(~F.col("visible")), False).when(F.count("visible") == F.count(F.lit(1)), True).alias("visible"))
+
+
 def wilson(k: Column, n: Column) -> dict[str, Column]:
     """MTH-16: rate, low, high and width of the interval of k successes of n; (0, 0, 1) for n = 0."""
     k, n = k.cast("double"), F.nullif(n.cast("double"), F.lit(0.0))
@@ -173,10 +195,11 @@ def wilson(k: Column, n: Column) -> dict[str, Column]:
 
 
 def f1(tp: Column, fp: Column, fn: Column) -> Column:
-    """MTH-17, AGG-19: null where nothing is to be found and nothing was."""
-    return F.try_divide(2.0 * tp, 2.0 * tp + fp + fn)
+    """MTH-17, AGG-19: 0 where nothing is to be found and nothing was."""
+    return F.coalesce(F.try_divide(2.0 * tp, 2.0 * tp + fp + fn), F.lit(0.0))
 
 
-def meets(metric: str, low: Column, high: Column) -> Column:
-    """MTH-17: the interval's low end reaches the threshold; for false positives the high end stays under it."""
-    return high <= THRESHOLDS[metric] if metric == "fpr" else low >= THRESHOLDS[metric]
+def meets(metric: Column, low: Column, high: Column) -> Column:
+    """MTH-17: the interval's low end reaches the metric's threshold; for false positives the high end stays under it; null for an unknown metric."""
+    threshold = F.try_element_at(F.create_map(*[F.lit(x) for kv in THRESHOLDS.items() for x in kv]), metric)
+    return F.when(metric == "false_positive_rate", high <= threshold).otherwise(low >= threshold)

@@ -5,23 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Stages of the cascade with the status of a failure; section of each status in a protocol.
-STAGES = [("L0", "LOW_QUALITY"), ("L1", "CLARIFICATION_REQUIRED"), ("L2", "MISSING_EVIDENCE"), ("L3", "CLARIFICATION_REQUIRED"), ("L4", "CLARIFICATION_REQUIRED"), ("L5", "ABSTAIN"), ("L6", "LOW_QUALITY"), ("L7", "NOT_COMPARABLE"), ("L8", "CANDIDATE"), ("L9", "CANDIDATE")]
-NEEDED = ("L1", "L2", "L3", "L4", "L5", "L6", "L7")
-SECTIONS = {"CONFIRMED_VIOLATION": "confirmed", "REJECTED_BY_INSPECTOR": "rejected", "CANDIDATE": "candidates", "SUSPICION": "suspicions", "AUTO_NO_DIFFERENCE": "preliminary_no_difference", "MISSING_EVIDENCE": "missing", "NOT_APPLICABLE": "not_applicable"}
-QUALITY = "data_quality"
-WIRE_SECTIONS = ("confirmed", "rejected")
+from pagelens.session import small
+
+# Stages of the cascade with the status of a failure (the first is no finding's, the last two have none); section of each status in a protocol; statuses that only a human gives.
+STAGES = {"L1": "CLARIFICATION_REQUIRED", "L2": "LOW_QUALITY", "L3": "LOW_QUALITY", "L4": "CLARIFICATION_REQUIRED", "L5": "NOT_COMPARABLE", "L6": "CLARIFICATION_REQUIRED", "L7": "ABSTAIN"}
+SECTIONS = {
+    "CANDIDATE": "candidates", "CONFIRMED_VIOLATION": "confirmed", "NEGATIVE_VERIFIED": "negative_verified", "SUSPICION": "suspicions",
+    "MISSING_EVIDENCE": "missing_evidence", "AUTO_NO_DIFFERENCE": "preliminary_no_difference", "LOW_QUALITY": "needs_attention", "ABSTAIN": "needs_attention",
+    "CLARIFICATION_REQUIRED": "needs_attention", "NOT_COMPARABLE": "needs_attention", "NOT_APPLICABLE": "needs_attention",
+}
+WIRE = {"confirmed": "CONFIRMED_VIOLATION", "negative_verified": "NEGATIVE_VERIFIED"}
+HUMAN_ONLY = ("CONFIRMED_VIOLATION", "NEGATIVE_VERIFIED")
+COVERAGES = ("executable", "extractor_missing", "source_missing", "not_applicable", "advisory")
+#: Rules of the whole catalogue.
+RULES = 132
+
+
+def _lookup(table: dict[str, str]) -> Column:
+    return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
 
 
 def first_halt(trace: DataFrame, keys: list[str]) -> DataFrame:
-    """CAS-01: keys, status, stage of the first failed stage; success needs every stage from L1 to L7; the first and the last two can't halt.
+    """CAS-01: keys, stage, status, error of the first stage that failed.
 
-    trace: keys, stage, ok.
+    trace: keys, stage, ok, and where needed the stage's own status, which wins over the table.  An
+    error takes the status's place where the intake failed, a stage after the findings failed
+    without a status of its own, the status is a human's to give, or, nothing having failed, stages
+    from the first to the seventh are missing; the status is null where all of these passed.
     """
-    known = F.create_map(*[F.lit(x) for kv in STAGES for x in kv])
-    failed = F.when(~F.col("ok") & F.col("stage").isin(*NEEDED), F.col("stage"))
-    g = trace.groupBy(*keys).agg(F.min(failed).alias("stage"), F.size(F.array_intersect(F.collect_set("stage"), F.array(*map(F.lit, NEEDED)))).alias("seen"))
-    return g.select(*keys, "stage", F.when(F.col("stage").isNotNull(), F.try_element_at(known, F.col("stage"))).when(F.col("seen") < len(NEEDED), "INCOMPLETE").otherwise("PASSED").alias("status"))
+    t = trace if "status" in trace.columns else trace.withColumn("status", F.lit(None).cast("string"))
+    bad = F.when(~F.col("ok"), F.struct("stage", "status"))
+    seen = F.array_sort(F.array_except(F.array(*map(F.lit, STAGES)), F.collect_set("stage")))
+    g = t.groupBy(*keys).agg(F.min(bad).alias("bad"), seen.alias("missing"))
+    status = F.coalesce("bad.status", F.try_element_at(_lookup(STAGES), F.col("bad.stage")))
+    error = F.when(F.col("bad.stage") == "L0", "intake").when(F.col("bad").isNotNull() & status.isNull(), "no status").when(status.isin(*HUMAN_ONLY), "human only").when(F.col("bad").isNull() & (F.size("missing") > 0), F.concat(F.lit("missing "), F.array_join("missing", ",")))
+    return g.select(*keys, F.col("bad.stage").alias("stage"), F.when(error.isNull(), status).alias("status"), error.alias("error"))
 
 
 def halted(*halts: tuple[Column, str]) -> Column:
@@ -50,61 +68,95 @@ def suspicion(confidence: Column, reads_agree: Column, matched: Column, total: C
 
 
 def section(status: Column) -> Column:
-    """The protocol's section of a status; all that is not named is data quality."""
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SECTIONS.items() for x in kv]), status), F.lit(QUALITY))
+    """The protocol's section of a status."""
+    return F.try_element_at(_lookup(SECTIONS), status)
 
 
-def coverage_report(rules: DataFrame, kinds: tuple[str, ...] = ("executable", "extractor_missing", "source_missing", "not_applicable", "advisory")) -> DataFrame:
-    """AGG-01, AGG-33: rules by coverage, all kinds there."""
+def coverage_report(rules: DataFrame, kinds: tuple[str, ...] = COVERAGES, expected: int = RULES) -> DataFrame:
+    """AGG-01: rules by coverage, all kinds there, beside the number of rules there are and that of the whole catalogue."""
     every = rules.sparkSession.createDataFrame([(k,) for k in kinds], "coverage string")
-    return every.join(rules.groupBy("coverage").agg(F.count(F.lit(1)).alias("n")), "coverage", "left").select("coverage", F.coalesce("n", F.lit(0)).alias("n"))
+    n = every.join(rules.groupBy("coverage").agg(F.count(F.lit(1)).alias("n")), "coverage", "left").withColumn("_one", F.lit(1))
+    total = rules.agg(F.count(F.lit(1)).alias("declared")).withColumn("_one", F.lit(1))
+    return n.join(total, "_one").select("coverage", F.coalesce("n", F.lit(0)).alias("n"), "declared", F.lit(expected).alias("expected"))
 
 
-def dry_run(rules: DataFrame) -> DataFrame:
-    """CAS-06: all rules without documents: counts by coverage and status."""
-    status = F.when(F.col("coverage") == "executable", "MISSING_EVIDENCE").when(F.col("coverage") == "not_applicable", "NOT_APPLICABLE").otherwise("CLARIFICATION_REQUIRED")
-    return rules.groupBy("coverage", status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+def dry_run(rules: DataFrame, supported: Column, applicable: Column | None = None) -> DataFrame:
+    """CAS-06: all rules against no documents: counts by coverage and status; what isn't supported must be clarified, of the rest every stage is missing."""
+    from pagelens.operators.intake import missing_stage
 
+    status = halted((~supported, "CLARIFICATION_REQUIRED")) if applicable is None else halted((~supported, "CLARIFICATION_REQUIRED"), (~applicable, "NOT_APPLICABLE"))
+    return rules.groupBy("coverage", F.coalesce(status, missing_stage(F.lit(True), F.lit(True))).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
-def protocol(findings: DataFrame, keys: list[str], id_: str, status: str) -> DataFrame:
-    """AGG-28: per object and section the number of findings and their digest.
 
-    The digest is the sum of hashes, so that no section is gathered into one row.
-    """
-    return findings.groupBy(*keys, section(F.col(status)).alias("section")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.left(F.sha2(F.col(id_), 256), F.lit(8)), 16, 10).cast("bigint")).alias("digest"))
+def _limbs(text: Column) -> list[Column]:
+    """SHA-256 of a text as eight 32-bit numbers; their sums over a set don't depend on its order, so no set need be gathered in one place."""
+    h = F.sha2(text, 256)
+    return [F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("bigint") for i in range(8)]
+
+
+def _digest(n: str, sums: list[str]) -> Column:
+    return F.sha2(F.concat_ws("|", F.col(n).cast("string"), *(F.col(c).cast("string") for c in sums)), 256)
+
+
+def protocol(findings: DataFrame, keys: list[str], id_: str, status: str) -> DataFrame:
+    """AGG-28: per object and section the number of findings and a digest of their ids and statuses that doesn't depend on order."""
+    sums = [f"_h{i}" for i in range(8)]
+    text = F.concat_ws("|", F.col(id_), F.col(status))
+    g = findings.groupBy(*keys, section(F.col(status)).alias("section")).agg(F.count(F.lit(1)).alias("n"), *(F.sum(h).alias(c) for h, c in zip(_limbs(text), sums)))
+    return g.select(*keys, "section", "n", _digest("n", sums).alias("digest"))
 
 
-def for_wire(findings: DataFrame, status: str) -> DataFrame:
-    """FLT-16: only what a human has decided."""
-    return findings.where(section(F.col(status)).isin(*WIRE_SECTIONS))
+def for_wire(findings: DataFrame, status: str, placed: str | None = None) -> DataFrame:
+    """FLT-16: only what a human has decided; a row whose status is not that of the section in which it is placed is dropped."""
+    return findings.where(F.try_element_at(_lookup(WIRE), section(F.col(status)) if placed is None else F.col(placed)) == F.col(status))
 
 
 def for_reading(findings: DataFrame, status: str) -> DataFrame:
     """FLT-17."""
-    return findings.where(section(F.col(status)) != "preliminary_no_difference")
+    return findings.where(F.coalesce(section(F.col(status)), F.lit("")) != "preliminary_no_difference")
 
 
 def completeness(files: DataFrame, objects: DataFrame, stages: tuple[str, ...] = ("PD", "RD", "ID")) -> DataFrame:
-    """AGG-29: object × stage: UPLOADED, PARTIAL (nothing approved) or MISSING; never a violation."""
+    """Object × stage: UPLOADED, PARTIAL (nothing approved) or MISSING."""
     s = F.explode(F.array(*map(F.lit, stages)))
     every = objects.select(F.col("id").alias("object_id"), s.alias("doc_stage"))
     have = files.groupBy("object_id", "doc_stage").agg(F.countDistinct("id").alias("n"), F.bool_or(F.col("approval_status") == "APPROVED").alias("ok"))
     return every.join(have, ["object_id", "doc_stage"], "left").select("object_id", "doc_stage", F.when(F.col("n").isNull(), "MISSING").when(F.col("ok"), "UPLOADED").otherwise("PARTIAL").alias("state"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def scenario(complete: DataFrame) -> DataFrame:
-    """AGG-30: which stages an object has."""
-    g = complete.groupBy("object_id").agg(*(F.bool_or((F.col("doc_stage") == s) & (F.col("state") != "MISSING")).alias(s) for s in ("PD", "RD", "ID")))
-    name = F.when(F.col("PD") & F.col("RD") & F.col("ID"), "FULL").when(F.col("PD") & F.col("RD"), "PD_RD").when(F.col("RD") & F.col("ID"), "RD_ID").when(F.col("PD") & F.col("ID"), "PD_ID").when(F.col("PD") | F.col("RD") | F.col("ID"), "SINGLE").otherwise("EMPTY")
+def completeness_rows(complete: DataFrame, sections: DataFrame) -> DataFrame:
+    """AGG-29: object_id, section, doc_stage, state, outcome, violation: each section that expects a document of a stage against the stage's state.
+
+    sections: section, doc_stage, a catalogue of fixed size.  An uploaded stage is not yet a verified
+    section, so no outcome says that it is there, and none is a violation.
+    """
+    outcome = F.when(F.col("state") == "MISSING", "MISSING").when(F.col("state") == "PARTIAL", "STAGE_PARTIAL_NOT_VERIFIED").otherwise("STAGE_UPLOADED_NOT_VERIFIED")
+    return complete.join(small(sections.select("section", "doc_stage").distinct()), "doc_stage").select("object_id", "section", "doc_stage", "state", outcome.alias("outcome"), F.lit(False).alias("violation"))
+
+
+def scenario(complete: DataFrame, declared: DataFrame | None = None) -> DataFrame:
+    """AGG-30: object_id, scenario by the stages that an object has; FULL only for the objects in declared, whose expected composition is known.
+
+    A stage that is there in part makes the whole PARTIALLY_LOADED, and so do all three stages
+    without a declared composition; no stage at all is no scenario (null).
+    """
+    g = complete.groupBy("object_id").agg(F.bool_or(F.col("state") == "PARTIAL").alias("part"), *(F.bool_or((F.col("doc_stage") == s) & (F.col("state") != "MISSING")).alias(s) for s in ("PD", "RD", "ID")))
+    g = g.withColumn("known", F.lit(False)) if declared is None else g.join(declared.select("object_id", F.lit(True).alias("known")).distinct(), "object_id", "left")
+    all_ = F.col("PD") & F.col("RD") & F.col("ID")
+    name = (
+        F.when(F.col("part"), "PARTIALLY_LOADED").when(all_ & F.coalesce("known", F.lit(False)), "FULL").when(all_, "PARTIALLY_LOADED")
+        .when(F.col("PD") & F.col("RD"), "PD_RD_ONLY").when(F.col("PD") & F.col("ID"), "PD_ID_ONLY").when(F.col("RD") & F.col("ID"), "RD_ID_ONLY")
+        .when(F.col("PD") | F.col("RD") | F.col("ID"), "SINGLE_ONLY")
+    )
     return g.select("object_id", name.alias("scenario"))
 
 
 def manifest_hash(files: DataFrame, keys: list[str]) -> DataFrame:
     """AGG-32: per object a digest of its ids and hashes that doesn't depend on their order; `pending` without files, null with a bad hash."""
     ok = F.coalesce(F.col("file_hash").rlike("^[0-9a-f]{64}$"), F.lit(False))
-    h = F.conv(F.left(F.sha2(F.concat_ws("|", "id", "file_hash"), 256), F.lit(8)), 16, 10).cast("bigint")
-    g = files.groupBy(*keys).agg(F.bool_and(ok).alias("ok"), F.count(F.lit(1)).alias("n"), F.sum(h).alias("h"))
-    return g.select(*keys, "n", F.when(F.col("n") == 0, "pending").when(F.col("ok"), F.sha2(F.concat_ws("|", F.col("n").cast("string"), F.col("h").cast("string")), 256)).alias("manifest"))
+    sums = [f"_h{i}" for i in range(8)]
+    g = files.groupBy(*keys).agg(F.bool_and(ok).alias("ok"), F.count("id").alias("n"), *(F.sum(h).alias(c) for h, c in zip(_limbs(F.concat_ws("|", "id", "file_hash")), sums)))
+    return g.select(*keys, "n", F.when(F.col("n") == 0, "pending").when(F.col("ok"), _digest("n", sums)).alias("manifest"))
 
 
 def storage_integrity(files: DataFrame, stored: DataFrame) -> DataFrame:
@@ -126,9 +178,9 @@ def latency_report(requests: DataFrame, ms: str, error: Column, keys: list[str])
 
 
 def capability(layers: DataFrame, keys: list[str]) -> DataFrame:
-    """AGG-34: unavailable if a layer with a verdict is; degraded if any other is."""
-    down = F.col("state") == "UNAVAILABLE"
-    return layers.groupBy(*keys).agg(F.when(F.bool_or(down & F.col("verdict")), "UNAVAILABLE").when(F.bool_or(F.col("state") != "AVAILABLE"), "DEGRADED").otherwise("AVAILABLE").alias("state"))
+    """AGG-34: by the layers with a verdict alone: unavailable if any of them is, degraded if any is degraded or only measured."""
+    of = lambda *states: F.coalesce(F.bool_or(F.col("verdict") & F.col("state").isin(*states)), F.lit(False))
+    return layers.groupBy(*keys).agg(F.when(of("UNAVAILABLE"), "UNAVAILABLE").when(of("DEGRADED", "MEASURED"), "DEGRADED").otherwise("AVAILABLE").alias("state"))
 
 
 def confidence_band(confidence: Column) -> Column:
@@ -163,7 +215,7 @@ def parse_report(documents: DataFrame, keys: list[str]) -> DataFrame:
     return documents.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.count_if(F.col("injection").isNotNull()).alias("flagged"), F.sum("seconds").alias("seconds"))
 
 
-def families(rules: DataFrame, coverages: tuple[str, ...] = ("executable", "extractor_missing", "source_missing", "not_applicable", "advisory")) -> DataFrame:
+def families(rules: DataFrame, coverages: tuple[str, ...] = COVERAGES) -> DataFrame:
     """AGG-33: rules of each extractor family by coverage, zero-filled, in one row."""
     return rules.groupBy("family").agg(*(F.count_if(F.col("coverage") == c).alias(c) for c in coverages))
 

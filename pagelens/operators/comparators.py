@@ -18,10 +18,10 @@ SAME, DIFFERENT, NO_EVIDENCE = "AUTO_NO_DIFFERENCE", "CANDIDATE", "MISSING_EVIDE
 OPERATORS = ("delta", "eq", "ne", "lt", "le", "gt", "ge", "range", "in_set", "not_in_set", "class_not_lower", "present")
 #: Distance below which a relative tolerance has no base.
 TINY = 1e-12
-# Words of a trigger that make it neutral, falling or rising.
-NEUTRAL = "(?iu)несоответств|отличи|расхожд|изменен"
-FALLING = "(?iu)уменьш|сниж|меньше|ниже|сокращ"
-RISING = "(?iu)увелич|повыш|больше|выше|рост"
+# Parts of words of a trigger that make it neutral, falling or rising.
+NEUTRAL = "расхожден|изменен|подмен|сдвиг|замен"
+FALLING = "уменьшен|понижен|менее прочн|менее пластич"
+RISING = "увеличен|превышен"
 
 
 def verdict(same: Column) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pagelens.functions.measure import box_iou, jaccard, parallel_pairs, width_mm
 from pagelens.functions.text import enum_value, fold_label, parse_number, system_marks
 from pagelens.operators import anchors as pages
+from pagelens.session import small
 
 PLACE = ["file_id", "page"]
 #: Lower edge of the part of a page above the stamp.
@@ -143,7 +144,7 @@ def extract_text(tokens: DataFrame, rules: DataFrame) -> DataFrame:
     rules: code, anchors, regex; a rule without regex reads nothing.
     """
     first = anchor_spans(tokens, rules).groupBy("code", "file_id").agg(F.min_by("after", F.struct("page", "start")).alias("said"))
-    j = first.join(F.broadcast(rules.where("regex is not null").select("code", "regex")), "code")
+    j = first.join(small(rules.where("regex is not null").select("code", "regex")), "code")
     j = j.withColumn("found", F.transform(F.regexp_extract_all("said", F.concat(F.lit("(?iu)"), "regex"), F.lit(0)), enum_value)).where(F.size("found") > 0)
     return j.select("code", "file_id", F.get("found", F.lit(0)).alias("value"), (F.get("found", F.lit(0)) == F.try_element_at("found", F.lit(-1))).alias("agree"))
 
@@ -194,9 +195,9 @@ def multi_field(tokens: DataFrame, units: DataFrame) -> DataFrame:
     u = units.select("code", F.posexplode(F.split("unit", r"\s*/\s*")).alias("place", "unit")).withColumn("key", fold_label(F.col("unit")))
     w = Window.partitionBy(*PLACE).orderBy("ix")
     t = tokens.select("file_id", F.lag("text").over(w).alias("before"), fold_label(F.col("text")).alias("key")).withColumn("value", parse_number(F.col("before"))).where("value is not null")
-    hits = t.join(F.broadcast(u), "key").groupBy("code", "file_id", "place", "unit").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("v"))
+    hits = t.join(small(u), "key").groupBy("code", "file_id", "place", "unit").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("v"))
     files = hits.select("code", "file_id").distinct()
-    every = files.join(F.broadcast(u.select("code", "place", "unit")), "code")
+    every = files.join(small(u.select("code", "place", "unit")), "code")
     r = every.join(hits, ["code", "file_id", "place", "unit"], "left")
     return r.select("code", "file_id", "place", "unit", F.when(F.col("n") == 1, F.col("v")).alias("value"), F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "repeated").alias("reason"))
 
@@ -229,7 +230,7 @@ def geometry_fallback(misses: DataFrame, tokens: DataFrame, rules: DataFrame, re
     words = rules.select("code", F.explode("anchors").alias("a")).select("code", F.explode(F.split(fold_label(F.col("a")), " ")).alias("word")).where(F.length("word") >= 5).distinct()
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     t = tokens.select(*PLACE, "ix", "text", cx.alias("x"), cy.alias("y"), F.floor(cx / reach).alias("gx"), F.floor(cy / reach).alias("gy"))
-    at = t.withColumn("word", fold_label(F.col("text"))).join(F.broadcast(words), "word").join(misses.select("code", "file_id"), ["code", "file_id"], "left_semi")
+    at = t.withColumn("word", fold_label(F.col("text"))).join(small(words), "word").join(misses.select("code", "file_id"), ["code", "file_id"], "left_semi")
     near = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     at = at.select("code", *PLACE, F.col("x").alias("ax"), F.col("y").alias("ay"), "gx", "gy", F.explode(near).alias("d")).select("code", *PLACE, "ax", "ay", (F.col("gx") + F.col("d.i")).alias("gx"), (F.col("gy") + F.col("d.j")).alias("gy"))
     numbers = t.withColumn("value", parse_number(F.col("text"))).where("value is not null").select(*PLACE, "ix", "x", "y", "gx", "gy", "value")
@@ -273,7 +274,7 @@ def element_match(pd_marks: DataFrame, rd_marks: DataFrame, keys: list[str]) ->
     """EXT-16: keys, matched, total, status of the marks (mark, box) of two stages; a repeated mark is an annotation conflict."""
 
     def side(df: DataFrame, s: str) -> DataFrame:
-        return df.groupBy(*keys, "mark").agg(F.count(F.lit(1)).alias(f"n_{s}"), F.first("box").alias(f"box_{s}"))
+        return df.groupBy(*keys, "mark").agg(F.count(F.lit(1)).alias(f"n_{s}"), F.min("box").alias(f"box_{s}"))
 
     j = side(pd_marks, "pd").join(side(rd_marks, "rd"), [*keys, "mark"], "full_outer")
     hit = F.coalesce(box_iou(F.col("box_pd"), F.col("box_rd")) >= 0.5, F.lit(False)) & F.col("n_pd").isNotNull() & F.col("n_rd").isNotNull()
@@ -302,7 +303,7 @@ def page_pairs(pd_pages: DataFrame, rd_pages: DataFrame, keys: list[str], least:
 
 
 def room_diff(pd_rooms: DataFrame, rd_rooms: DataFrame, keys: list[str], most: int = 12) -> DataFrame:
-    """CMP-13, CMP-15: keys, room, verdict from the features of a pair's rooms (room, feature or null).
+    """CMP-13: keys, room, verdict from the features of a pair's rooms (room, feature or null).
 
     A feature missing in RD is a candidate; one only in RD, or a room on one side only, a suspicion;
     pairs with more than `most` differences abstain.
@@ -318,6 +319,16 @@ def room_diff(pd_rooms: DataFrame, rd_rooms: DataFrame, keys: list[str], most: i
     return j.join(n, keys).select(*keys, "room", F.when((F.col("n") > most) & (F.col("verdict") != "match"), "abstain").otherwise(F.col("verdict")).alias("verdict"))
 
 
+def across_sheets(pd_rooms: DataFrame, rd_rooms: DataFrame, settled: DataFrame, keys: list[str]) -> DataFrame:
+    """CMP-15: keys, room, verdict of the rooms that stand on sheets of both stages and that no pair of sheets has settled; a feature (null for none) on any sheet counts."""
+
+    def side(df: DataFrame, s: str) -> DataFrame:
+        return df.groupBy(*keys, "room").agg(F.bool_or(F.col("feature").isNotNull()).alias(s))
+
+    j = side(pd_rooms, "p").join(side(rd_rooms, "r"), [*keys, "room"]).join(settled.select(*keys, "room").distinct(), [*keys, "room"], "left_anti")
+    return j.select(*keys, "room", F.when(F.col("p") & ~F.col("r"), "candidate").when(F.col("r") & ~F.col("p"), "suspicion").otherwise("match").alias("verdict"))
+
+
 def collapse_rooms(diffs: DataFrame, keys: list[str]) -> DataFrame:
     """CMP-14: one verdict per room: abstain wins; several positive kinds, or one beside a match, abstain."""
     g = diffs.groupBy(*keys, "room").agg(F.collect_set("verdict").alias("v"))

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 # Limits in bytes and ratios, HTTP codes of the refusals, first bytes of the formats.
 FILE_BYTES, BATCH_BYTES, UNPACKED_BYTES, RATIO = 50 << 20, 200 << 20, 100 << 20, 100
-CODES = {"UNSAFE_FILENAME": 400, "UNSUPPORTED_FORMAT": 415, "CORRUPTED": 422, "FILE_TOO_LARGE": 413, "BATCH_TOO_LARGE": 413}
-MAGIC = {"pdf": "25504446", "docx": "504B0304", "zip": "504B0304", "xml": "3C"}
+CODES = {
+    "UNSUPPORTED_FORMAT": 415, "CORRUPTED_FILE": 422, "FILE_TOO_LARGE": 413, "BATCH_LIMIT_EXCEEDED": 413, "ANTIVIRUS_REJECTED": 422,
+    "ENCRYPTED_FILE": 422, "PROCESSING_TIMEOUT": 504, "UNSAFE_FILENAME": 422,
+}
+MAGIC = {"pdf": "255044462D", "docx": "504B0304", "xml": "3C|EFBBBF3C", "zip": "504B0304|504B0506|504B0708", "7z": "377ABCAF271C", "rar": "526172211A0700|526172211A070100"}
 #: Words of a token window that is scanned at once.
 WINDOW = 5
 # Texts that try to give orders to a reading machine; the reference's 24 patterns of three types, in its order.
@@ -65,10 +68,10 @@ def check_file(name: Column, size: Column, header_hex: Column, unpacked: Column)
     return (
         F.when(~filename_is_safe(name), "UNSAFE_FILENAME")
         .when(~ext.isin(*MAGIC), "UNSUPPORTED_FORMAT")
-        .when(F.coalesce(size, F.lit(0)) == 0, "CORRUPTED")
+        .when(F.coalesce(size, F.lit(0)) == 0, "CORRUPTED_FILE")
         .when(size > FILE_BYTES, "FILE_TOO_LARGE")
-        .when(header_hex.isNotNull() & ~F.startswith(F.upper(header_hex), F.try_element_at(magic, ext)), "CORRUPTED")
-        .when(looks_like_bomb(unpacked, size), "CORRUPTED")
+        .when(header_hex.isNotNull() & ~F.exists(F.split(F.try_element_at(magic, ext), r"\|"), lambda m: F.startswith(F.upper(header_hex), m)), "CORRUPTED_FILE")
+        .when(looks_like_bomb(unpacked, size), "CORRUPTED_FILE")
     )
 
 
@@ -85,7 +88,7 @@ def batch_decision(files: DataFrame, batch: str, pos: str, name: str, size: str,
     total = f.groupBy("batch").agg(F.sum("size").alias("total"))
     first = f.where("reason is null").groupBy("batch", "content").agg(F.min("pos").alias("first"))
     j = f.join(total, "batch").join(first, ["batch", "content"], "left")
-    reason = F.when(F.col("total") > BATCH_BYTES, "BATCH_TOO_LARGE").otherwise(F.col("reason"))
+    reason = F.when(F.col("total") > BATCH_BYTES, "BATCH_LIMIT_EXCEEDED").otherwise(F.col("reason"))
     decision = F.when(reason.isNotNull(), "rejected").when(F.col("content").isNotNull() & (F.col("pos") > F.col("first")), "duplicate").otherwise("accepted")
     return j.select("batch", "pos", decision.alias("decision"), reason.alias("reason"))
 
@@ -132,20 +135,20 @@ def fragment_faults(sha256: Column, page: Column, polygon: Column) -> Column:
     return F.array_compact(F.array(F.when(~F.coalesce(sha256.rlike("^[0-9a-f]{64}$"), F.lit(False)), "hash"), F.when(~F.coalesce(page >= 1, F.lit(False)), "page"), F.when(~F.coalesce(F.size(polygon) >= 3, F.lit(False)), "polygon"), F.when(~F.coalesce(inside, F.lit(True)), "range")))
 
 
-# Statuses by what they demand.
-EVIDENCE_REQUIRED = ("CANDIDATE", "SUSPICION", "CONFIRMED_VIOLATION", "REJECTED_BY_INSPECTOR", "AUTO_NO_DIFFERENCE")
-HUMAN_ONLY = ("CONFIRMED_VIOLATION", "REJECTED_BY_INSPECTOR")
+# Statuses that demand evidence, and the action that a human's verdict comes from.
+EVIDENCE_REQUIRED = ("CANDIDATE", "CONFIRMED_VIOLATION", "NEGATIVE_VERIFIED", "AUTO_NO_DIFFERENCE", "SUSPICION")
+ACTIONS = {"CONFIRMED_VIOLATION": "CONFIRM", "NEGATIVE_VERIFIED": "REJECT"}
 
 
-def finding_faults(status: Column, n_evidence: Column, decision: Column, comment: Column, reason: Column) -> Column:
-    """FLT-12, FLT-20: names of the broken invariants of a finding."""
-    human = status.isin(*HUMAN_ONLY)
+def finding_faults(status: Column, evidence: Column, action: Column, comment: Column, reason: Column) -> Column:
+    """FLT-12: names of the broken invariants of a finding; evidence is whether it has an evidence group."""
+    asked = F.try_element_at(F.create_map(*[F.lit(x) for kv in ACTIONS.items() for x in kv]), status)
     return F.array_compact(
         F.array(
-            F.when(status.isin(*EVIDENCE_REQUIRED) & (F.coalesce(n_evidence, F.lit(0)) == 0), "evidence"),
-            F.when(human & decision.isNull(), "decision"),
-            F.when(human & (F.length(F.trim(F.coalesce(comment, F.lit("")))) == 0), "comment"),
-            F.when((status == "REJECTED_BY_INSPECTOR") & reason.isNull(), "reason"),
+            F.when(status.isin(*EVIDENCE_REQUIRED) & ~F.coalesce(evidence, F.lit(False)), "evidence"),
+            F.when(asked.isNotNull() & ~action.eqNullSafe(asked), "decision"),
+            F.when(asked.isNotNull() & (F.length(F.trim(F.coalesce(comment, F.lit("")))) == 0), "comment"),
+            F.when((status == "NEGATIVE_VERIFIED") & reason.isNull(), "reason"),
         )
     )
 
@@ -203,6 +206,11 @@ def wire_codes(matrix: DataFrame, free: DataFrame) -> DataFrame:
     return both.groupBy("code").agg(F.min(F.struct("src", "pos")).alias("k")).select("code", F.row_number().over(Window.orderBy("k.src", "k.pos", "code")).alias("pos"))
 
 
+def stale_outputs(written: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """SET-04: keys that were written and are wanted no more."""
+    return written.where(F.col(key).isNotNull()).select(key).distinct().join(wanted.select(key).distinct(), key, "left_anti")
+
+
 def split_leakage(items: DataFrame, key: str = "object_id", split: str = "split") -> DataFrame:
     """SET-05: keys that stand in more than one split."""
     return items.where(F.col(key).isNotNull() & F.col(split).isNotNull()).groupBy(key).agg(F.countDistinct(split).alias("n_splits")).where("n_splits > 1")

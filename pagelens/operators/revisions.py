@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from pagelens.functions.text import name_mark, volume_key
 from pagelens.operators.hierarchy import components
-from pagelens.session import nonblank
+from pagelens.session import nonblank, small
 
 KEYS = ["object_id", "doc_stage"]
-#: Rules of a catalogue that is spread over every object and stage.
-MAX_RULES = 10_000
 
 
 def first_delivery(files: DataFrame) -> DataFrame:
@@ -54,7 +52,7 @@ def filename_chains(files: DataFrame) -> DataFrame:
     Files of the stages PD and RD with the same volume key form a chain in order of number.  A
     chain conflicts if marks are of mixed kinds, a number is missing, or a number stands for two contents.
     """
-    f = first_delivery(files).where(F.col("doc_stage").isin("PD", "RD")).select("id", *KEYS, "file_hash", volume_key(F.col("file_path")).alias("volume"), name_mark(F.col("file_path")).alias("m")).select("*", "m.kind", "m.number").drop("m")
+    f = first_delivery(files).where(F.col("doc_stage").isin("PD", "RD")).select("id", *KEYS, "file_hash", volume_key(F.col("file_path")).alias("volume"), name_mark(F.col("file_path"), F.col("revision")).alias("m")).where("volume <> ''").select("*", "m.kind", "m.number").drop("m")
     chain = Window.partitionBy(*KEYS, "volume")
     order = chain.orderBy(F.col("number").asc_nulls_first(), "id")
     same_number = Window.partitionBy(*KEYS, "volume", "number")
@@ -129,13 +127,11 @@ def bind_rules(rules: DataFrame, heads_: DataFrame) -> DataFrame:
     n = Window.partitionBy(*KEYS)
     h = heads_.withColumn("n_all", F.count(F.lit(1)).over(n))
     kinds = rules.select("code", F.explode("kinds").alias("kind"))
-    by_kind = h.select(*KEYS, "head_id", "document_code", F.explode("kinds").alias("kind")).join(F.broadcast(kinds), "kind").select("code", *KEYS, "head_id", "document_code").distinct()
+    by_kind = h.select(*KEYS, "head_id", "document_code", F.explode("kinds").alias("kind")).join(small(kinds), "kind").select("code", *KEYS, "head_id", "document_code").distinct()
     g = by_kind.groupBy("code", *KEYS).agg(F.countDistinct("head_id").alias("n_match"), F.countDistinct("document_code").alias("n_codes"))
     stages = h.groupBy(*KEYS).agg(F.max("n_all").alias("n_all"))
-    codes = [r["code"] for r in rules.select("code").distinct().limit(MAX_RULES + 1).collect()]
-    if len(codes) > MAX_RULES:
-        raise ValueError(f"a catalogue of more than {MAX_RULES} rules")
-    every = stages.withColumn("code", F.explode(F.array(*map(F.lit, sorted(codes)))))
+    codes = rules.agg(F.collect_set("code").alias("codes")).withColumn("_one", F.lit(1))  # one row: every stage gets every rule
+    every = stages.withColumn("_one", F.lit(1)).join(codes, "_one").withColumn("code", F.explode("codes")).drop("_one", "codes")
     r = every.join(g, ["code", *KEYS], "left").fillna(0, ["n_match", "n_codes"])
     status = F.when((F.col("n_all") == 1) | (F.col("n_match") == 1), "BOUND").when((F.col("n_match") > 1) & (F.col("n_codes") > 1), "BOUND").otherwise("CONFLICT")
     return r.select("code", *KEYS, "n_all", "n_match", status.alias("status"))
@@ -184,6 +180,12 @@ def last_file(index: DataFrame, pos: str = "pos") -> DataFrame:
     return x.groupBy("object_id", "stage").agg(F.max_by(F.when(F.col("reason").isNull(), F.col("file_id")), F.when(F.col("reason").isNull(), F.col(pos))).alias("file_id"), *(F.count_if(F.col("reason") == r).alias(f"n_{r}") for r in ("excluded", "stage", "missing")))
 
 
+def gold_slots(index: DataFrame, gold: DataFrame, pos: str = "pos") -> DataFrame:
+    """REV-21: object_id, stage, file_id: of the files that the object's own gold evidence (object_id, file_id) names, the last per stage."""
+    named = index.join(gold.select("object_id", "file_id").distinct(), ["object_id", "file_id"], "left_semi")
+    return named.groupBy("object_id", "stage").agg(F.max_by("file_id", pos).alias("file_id"))
+
+
 def prior_heads(files: DataFrame) -> DataFrame:
     """REV-17: per identity with a current revision the file before it, to be compared like a head: keys, head_id, prior_id."""
     h = heads(files).where("head_id is not null").select(*KEYS, "identity", "head_id")

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelens.functions.text import bind
 from pagelens.session import cut_lineage, nonblank, small
 
 # Characters of the same shape, and the ones without ink.
@@ -78,11 +79,6 @@ def spelling(col) -> F.Column:
 NUMBER = r"(?=[-\d])(?<![\wа-яёА-ЯЁ.,/])-?(?:\d{1,3}(?: \d{3})+(?:[.,]\d+)*(?!\d)|\d+(?:[.,]\d+)*)"
 
 
-def bind(value, then) -> F.Column:
-    """then(value) with value computed once, however often `then` names it and wherever the optimizer moves the expression."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def _figure(raw) -> F.Column:
     """The double that digits with blanks, points and commas write, or null."""
     dots, commas = (F.length(raw) - F.length(F.translate(raw, c, "")) for c in ".,")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagelens.plans import problems, quality, records, texts
+from pagelens.plans import pieces, problems, quality, records, texts
 
-MODULES = (problems, texts, records, quality)
+MODULES = (problems, texts, records, quality, pieces)
 
 
 def queries() -> dict:

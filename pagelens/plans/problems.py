@@ -52,8 +52,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    """Every file that has a parent or a child: path and descendants as text, parted by blanks."""
     h = hierarchy.hierarchy(hierarchy.parent_links(table(spark, d, "files")))
-    return h.withColumnsRenamed({"node": "file_id", "parent": "parent_id", "root": "root_id"})
+    return h.select(F.col("node").alias("file_id"), F.col("parent").alias("parent_id"), F.col("root").alias("root_id"), "depth", F.array_join("path", " ").alias("path"), F.array_join("descendants", " ").alias("descendants"), "n_descendants", "mark")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_amounts, p3_found, p3_report, p4_found, p4_sessions, p5_found, p5_hierarchy)}
@@ -83,11 +84,13 @@ f AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, e
 s AS (SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM f)
 """
 
-_P5 = """
-WITH RECURSIVE ids AS (SELECT DISTINCT id FROM files),
+_LINKS = """ids AS (SELECT DISTINCT id FROM files),
 up AS (SELECT id AS node, min(predecessor_id) AS parent FROM files WHERE predecessor_id IN (SELECT id FROM ids) GROUP BY id),
 down AS (SELECT successor_id AS node, min(id) AS parent FROM files WHERE successor_id IN (SELECT id FROM ids) GROUP BY successor_id),
-links AS (SELECT i.id AS node, coalesce(u.parent, d.parent) AS parent FROM ids i LEFT JOIN up u ON u.node = i.id LEFT JOIN down d ON d.node = i.id),
+links AS (SELECT i.id AS node, coalesce(u.parent, d.parent) AS parent FROM ids i LEFT JOIN up u ON u.node = i.id LEFT JOIN down d ON d.node = i.id)"""
+
+_P5 = f"""
+WITH RECURSIVE {_LINKS},
 walk AS (
   SELECT node, node AS root, 0 AS depth FROM links WHERE parent IS NULL
   UNION ALL
@@ -96,10 +99,28 @@ SELECT l.node AS file_id, coalesce(w.root, 'CYCLE') AS root_id, CAST(coalesce(w.
 FROM links l LEFT JOIN walk w ON w.node = l.node WHERE l.parent IS NOT NULL
 """
 
+_TREES = f"""
+WITH RECURSIVE {_LINKS},
+walk AS (
+  SELECT node, [node] AS path FROM links WHERE parent IS NULL
+  UNION ALL
+  SELECT l.node, list_append(w.path, l.node) FROM walk w JOIN links l ON l.parent = w.node),
+under AS (SELECT a AS node, string_agg(node, ' ' ORDER BY path) AS descendants, count(*) AS n FROM (SELECT node, path, unnest(path[:-2]) AS a FROM walk) GROUP BY 1),
+lost AS (SELECT * FROM links WHERE node NOT IN (SELECT node FROM walk)),
+reach AS (SELECT node, parent AS top FROM lost UNION SELECT r.node, l.parent FROM reach r JOIN lost l ON l.node = r.top),
+ring AS (SELECT node FROM reach WHERE node = top),
+firsts AS (SELECT node, min(top) AS f FROM reach WHERE top IN (SELECT node FROM ring) GROUP BY 1)
+SELECT l.node AS file_id, l.parent AS parent_id, coalesce(w.path[1], 'CYCLE') AS root_id, CAST(coalesce(len(w.path) - 1, -1) AS INTEGER) AS depth, array_to_string(w.path, ' ') AS path, CASE WHEN w.node IS NOT NULL THEN coalesce(u.descendants, '') END AS descendants, CASE WHEN w.node IS NOT NULL THEN coalesce(u.n, 0) END AS n_descendants,
+  CASE WHEN w.node IS NOT NULL THEN 'tree' WHEN l.node NOT IN (SELECT node FROM ring) THEN 'into_circle' WHEN l.parent = f.f THEN 'back_edge' ELSE 'circle' END AS mark
+FROM links l LEFT JOIN walk w ON w.node = l.node LEFT JOIN under u ON u.node = l.node LEFT JOIN firsts f ON f.node = l.node
+WHERE l.parent IS NOT NULL OR u.n > 0
+"""
+
 SQL = {
     "p3_found": f"WITH {_P3} SELECT src_table, rec_id, ref_field, ref_id, kind, period FROM found WHERE kind IS NOT NULL",
     "p3_report": f"WITH {_P3} SELECT src_table, ref_field, kind, period, count(*) AS n_refs, count(DISTINCT ref_id) AS n_keys, count(DISTINCT rec_id) AS n_records FROM found WHERE kind IS NOT NULL GROUP BY ALL",
     "p4_found": _P4 + "SELECT user_id, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n_events FROM s GROUP BY user_id, k",
     "p4_sessions": _P4 + "SELECT user_id, min(ts) AS start_ts, max(ts) AS end_ts, max(ts) - min(ts) AS duration_ms, count(*) AS n_events FROM s GROUP BY user_id, k",
     "p5_found": _P5,
+    "p5_hierarchy": _TREES,
 }

@@ -33,8 +33,13 @@ def agg_predictions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def agg_score_scope(spark: SparkSession, d: str) -> DataFrame:
+    """Eligible are the checks outside the validation split; what an inspector approved is a critical one."""
+    c = _checks(spark, d).where("location is not null")
     gold, p = _gold_and_predictions(spark, d)
-    return scoring.score_scope(gold, p, KEYS, ["matrix_scope"])
+    of = c.groupBy(*KEYS).agg((F.max("split") != "VALIDATION").alias("score_eligible"), F.bool_or(F.col("location_type") == "FLOOR").alias("fpr_denominator"), F.bool_or(F.col("criticality").isNotNull()).alias("approved"))
+    gold, p = gold.join(of.drop("approved"), KEYS), p.join(of.select(*KEYS, "approved"), KEYS)
+    r = scoring.score_scope(gold, p, KEYS, ["matrix_scope"])
+    return r.select(*(F.round(c, 9).alias(c) if t == "double" else F.array_join(c, ",").alias(c) if t == "array<string>" else F.col(c) for c, t in r.dtypes))
 
 
 def agg_unlabeled(spark: SparkSession, d: str) -> DataFrame:
@@ -49,18 +54,19 @@ def agg_key_fields(spark: SparkSession, d: str) -> DataFrame:
 
 
 def agg_linkage(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "public_checks").select(F.col("pd_value").alias("ref_value"), F.col("rd_value").alias("hyp_value"), F.col("location").alias("ref_place"), F.col("location").alias("hyp_place"))
+    rows = table(spark, d, "public_checks").select(F.col("pd_value").alias("ref_value"), F.col("rd_value").alias("hyp_value"), F.col("location_type").alias("ref_place"), F.when(F.col("matrix_scope") == "MATRIX", F.col("location_type")).otherwise("ROOM").alias("hyp_place"))
     return scoring.linkage(rows, ["value", "place"]).select("k", "n", F.round("rate", 9).alias("rate"))
 
 
 def agg_pooled_accuracy(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "part").select("p_brand", F.col("p_type").alias("reference"), F.col("p_name").alias("hypothesis"))
-    return scoring.pooled_accuracy(rows, ["p_brand"]).select("p_brand", "n", F.round("accuracy", 9).alias("accuracy"), "exact_share", "pass_share")
+    return scoring.pooled_accuracy(rows, ["p_brand"]).select("p_brand", "n", F.round("accuracy", 9).alias("accuracy"), F.round("wer", 9).alias("wer"), "exact_share", "pass_share")
 
 
 def agg_flag_slices(spark: SparkSession, d: str) -> DataFrame:
-    c = _checks(spark, d).select(F.col("pd_value").alias("reference"), F.col("rd_value").alias("hypothesis"), F.array("location_type", "criticality").alias("flags"), F.col("rd_value").isNull().alias("abstained"))
-    return scoring.flag_slices(c.withColumn("flags", F.array_compact("flags")))
+    p = table(spark, d, "part").select(F.col("p_type").alias("reference"), F.col("p_name").alias("hypothesis"), F.array(F.left("p_brand", F.lit(7)), F.when(F.col("p_size") > 25, "large")).alias("flags"), (F.col("p_size") % 10 == 0).alias("abstained"))
+    r = scoring.flag_slices(p.withColumn("flags", F.array_compact("flags")))
+    return r.select("flag", F.round("coverage", 9).alias("coverage"), "n", F.round("accuracy", 9).alias("accuracy"), F.round("wer", 9).alias("wer"))
 
 
 def agg_upper_median(spark: SparkSession, d: str) -> DataFrame:
@@ -84,9 +90,16 @@ def agg_threshold(spark: SparkSession, d: str) -> DataFrame:
     return scoring.choose_threshold(_samples(spark, d), risk=0.30)
 
 
+def _claims(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (1 - F.col("l_discount") * 5 - F.col("l_tax") / 10).alias("confidence"), (F.col("l_returnflag") != "R").alias("correct"))
+
+
 def agg_sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")).alias("id"), (1 - F.col("l_discount") * 5).alias("confidence"), (F.col("l_returnflag") != "R").alias("correct"))
-    return scoring.sensitivity(e, ["l_orderkey"]).select("threshold", "k", "groups", F.round("precision_at_k", 6).alias("precision_at_k"))
+    return scoring.sensitivity(_claims(spark, d), "confidence", "correct", ["l_orderkey", "l_linenumber", "l_partkey"])
+
+
+def win_precision_at(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.precision_at(_claims(spark, d), ["l_orderkey"], "confidence", "correct", ["l_linenumber", "l_partkey"], 3)
 
 
 def agg_cluster_f1(spark: SparkSession, d: str) -> DataFrame:
@@ -102,10 +115,12 @@ def agg_frozen(spark: SparkSession, d: str) -> DataFrame:
 
 
 def agg_release_gate(spark: SparkSession, d: str) -> DataFrame:
+    """What stands against a release: the checks' sections against fixed rates of before."""
     gold, p = _gold_and_predictions(spark, d)
-    now = scoring.score_scope(gold.where(F.col("location").isNotNull()), p, KEYS, ["object_id"]).withColumnRenamed("object_id", "category")
+    now = scoring.score_scope(gold.withColumn("category", F.split("parameter_code", "-")[0]), p, KEYS, ["category"])
     base = now.select("category", F.lit(0.9).alias("recall"), F.lit(0.1).alias("fpr"))
-    return scoring.release_gate(now, base).select("category", F.size("blocking").alias("n_blocking"), "passes")
+    intervals = spark.createDataFrame([("recall", 0.81, 0.9), ("precision", 0.5, 0.7), ("false_positive_rate", 0.01, 0.2)], "metric string, low double, high double")
+    return scoring.release_gate(now, base, intervals, signed=False)
 
 
 def agg_acceptance(spark: SparkSession, d: str) -> DataFrame:
@@ -113,11 +128,18 @@ def agg_acceptance(spark: SparkSession, d: str) -> DataFrame:
     return scoring.acceptance(g)
 
 
+def agg_acceptance_verdict(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.worst(agg_acceptance(spark, d))
+
+
 def _trace(spark: SparkSession, d: str) -> DataFrame:
-    """Seven stages per order, from its columns."""
+    """Stages per order, from its columns; the last with a status of its own for some."""
     o = table(spark, d, "orders")
-    tests = [("L1", F.col("o_orderpriority") != "5-LOW"), ("L2", F.col("o_totalprice") > 1000), ("L3", F.col("o_orderstatus") != "P"), ("L4", F.col("o_custkey") % 7 != 0), ("L5", F.col("o_orderkey") % 11 != 0), ("L6", F.lit(True)), ("L7", F.col("o_totalprice") < 300000), ("L9", F.lit(False))]
-    return o.select("o_orderkey", "o_orderstatus", F.explode(F.array(*(F.struct(F.lit(s).alias("stage"), ok.alias("ok")) for s, ok in tests))).alias("t")).select("o_orderkey", "t.stage", "t.ok").where("not (stage = 'L6' and o_orderkey % 13 = 0)")
+    k = F.col("o_orderkey")
+    tests = [("L0", k % 17 != 0), ("L1", F.col("o_orderpriority") != "5-LOW"), ("L2", F.col("o_totalprice") > 20000), ("L3", F.col("o_orderstatus") != "P"), ("L4", F.col("o_custkey") % 7 != 0), ("L5", k % 11 != 0), ("L6", k % 5 != 0), ("L7", F.col("o_totalprice") < 300000), ("L9", F.col("o_totalprice") < 200000)]
+    own = F.when(F.col("stage") == "L9", F.when(k % 3 == 0, "SUSPICION").when(k % 3 == 1, "CONFIRMED_VIOLATION"))
+    x = o.select("o_orderkey", F.explode(F.array(*(F.struct(F.lit(s).alias("stage"), ok.alias("ok")) for s, ok in tests))).alias("t")).select("o_orderkey", "t.stage", "t.ok")
+    return x.where("not (stage = 'L6' and o_orderkey % 13 = 0)").withColumn("status", own)
 
 
 def cas_first_halt(spark: SparkSession, d: str) -> DataFrame:
@@ -142,7 +164,7 @@ def cas_free_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cas_dry_run(spark: SparkSession, d: str) -> DataFrame:
-    return cascade.dry_run(table(spark, d, "params"))
+    return cascade.dry_run(table(spark, d, "params"), F.col("coverage") == "executable", F.col("coverage") != "not_applicable")
 
 
 def agg_coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -150,12 +172,12 @@ def agg_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _findings(spark: SparkSession, d: str) -> DataFrame:
-    status = F.when(F.col("violation_label") == "VIOLATION_PRESENT", F.when(F.col("criticality").isNotNull(), "CONFIRMED_VIOLATION").otherwise("CANDIDATE")).when(F.col("violation_label") == "NO_VIOLATION", "AUTO_NO_DIFFERENCE").otherwise("NOT_COMPARABLE")
+    status = F.when(F.col("violation_label") == "VIOLATION_PRESENT", F.when(F.col("criticality").isNotNull(), "CONFIRMED_VIOLATION").otherwise("CANDIDATE")).when(F.col("violation_label") == "NO_VIOLATION", F.when(F.col("location_type") == "ROOM", "NEGATIVE_VERIFIED").otherwise("AUTO_NO_DIFFERENCE")).otherwise("NOT_COMPARABLE")
     return _checks(spark, d).withColumn("status", status)
 
 
 def agg_protocol(spark: SparkSession, d: str) -> DataFrame:
-    return cascade.protocol(_findings(spark, d), ["object_id"], "check_id", "status").select("object_id", "section", "n")
+    return cascade.protocol(_findings(spark, d), ["object_id"], "check_id", "status")
 
 
 def flt_wire(spark: SparkSession, d: str) -> DataFrame:
@@ -163,17 +185,25 @@ def flt_wire(spark: SparkSession, d: str) -> DataFrame:
     return cascade.for_wire(f, "status").select("check_id", F.lit("wire").alias("to")).unionByName(cascade.for_reading(f, "status").select("check_id", F.lit("reading").alias("to")))
 
 
-def agg_completeness(spark: SparkSession, d: str) -> DataFrame:
+def _complete(spark: SparkSession, d: str) -> DataFrame:
     return cascade.completeness(table(spark, d, "files"), table(spark, d, "objects"))
 
 
+def agg_completeness(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "params").where("section is not null")
+    sections = p.where("source_pd is not null").select("section", F.lit("PD").alias("doc_stage")).unionByName(p.where("source_rd is not null").select("section", F.lit("RD").alias("doc_stage")))
+    return cascade.completeness_rows(_complete(spark, d), sections)
+
+
 def agg_scenario(spark: SparkSession, d: str) -> DataFrame:
-    return cascade.scenario(agg_completeness(spark, d))
+    """Objects with a permit number have a declared composition."""
+    declared = table(spark, d, "objects").where("permit_number is not null").select(F.col("id").alias("object_id"))
+    return cascade.scenario(_complete(spark, d), declared)
 
 
 def agg_manifest(spark: SparkSession, d: str) -> DataFrame:
     f = table(spark, d, "files").select("object_id", "id", "file_hash").distinct()
-    return cascade.manifest_hash(f, ["object_id"]).select("object_id", "n", F.length("manifest").alias("length"))
+    return cascade.manifest_hash(f, ["object_id"])
 
 
 def agg_integrity(spark: SparkSession, d: str) -> DataFrame:
@@ -222,7 +252,10 @@ def ext_presence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ext_element_table(spark: SparkSession, d: str) -> DataFrame:
-    return extract.element_table(_tokens_rules(spark, d)[0])
+    """Tables made of the parts: a range of marks, a mark with two numbers, a mark that comes twice."""
+    n = F.col("p_size") % 9 + 1
+    text = F.concat(F.lit("П"), n, F.lit(".1-2 "), "p_size", F.lit("\nВ"), n, F.lit(" 5 "), "p_size", F.lit("\nДУ1.1 7\nДУ1.1 8\nитого: 9"))
+    return extract.element_table(extract.tokens_of_text(table(spark, d, "part").select("p_partkey", text.alias("text")), "p_partkey", "text"))
 
 
 def ext_multi_field(spark: SparkSession, d: str) -> DataFrame:
@@ -231,8 +264,12 @@ def ext_multi_field(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ext_provision(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("object_id is not null").select("object_id", "text", "source")
-    return extract.provision_hits(docs.where("source in ('explanatory_note', 'specification')"), docs.where("source in ('acts', 'site_journal')"))
+    """What a finding's parameter promises for a room against what the working stage says of that room: clauses and sheets made of the checks."""
+    c = _checks(spark, d).select("object_id", F.regexp_extract("location", r"(\d{3})", 1).alias("room"), F.col("rd_value").isNull().alias("none"), F.col("parameter_code").substr(-1, 1).alias("k")).where("room <> ''")
+    promise = F.when(F.col("k") < "5", "дренажный приямок").otherwise("тамбур-шлюз")
+    design = c.select("object_id", F.concat(F.lit("В пом. "), "room", F.lit(" предусмотрен "), promise, F.lit(".")).alias("text"))
+    sheets = c.select("object_id", F.concat(F.lit("План. Пом. "), "room", F.when(F.col("none"), " вентиляция").otherwise(F.concat(F.lit(" "), promise))).alias("text"))
+    return extract.provision_hits(design, sheets)
 
 
 def ext_room_diff(spark: SparkSession, d: str) -> DataFrame:
@@ -240,7 +277,7 @@ def ext_room_diff(spark: SparkSession, d: str) -> DataFrame:
     c = _checks(spark, d).where("location is not null")
     a = c.select("object_id", F.col("location").alias("room"), F.when(~F.col("pd_value").isin("нет данных", "не указано", "—"), F.lit("x")).alias("feature"))
     b = c.select("object_id", F.col("location").alias("room"), F.when(~F.col("rd_value").isin("нет данных", "не указано", "—"), F.lit("x")).alias("feature"))
-    return extract.collapse_rooms(extract.room_diff(a, b, ["object_id"], most=1_000_000), ["object_id"])
+    return extract.collapse_rooms(extract.room_diff(a, b, ["object_id"]), ["object_id"])
 
 
 def ext_align(spark: SparkSession, d: str) -> DataFrame:
@@ -309,7 +346,7 @@ def ext_passports(spark: SparkSession, d: str) -> DataFrame:
     return extract.passports(t.withColumn("y0", F.lit(0.9)), docs)
 
 
-_FUNCS = (cas_side_findings, agg_index, agg_parse_report, agg_families, agg_gold_hits, ext_passports, agg_predictions, agg_score_scope, agg_unlabeled, agg_key_fields, agg_linkage, agg_pooled_accuracy, agg_flag_slices, agg_upper_median, agg_reliability, agg_ece, agg_threshold, agg_sensitivity, agg_cluster_f1, agg_frozen, agg_release_gate, agg_acceptance, cas_first_halt, cas_rule_order, cas_free_search, cas_dry_run, agg_coverage, agg_protocol, flt_wire, agg_completeness, agg_scenario, agg_manifest, agg_integrity, agg_latency, agg_places, agg_capability, ext_numbers, ext_text, ext_presence, ext_element_table, ext_multi_field, ext_provision, ext_room_diff, ext_align, ext_nearest, ext_dual_read, mth_parallel_pairs)
+_FUNCS = (cas_side_findings, agg_index, agg_parse_report, agg_families, agg_gold_hits, ext_passports, agg_predictions, agg_score_scope, agg_unlabeled, agg_key_fields, agg_linkage, agg_pooled_accuracy, agg_flag_slices, agg_upper_median, agg_reliability, agg_ece, agg_threshold, agg_sensitivity, win_precision_at, agg_cluster_f1, agg_frozen, agg_release_gate, agg_acceptance, agg_acceptance_verdict, cas_first_halt, cas_rule_order, cas_free_search, cas_dry_run, agg_coverage, agg_protocol, flt_wire, agg_completeness, agg_scenario, agg_manifest, agg_integrity, agg_latency, agg_places, agg_capability, ext_numbers, ext_text, ext_presence, ext_element_table, ext_multi_field, ext_provision, ext_room_diff, ext_align, ext_nearest, ext_dual_read, mth_parallel_pairs)
 QUERIES = {f.__name__: f for f in _FUNCS}
 
 _CHECKS = "c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY check_id ORDER BY received_at) AS k FROM public_checks) WHERE k = 1)"
@@ -324,11 +361,17 @@ _WILSON_HIGH = "least(1, ({k} / {n} + 3.8416 / (2 * {n})) / (1 + 3.8416 / {n}) +
 _LOW, _HIGH = _WILSON.format(k="k", n="n"), _WILSON_HIGH.format(k="k", n="n")
 _BINS = """b AS (SELECT least(9, floor((1 - l_discount * 5) * 10))::INTEGER AS bin, 1 - l_discount * 5 AS c, l_returnflag <> 'R' AS ok FROM lineitem),
 g AS (SELECT bin, count(*) AS n, avg(c) AS confidence, avg(ok::INTEGER) AS accuracy FROM b GROUP BY 1)"""
-_FIND = f"WITH {_CHECKS}, f AS (SELECT *, CASE WHEN violation_label = 'VIOLATION_PRESENT' THEN CASE WHEN criticality IS NOT NULL THEN 'confirmed' ELSE 'candidates' END WHEN violation_label = 'NO_VIOLATION' THEN 'preliminary_no_difference' ELSE 'data_quality' END AS section FROM c)"
+_FIND = f"""WITH {_CHECKS}, f AS (SELECT *, CASE WHEN violation_label = 'VIOLATION_PRESENT' THEN CASE WHEN criticality IS NOT NULL THEN 'confirmed' ELSE 'candidates' END WHEN violation_label = 'NO_VIOLATION' THEN CASE WHEN location_type = 'ROOM' THEN 'negative_verified' ELSE 'preliminary_no_difference' END ELSE 'needs_attention' END AS section,
+  CASE WHEN violation_label = 'VIOLATION_PRESENT' THEN CASE WHEN criticality IS NOT NULL THEN 'CONFIRMED_VIOLATION' ELSE 'CANDIDATE' END WHEN violation_label = 'NO_VIOLATION' THEN CASE WHEN location_type = 'ROOM' THEN 'NEGATIVE_VERIFIED' ELSE 'AUTO_NO_DIFFERENCE' END ELSE 'NOT_COMPARABLE' END AS status FROM c)"""
+_LIMBS = lambda text: " || '|' || ".join(f"sum(('0x' || substr(sha256({text}), {8 * i + 1}, 8))::BIGINT)::VARCHAR" for i in range(8))
 _COMPLETE = """every AS (SELECT o.id AS object_id, s.doc_stage FROM objects o CROSS JOIN (VALUES ('PD'), ('RD'), ('ID')) s(doc_stage)),
 have AS (SELECT object_id, doc_stage, count(DISTINCT id) AS n, bool_or(approval_status = 'APPROVED') AS ok FROM files GROUP BY ALL),
 complete AS (SELECT e.object_id, e.doc_stage, CASE WHEN h.n IS NULL THEN 'MISSING' WHEN h.ok THEN 'UPLOADED' ELSE 'PARTIAL' END AS state, coalesce(h.n, 0) AS n FROM every e LEFT JOIN have h ON h.object_id = e.object_id AND h.doc_stage = e.doc_stage)"""
 
+_WER = """WITH s AS (SELECT *, string_split(p_type, ' ') AS a, string_split(p_name, ' ') AS b FROM part), v AS (SELECT *, list_distinct(a || b) AS d FROM s),
+t AS (SELECT *, levenshtein(array_to_string(list_transform(a, lambda x: chr((33 + list_position(d, x))::INTEGER)), ''), array_to_string(list_transform(b, lambda x: chr((33 + list_position(d, x))::INTEGER)), '')) AS w FROM v)
+"""
+
 SQL = {
     "cas_side_findings": f"WITH {_CHECKS}, r AS (SELECT *, row_number() OVER (PARTITION BY object_id, parameter_code ORDER BY check_id) AS n FROM c) SELECT object_id, parameter_code AS code, violation_label AS status, CASE WHEN n = 1 THEN 'pipe-' || parameter_code ELSE 'pipe-' || parameter_code || '-' || (n - 1) END AS finding_id FROM r",
     "agg_index": "SELECT object_id, doc_stage, count(*) AS n, count(*) FILTER (coalesce(approval_status = 'NOT_APPROVED', false) OR document_code IS NULL) AS excluded, count(*) FILTER (NOT (coalesce(approval_status = 'NOT_APPROVED', false) OR document_code IS NULL)) AS usable FROM files GROUP BY ALL",
@@ -337,50 +380,80 @@ SQL = {
     "agg_gold_hits": f"WITH {_CHECKS}, k AS (SELECT DISTINCT object_id, parameter_code FROM c WHERE violation_label = 'VIOLATION_PRESENT') SELECT c.check_id, k.object_id IS NOT NULL AS hit FROM c LEFT JOIN k ON k.object_id = c.object_id AND k.parameter_code = c.parameter_code WHERE split = 'TRAIN_PUBLIC'",
     "agg_predictions": _SCORE + "SELECT * FROM pred",
     "agg_score_scope": _SCORE
-    + f""", n AS (SELECT matrix_scope, count(*) FILTER (label = 'VIOLATION_PRESENT' AND coalesce(predicted = 'VIOLATION_PRESENT', false)) AS tp, count(*) FILTER (label = 'NO_VIOLATION' AND coalesce(predicted = 'VIOLATION_PRESENT', false)) AS fp,
-          count(*) FILTER (label = 'VIOLATION_PRESENT' AND NOT coalesce(predicted = 'VIOLATION_PRESENT', false)) AS fn, count(*) FILTER (label = 'NO_VIOLATION' AND NOT coalesce(predicted = 'VIOLATION_PRESENT', false)) AS tn, count(*) FILTER (predicted = 'COMPARISON_IMPOSSIBLE') AS abstained FROM j GROUP BY 1)
-        SELECT *, tp / nullif(tp + fp, 0) AS precision, tp / nullif(tp + fn, 0) AS recall, 2 * tp / nullif(2 * tp + fp + fn, 0) AS f1, fp / nullif(fp + tn, 0) AS fpr,
-          {_WILSON.format(k="tp", n="(tp + fn)")} AS recall_low, {_WILSON_HIGH.format(k="tp", n="(tp + fn)")} AS recall_high FROM n""",
+    + f""", o AS (SELECT object_id, parameter_code, location, max(split) <> 'VALIDATION' AS e, coalesce(bool_or(location_type = 'FLOOR'), false) AS counted, bool_or(criticality IS NOT NULL) AS ok FROM c WHERE location IS NOT NULL GROUP BY ALL),
+        x AS (SELECT j.matrix_scope, j.predicted, label = 'VIOLATION_PRESENT' AND coalesce(e, false) AS pos, label = 'NO_VIOLATION' AS neg, coalesce(e, false) AS e, counted, ok, coalesce(predicted = 'VIOLATION_PRESENT', false) AS found FROM j JOIN o ON o.object_id = j.object_id AND o.parameter_code = j.parameter_code AND o.location = j.location),
+        n AS (SELECT matrix_scope, count(*) FILTER (pos) AS n_positive, count(*) FILTER (pos AND found) AS tp, count(*) FILTER (pos AND NOT found) AS fn, count(*) FILTER (pos AND coalesce(predicted, 'COMPARISON_IMPOSSIBLE') = 'COMPARISON_IMPOSSIBLE') AS abstained, count(*) FILTER (neg AND (e OR counted)) AS n_negative, count(*) FILTER (neg AND (e OR counted) AND found) AS fp,
+          count(*) FILTER (neg AND e) AS n_gate, count(*) FILTER (neg AND e AND found) AS fp_gate, count(*) FILTER (neg) AS n_extended, count(*) FILTER (neg AND found) AS fp_extended, count(*) FILTER (pos AND found AND ok) AS approved_tp, 0::BIGINT AS n_placed, 0::BIGINT AS placed_hits FROM x GROUP BY 1),
+        m AS (SELECT *, fp + tp - approved_tp AS approved_fp FROM n)
+        SELECT *, round(tp / nullif(n_positive, 0), 9) AS recall, round(tp / nullif(tp + fp, 0), 9) AS precision, round(fp / nullif(n_negative, 0), 9) AS fpr, round(fp_gate / nullif(n_gate, 0), 9) AS fpr_gate, round(fp_extended / nullif(n_extended, 0), 9) AS fpr_extended,
+          round(approved_tp / nullif(n_positive, 0), 9) AS approved_recall, round(approved_tp / nullif(approved_tp + approved_fp, 0), 9) AS approved_precision, NULL AS localization, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 9) AS f1,
+          round({_WILSON.format(k="tp", n="n_positive")}, 9) AS recall_low, round({_WILSON_HIGH.format(k="tp", n="n_positive")}, 9) AS recall_high, {_WILSON.format(k="tp", n="n_positive")} >= 0.8 AS recall_met, {_WILSON_HIGH.format(k="fp", n="n_negative")} <= 0.1 AS fpr_met,
+          array_to_string(list_filter([CASE WHEN n_positive = 0 THEN 'recall' END, CASE WHEN tp + fp = 0 THEN 'precision' END, CASE WHEN n_negative = 0 THEN 'fpr' END, CASE WHEN n_gate = 0 THEN 'fpr_gate' END, CASE WHEN n_extended = 0 THEN 'fpr_extended' END, CASE WHEN n_positive = 0 THEN 'approved_recall' END, CASE WHEN approved_tp + approved_fp = 0 THEN 'approved_precision' END, 'localization'], lambda y: y IS NOT NULL), ',') AS not_measured FROM m""",
     "agg_unlabeled": _SCORE + "SELECT object_id, count(*) AS n FROM pred p WHERE label = 'VIOLATION_PRESENT' AND NOT EXISTS (SELECT 1 FROM gold g WHERE g.label <> 'VIOLATION_PRESENT' AND g.object_id = p.object_id AND g.parameter_code = p.parameter_code AND g.location = p.location) GROUP BY 1",
     "agg_key_fields": f"WITH g AS (SELECT parameter_code AS kind, count(*) FILTER (coalesce(trim(pd_value) = trim(rd_value) AND trim(pd_value) <> '', false)) AS k, count(*) AS n FROM public_checks GROUP BY 1) SELECT kind, k, n, CASE WHEN n >= 30 THEN round(k / n, 9) END AS rate, CASE WHEN n >= 30 THEN round({_LOW}, 9) END AS low, CASE WHEN n >= 30 THEN round({_HIGH}, 9) END AS high FROM g",
-    "agg_linkage": "SELECT count(*) FILTER (coalesce(trim(pd_value) = trim(rd_value) AND trim(pd_value) <> '' AND trim(location) <> '', false)) AS k, count(*) AS n, round(count(*) FILTER (coalesce(trim(pd_value) = trim(rd_value) AND trim(pd_value) <> '' AND trim(location) <> '', false)) / count(*), 9) AS rate FROM public_checks",
-    "agg_pooled_accuracy": "SELECT p_brand, count(*) AS n, round(1 - sum(levenshtein(p_type, p_name)) / sum(length(p_type)), 9) AS accuracy, count(*) FILTER (p_type = p_name) / count(*) AS exact_share, count(*) FILTER (1 - levenshtein(p_type, p_name) / length(p_type) >= 0.95) / count(*) AS pass_share FROM part GROUP BY 1",
+    "agg_linkage": """
+        WITH h AS (SELECT coalesce(trim(pd_value) = trim(rd_value) AND trim(pd_value) <> '' AND trim(location_type) <> '' AND location_type = CASE WHEN matrix_scope = 'MATRIX' THEN location_type ELSE 'ROOM' END, false) AS ok FROM public_checks)
+        SELECT count(*) FILTER (ok) AS k, count(*) AS n, round(count(*) FILTER (ok) / count(*), 9) AS rate FROM h""",
+    "agg_pooled_accuracy": _WER + "SELECT p_brand, count(*) AS n, round(greatest(0, 1 - sum(levenshtein(p_type, p_name)) / sum(length(p_type))), 9) AS accuracy, round(sum(w) / sum(len(a)), 9) AS wer, count(*) FILTER (p_type = p_name) / count(*) AS exact_share, count(*) FILTER (1 - levenshtein(p_type, p_name) / length(p_type) >= 0.95) / count(*) AS pass_share FROM t GROUP BY 1",
+    "agg_flag_slices": _WER + """
+        , x AS (SELECT *, unnest(list_filter([left(p_brand, 7), CASE WHEN p_size > 25 THEN 'large' END], lambda y: y IS NOT NULL)) AS flag, p_size % 10 = 0 AS abstained FROM t),
+        g AS (SELECT flag, count(*) AS n, round(greatest(0, 1 - sum(levenshtein(p_type, p_name)) / sum(length(p_type))), 9) AS accuracy, round(sum(w) / sum(len(a)), 9) AS wer FROM x WHERE NOT abstained GROUP BY 1)
+        SELECT c.flag, round(1 - c.k / c.m, 9) AS coverage, n, accuracy, wer FROM (SELECT flag, count(*) AS m, count(*) FILTER (abstained) AS k FROM x GROUP BY 1) c LEFT JOIN g ON g.flag = c.flag""",
     "agg_upper_median": "SELECT event, count(*) AS n, list_sort(list(duration_ms))[count(*) // 2 + 1] AS median FROM ui_events WHERE duration_ms IS NOT NULL GROUP BY 1",
     "agg_reliability": f"WITH {_BINS} SELECT r.bin::INTEGER AS bin, coalesce(n, 0) AS n, round(coalesce(confidence, 0), 6) AS confidence, round(coalesce(accuracy, 0), 6) AS accuracy FROM range(10) r(bin) LEFT JOIN g ON g.bin = r.bin",
     "agg_ece": f"WITH {_BINS} SELECT round(sum(n * abs(accuracy - confidence)) / sum(n), 6) AS ece FROM g",
     "agg_threshold": f"""WITH s AS (SELECT round(1 - l_discount * 5, 2) AS t, count(*) AS c, count(*) FILTER (l_returnflag = 'R') AS w FROM lineitem GROUP BY 1),
         z AS (SELECT t, sum(c) OVER (ORDER BY t DESC) AS n, sum(w) OVER (ORDER BY t DESC) AS k FROM s) SELECT min(t) AS t_high FROM z WHERE n >= 30 AND {_HIGH} <= 0.30""",
     "agg_sensitivity": """
-        WITH e AS (SELECT t.t AS threshold, l_orderkey, l_returnflag <> 'R' AS ok, row_number() OVER (PARTITION BY t.t, l_orderkey ORDER BY 1 - l_discount * 5 DESC, l_linenumber * 10000000 + l_partkey) AS r FROM lineitem CROSS JOIN (VALUES (0.5::DOUBLE), (0.8::DOUBLE), (0.9::DOUBLE)) t(t) WHERE 1 - l_discount * 5 >= t.t),
-        p AS (SELECT threshold, k.k, l_orderkey, avg(ok::INTEGER) AS p FROM e JOIN (VALUES (1), (3), (5)) k(k) ON r <= k.k GROUP BY ALL)
-        SELECT threshold, k, count(*) AS groups, round(avg(p), 6) AS precision_at_k FROM p GROUP BY ALL""",
+        WITH e AS (SELECT t.t AS threshold, l_returnflag <> 'R' AS ok, row_number() OVER (PARTITION BY t.t ORDER BY 1 - l_discount * 5 - l_tax / 10 DESC, l_orderkey, l_linenumber, l_partkey) AS r FROM lineitem CROSS JOIN (VALUES (0.5::DOUBLE), (0.8::DOUBLE), (0.9::DOUBLE)) t(t) WHERE 1 - l_discount * 5 - l_tax / 10 >= t.t)
+        SELECT threshold, k.k, count(*)::INTEGER AS n, count(*) FILTER (ok)::INTEGER AS hits, count(*) FILTER (ok) / count(*) AS precision FROM e JOIN (VALUES (1), (3), (5)) k(k) ON r <= k.k GROUP BY ALL""",
+    "win_precision_at": "WITH e AS (SELECT l_orderkey, l_returnflag <> 'R' AS ok, row_number() OVER (PARTITION BY l_orderkey ORDER BY 1 - l_discount * 5 - l_tax / 10 DESC, l_linenumber, l_partkey) AS r FROM lineitem) SELECT l_orderkey, count(*) AS n, avg(ok::INTEGER) AS precision FROM e WHERE r <= 3 GROUP BY 1",
+    "agg_release_gate": _SCORE
+    + """, g AS (SELECT split_part(parameter_code, '-', 1) AS category, count(*) FILTER (label = 'VIOLATION_PRESENT' AND coalesce(predicted = 'VIOLATION_PRESENT', false)) / nullif(count(*) FILTER (label = 'VIOLATION_PRESENT'), 0) AS recall, count(*) FILTER (label = 'NO_VIOLATION' AND coalesce(predicted = 'VIOLATION_PRESENT', false)) / nullif(count(*) FILTER (label = 'NO_VIOLATION'), 0) AS fpr FROM j GROUP BY 1)
+        SELECT 'unsigned' AS blocking, 'signature' AS subject
+        UNION ALL SELECT 'missing', k FROM (VALUES ('AR'), ('IOS'), ('KR'), ('OOS'), ('PZ'), ('SM')) c(k) WHERE k NOT IN (SELECT category FROM g WHERE recall IS NOT NULL)
+        UNION ALL VALUES ('threshold', 'precision'), ('threshold', 'false_positive_rate'), ('not_measured', 'character_accuracy'), ('not_measured', 'key_field_exact_match'), ('not_measured', 'document_linkage'), ('not_measured', 'evidence_localization'), ('not_measured', 'f1')
+        UNION ALL SELECT 'recall', category FROM g WHERE (0.9 - recall) * 100 > 2
+        UNION ALL SELECT 'fpr', category FROM g WHERE (fpr - 0.1) * 100 > 2""",
+    "agg_acceptance_verdict": "WITH v AS (SELECT CASE WHEN coverage = 'source_missing' OR coverage IS NULL THEN 'incomplete' WHEN NOT coalesce(is_active, false) THEN 'bad' ELSE 'ok' END AS v FROM params) SELECT CASE WHEN bool_or(v = 'bad') THEN 'bad' WHEN bool_or(v = 'incomplete') THEN 'incomplete' ELSE 'ok' END AS verdict FROM v",
     "agg_frozen": f"WITH {_CHECKS}, g AS (SELECT split_part(parameter_code, '-', 1) AS section, count(*) FILTER (coalesce(protocol_status <> 'OK', false)) AS k, count(*) AS n FROM c WHERE violation_label = 'VIOLATION_PRESENT' GROUP BY 1), l AS (SELECT *, {_LOW} AS low FROM g) SELECT section, k, n, round(low, 9) AS low, low >= 0.8 AS meets, bool_and(low >= 0.8) OVER () AS gate FROM l",
     "agg_acceptance": "SELECT code AS gate, CASE WHEN coverage = 'source_missing' OR coverage IS NULL THEN 'incomplete' WHEN NOT coalesce(is_active, false) THEN 'bad' ELSE 'ok' END AS verdict FROM params",
     "cas_first_halt": """
-        WITH t AS (SELECT o_orderkey, o_orderpriority <> '5-LOW' AS l1, o_totalprice > 1000 AS l2, o_orderstatus <> 'P' AS l3, o_custkey % 7 <> 0 AS l4, o_orderkey % 11 <> 0 AS l5, o_totalprice < 300000 AS l7, o_orderkey % 13 <> 0 AS has6 FROM orders),
-        s AS (SELECT o_orderkey, CASE WHEN NOT l1 THEN 'L1' WHEN NOT l2 THEN 'L2' WHEN NOT l3 THEN 'L3' WHEN NOT l4 THEN 'L4' WHEN NOT l5 THEN 'L5' WHEN NOT l7 THEN 'L7' END AS stage, has6 FROM t)
-        SELECT o_orderkey, stage, CASE stage WHEN 'L1' THEN 'CLARIFICATION_REQUIRED' WHEN 'L2' THEN 'MISSING_EVIDENCE' WHEN 'L3' THEN 'CLARIFICATION_REQUIRED' WHEN 'L4' THEN 'CLARIFICATION_REQUIRED' WHEN 'L5' THEN 'ABSTAIN' WHEN 'L7' THEN 'NOT_COMPARABLE' ELSE CASE WHEN has6 THEN 'PASSED' ELSE 'INCOMPLETE' END END AS status FROM s""",
+        WITH t AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 17 = 0 THEN 'L0' WHEN o_orderpriority = '5-LOW' THEN 'L1' WHEN o_totalprice <= 20000 THEN 'L2' WHEN o_orderstatus = 'P' THEN 'L3' WHEN o_custkey % 7 = 0 THEN 'L4' WHEN o_orderkey % 11 = 0 THEN 'L5'
+            WHEN o_orderkey % 5 = 0 AND o_orderkey % 13 <> 0 THEN 'L6' WHEN o_totalprice >= 300000 THEN 'L7' WHEN o_totalprice >= 200000 THEN 'L9' END AS stage FROM orders)
+        SELECT k AS o_orderkey, stage, CASE stage WHEN 'L1' THEN 'CLARIFICATION_REQUIRED' WHEN 'L2' THEN 'LOW_QUALITY' WHEN 'L3' THEN 'LOW_QUALITY' WHEN 'L4' THEN 'CLARIFICATION_REQUIRED' WHEN 'L5' THEN 'NOT_COMPARABLE' WHEN 'L6' THEN 'CLARIFICATION_REQUIRED' WHEN 'L7' THEN 'ABSTAIN' WHEN 'L9' THEN CASE WHEN k % 3 = 0 THEN 'SUSPICION' END END AS status,
+          CASE WHEN stage = 'L0' THEN 'intake' WHEN stage = 'L9' AND k % 3 = 1 THEN 'human only' WHEN stage = 'L9' AND k % 3 = 2 THEN 'no status' WHEN stage IS NULL AND k % 13 = 0 THEN 'missing L6' END AS error FROM t""",
     "cas_rule_order": f"""WITH {_CHECKS}, s AS (SELECT p.coverage, CASE WHEN p.coverage IS NULL THEN 'CLARIFICATION_REQUIRED' WHEN len(evidence) < 2 OR pd_value IS NULL OR rd_value IS NULL THEN 'MISSING_EVIDENCE' WHEN protocol_status = 'COMPARISON_IMPOSSIBLE' THEN 'NOT_COMPARABLE' WHEN pd_value = rd_value THEN 'AUTO_NO_DIFFERENCE' ELSE 'CANDIDATE' END AS st FROM c LEFT JOIN params p ON p.code = c.parameter_code)
         SELECT CASE WHEN st = 'CANDIDATE' AND coverage IN ('advisory', 'source_missing', 'not_applicable') THEN 'LOW_QUALITY' ELSE st END AS status, count(*) AS n FROM s GROUP BY 1""",
     "cas_free_search": f"""WITH {_CHECKS}, k AS (SELECT DISTINCT object_id, location FROM c WHERE matrix_scope = 'MATRIX' AND location IS NOT NULL)
         SELECT check_id, 'SUSPICION' AS status, CASE WHEN location_type = 'ROOM' THEN 'provision' END AS source FROM c
         WHERE matrix_scope = 'FREE_SEARCH' AND violation_label = 'VIOLATION_PRESENT' AND (location_type IS DISTINCT FROM 'ROOM' OR NOT EXISTS (SELECT 1 FROM k WHERE k.object_id = c.object_id AND k.location = c.location))""",
-    "cas_dry_run": "SELECT coverage, CASE WHEN coverage = 'executable' THEN 'MISSING_EVIDENCE' WHEN coverage = 'not_applicable' THEN 'NOT_APPLICABLE' ELSE 'CLARIFICATION_REQUIRED' END AS status, count(*) AS n FROM params GROUP BY ALL",
-    "agg_coverage": "SELECT k.coverage, count(p.code) AS n FROM (VALUES ('executable'), ('extractor_missing'), ('source_missing'), ('not_applicable'), ('advisory')) k(coverage) LEFT JOIN params p ON p.coverage = k.coverage GROUP BY 1",
-    "agg_protocol": _FIND + " SELECT object_id, section, count(*) AS n FROM f GROUP BY ALL",
-    "flt_wire": _FIND + " SELECT check_id, 'wire' AS \"to\" FROM f WHERE section = 'confirmed' UNION ALL SELECT check_id, 'reading' FROM f WHERE section <> 'preliminary_no_difference'",
-    "agg_completeness": f"WITH {_COMPLETE} SELECT * FROM complete",
-    "agg_scenario": f"""WITH {_COMPLETE}, g AS (SELECT object_id, bool_or(doc_stage = 'PD' AND state <> 'MISSING') AS p, bool_or(doc_stage = 'RD' AND state <> 'MISSING') AS r, bool_or(doc_stage = 'ID' AND state <> 'MISSING') AS i FROM complete GROUP BY 1)
-        SELECT object_id, CASE WHEN p AND r AND i THEN 'FULL' WHEN p AND r THEN 'PD_RD' WHEN r AND i THEN 'RD_ID' WHEN p AND i THEN 'PD_ID' WHEN p OR r OR i THEN 'SINGLE' ELSE 'EMPTY' END AS scenario FROM g""",
-    "agg_manifest": "SELECT object_id, count(*) AS n, CASE WHEN bool_and(regexp_full_match(file_hash, '[0-9a-f]{64}')) THEN 64 END AS length FROM (SELECT DISTINCT object_id, id, file_hash FROM files) GROUP BY 1",
+    "cas_dry_run": "SELECT coverage, CASE WHEN coverage = 'executable' THEN 'MISSING_EVIDENCE' ELSE 'CLARIFICATION_REQUIRED' END AS status, count(*) AS n FROM params GROUP BY ALL",
+    "agg_coverage": "SELECT k.coverage, count(p.code) AS n, (SELECT count(*) FROM params) AS declared, 132 AS expected FROM (VALUES ('executable'), ('extractor_missing'), ('source_missing'), ('not_applicable'), ('advisory')) k(coverage) LEFT JOIN params p ON p.coverage = k.coverage GROUP BY 1",
+    "agg_protocol": _FIND + " SELECT object_id, section, count(*) AS n, sha256(count(*)::VARCHAR || '|' || " + _LIMBS("check_id || '|' || status") + ") AS digest FROM f GROUP BY object_id, section",
+    "flt_wire": _FIND + " SELECT check_id, 'wire' AS \"to\" FROM f WHERE section IN ('confirmed', 'negative_verified') UNION ALL SELECT check_id, 'reading' FROM f WHERE section <> 'preliminary_no_difference'",
+    "agg_completeness": f"WITH {_COMPLETE}, w AS (SELECT DISTINCT section, 'PD' AS doc_stage FROM params WHERE source_pd IS NOT NULL AND section IS NOT NULL UNION SELECT DISTINCT section, 'RD' FROM params WHERE source_rd IS NOT NULL AND section IS NOT NULL) SELECT object_id, section, c.doc_stage, state, CASE state WHEN 'MISSING' THEN 'MISSING' WHEN 'PARTIAL' THEN 'STAGE_PARTIAL_NOT_VERIFIED' ELSE 'STAGE_UPLOADED_NOT_VERIFIED' END AS outcome, false AS violation FROM complete c JOIN w ON w.doc_stage = c.doc_stage",
+    "agg_scenario": f"""WITH {_COMPLETE}, g AS (SELECT object_id, bool_or(state = 'PARTIAL') AS part, bool_or(doc_stage = 'PD' AND state <> 'MISSING') AS p, bool_or(doc_stage = 'RD' AND state <> 'MISSING') AS r, bool_or(doc_stage = 'ID' AND state <> 'MISSING') AS i FROM complete GROUP BY 1)
+        SELECT object_id, CASE WHEN part THEN 'PARTIALLY_LOADED' WHEN p AND r AND i THEN CASE WHEN object_id IN (SELECT id FROM objects WHERE permit_number IS NOT NULL) THEN 'FULL' ELSE 'PARTIALLY_LOADED' END WHEN p AND r THEN 'PD_RD_ONLY' WHEN p AND i THEN 'PD_ID_ONLY' WHEN r AND i THEN 'RD_ID_ONLY' WHEN p OR r OR i THEN 'SINGLE_ONLY' END AS scenario FROM g""",
+    "agg_manifest": "SELECT object_id, count(*) AS n, CASE WHEN bool_and(coalesce(regexp_full_match(file_hash, '[0-9a-f]{64}'), false)) THEN sha256(count(*)::VARCHAR || '|' || " + _LIMBS("id || '|' || file_hash") + ") END AS manifest FROM (SELECT DISTINCT object_id, id, file_hash FROM files) GROUP BY 1",
     "agg_integrity": """
         WITH f AS (SELECT DISTINCT id, file_hash, predecessor_id FROM files), s AS (SELECT DISTINCT id, file_hash AS sha FROM f WHERE predecessor_id IS NULL)
         SELECT CASE WHEN trim(coalesce(f.file_hash, '')) = '' THEN 'no_hash' WHEN NOT regexp_full_match(f.file_hash, '[0-9a-f]{64}') THEN 'invalid_hash' WHEN s.id IS NULL THEN 'missing' WHEN s.sha = f.file_hash THEN 'ok' ELSE 'mismatch' END AS status, count(*) AS n FROM f LEFT JOIN s USING (id) GROUP BY 1""",
     "agg_latency": "SELECT event, count(*) AS n, quantile_cont(duration_ms, 0.5) AS p50, quantile_cont(duration_ms, 0.95) AS p95, quantile_cont(duration_ms, 0.99) AS p99, round(count(*) FILTER (user_id IS NULL) / count(*), 9) AS errors, quantile_cont(duration_ms, 0.95) < 200 AND count(*) FILTER (user_id IS NULL) / count(*) < 0.01 AS passes FROM ui_events WHERE duration_ms IS NOT NULL GROUP BY 1",
     "agg_places": f"WITH {_CHECKS} SELECT check_id, array_to_string(list_transform(evidence, lambda e: concat_ws(':', e.stage, coalesce(e.file_id, '-'), coalesce(e.pdf_page_number::VARCHAR, '-'))), ',') AS places, CASE WHEN len(evidence) / 2.0 >= 0.9 THEN 'high' WHEN len(evidence) / 2.0 >= 0.7 THEN 'medium' WHEN evidence IS NOT NULL THEN 'low' END AS band FROM c",
-    "agg_capability": "WITH l AS (SELECT object_id, CASE approval_status WHEN 'APPROVED' THEN 'AVAILABLE' WHEN 'NOT_APPROVED' THEN 'UNAVAILABLE' ELSE 'DEGRADED' END AS s, doc_stage = 'ID' AS v FROM files) SELECT object_id, CASE WHEN bool_or(s = 'UNAVAILABLE' AND v) THEN 'UNAVAILABLE' WHEN bool_or(s <> 'AVAILABLE') THEN 'DEGRADED' ELSE 'AVAILABLE' END AS state FROM l GROUP BY 1",
-    "ext_room_diff": f"""WITH {_CHECKS}, r AS (SELECT object_id, location, coalesce(bool_or(pd_value NOT IN ('нет данных', 'не указано', '—')), false) AS p, coalesce(bool_or(rd_value NOT IN ('нет данных', 'не указано', '—')), false) AS q FROM c WHERE location IS NOT NULL GROUP BY ALL)
-        SELECT object_id, location AS room, CASE WHEN p AND NOT q THEN 'candidate' WHEN NOT p AND q THEN 'suspicion' ELSE 'match' END AS verdict FROM r""",
+    "agg_capability": "WITH l AS (SELECT object_id, CASE approval_status WHEN 'APPROVED' THEN 'AVAILABLE' WHEN 'NOT_APPROVED' THEN 'UNAVAILABLE' ELSE 'DEGRADED' END AS s, doc_stage = 'ID' AS v FROM files) SELECT object_id, CASE WHEN bool_or(s = 'UNAVAILABLE' AND v) THEN 'UNAVAILABLE' WHEN bool_or(s = 'DEGRADED' AND v) THEN 'DEGRADED' ELSE 'AVAILABLE' END AS state FROM l GROUP BY 1",
+    "ext_provision": f"""WITH {_CHECKS}, r AS (SELECT object_id, regexp_extract(location, '([0-9][0-9][0-9])', 1) AS room, rd_value IS NULL AS none, CASE WHEN right(parameter_code, 1) < '5' THEN 'дренажный приямок' ELSE 'тамбур-шлюз' END AS promise FROM c WHERE regexp_matches(location, '[0-9][0-9][0-9]')),
+        g AS (SELECT object_id, room, min(promise) AS promise FROM r GROUP BY ALL)
+        SELECT g.* FROM g WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.object_id = g.object_id AND r.room = g.room AND NOT none AND r.promise = g.promise)""",
+    "ext_room_diff": f"""WITH {_CHECKS}, r AS (SELECT object_id, location, coalesce(bool_or(pd_value NOT IN ('нет данных', 'не указано', '—')), false) AS p, coalesce(bool_or(rd_value NOT IN ('нет данных', 'не указано', '—')), false) AS q FROM c WHERE location IS NOT NULL GROUP BY ALL),
+        n AS (SELECT object_id, count(*) FILTER (p <> q) AS n FROM r GROUP BY 1)
+        SELECT r.object_id, location AS room, CASE WHEN p = q THEN 'match' WHEN n.n > 12 THEN 'abstain' WHEN p THEN 'candidate' ELSE 'suspicion' END AS verdict FROM r JOIN n ON n.object_id = r.object_id""",
+    "ext_element_table": """
+        WITH p AS (SELECT p_partkey AS file_id, p_size, p_size % 9 + 1 AS n FROM part)
+        SELECT file_id, 1 AS page, 'П' || n || '.1' AS mark, p_size::DOUBLE AS value, NULL AS error FROM p UNION ALL SELECT file_id, 1, 'П' || n || '.2', p_size, NULL FROM p
+        UNION ALL SELECT file_id, 1, 'В' || n, NULL, 'number' FROM p UNION ALL SELECT file_id, 1, 'ДУ1.1', NULL, 'repeated mark' FROM p""",
+    "ext_presence": r"""
+        SELECT 'T2' AS code, doc_id AS file_id FROM documents WHERE regexp_matches(lower(regexp_replace(text, '[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')), 'корпусу|building|haus')""",
     "ext_align": """
         WITH p AS (SELECT l_partkey, l_linenumber, min(l_quantity) AS e, max(l_quantity) AS a FROM lineitem GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY (a - e > 10) DESC, l_linenumber) AS k FROM p)
         SELECT l_partkey, CASE WHEN a - e > 10 THEN 'CANDIDATE' ELSE 'AUTO_NO_DIFFERENCE' END AS status, l_linenumber, e AS expected, a AS actual FROM o WHERE k = 1""",

@@ -70,9 +70,12 @@ def rev_in_force(spark: SparkSession, d: str) -> DataFrame:
 
 
 def int_batch(spark: SparkSession, d: str) -> DataFrame:
-    """Each object's month of uploads is a batch; sizes and contents from the table."""
-    f = table(spark, d, "files").select(F.concat_ws("/", "object_id", F.date_format("uploaded_at", "yyyy-MM")).alias("batch"), F.concat_ws("#", F.date_format("uploaded_at", "yyyyMMddHHmmss"), "id").alias("pos"), F.regexp_replace("file_path", "^.*/", "").alias("name"), (F.length("file_path") * 100_000).alias("size"), "file_hash").distinct()
-    return intake.batch_decision(f, "batch", "pos", "name", "size", "file_hash")
+    """Each object's month of uploads is a batch; sizes and contents from the table, some names, first bytes and packings made bad."""
+    k = F.col("id").substr(-2, 2)
+    name = F.when(k == "07", F.concat(F.lit(" "), "file_hash", F.lit(".pdf"))).when(k == "08", F.concat(F.lit("x"), "file_hash", F.lit(".7z"))).otherwise(F.regexp_replace("file_path", "^.*/", ""))
+    header = F.when(k == "09", "00").when(k == "08", "377ABCAF271C04")
+    f = table(spark, d, "files").select(F.concat_ws("/", "object_id", F.date_format("uploaded_at", "yyyy-MM")).alias("batch"), F.concat_ws("#", F.date_format("uploaded_at", "yyyyMMddHHmmss"), "id").alias("pos"), name.alias("name"), (F.length("file_path") * 100_000).alias("size"), "file_hash", header.alias("header"), F.when(k == "10", 200_000_000).cast("bigint").alias("unpacked")).distinct()
+    return intake.batch_decision(f, "batch", "pos", "name", "size", "file_hash", F.col("header"), F.col("unpacked"))
 
 
 def int_http(spark: SparkSession, d: str) -> DataFrame:
@@ -96,8 +99,9 @@ def int_injection(spark: SparkSession, d: str) -> DataFrame:
 
 
 def int_finding_faults(spark: SparkSession, d: str) -> DataFrame:
-    status = F.when(F.col("violation_label") == "VIOLATION_PRESENT", "CONFIRMED_VIOLATION").otherwise("CANDIDATE")
-    f = intake.finding_faults(status, F.size("evidence"), F.col("protocol_status"), F.col("id_value"), F.col("criticality"))
+    status = F.when(F.col("violation_label") == "VIOLATION_PRESENT", "CONFIRMED_VIOLATION").when(F.col("violation_label") == "NO_VIOLATION", "NEGATIVE_VERIFIED").otherwise("NOT_COMPARABLE")
+    action = F.when(F.col("protocol_status").isin("OK"), "REJECT").when(F.col("protocol_status").isNotNull(), "CONFIRM")
+    f = intake.finding_faults(status, F.size("evidence") > 0, action, F.col("id_value"), F.col("criticality"))
     return table(spark, d, "public_checks").select(F.explode(f).alias("fault")).groupBy("fault").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -120,15 +124,31 @@ def evt_card_actions(spark: SparkSession, d: str) -> DataFrame:
     return eventlog.card_actions(eventlog.once(table(spark, d, "ui_events")))
 
 
+def _trial(spark: SparkSession, d: str) -> DataFrame:
+    return eventlog.once(table(spark, d, "ui_events")).where("user_id is not null and trim(user_id) <> ''")
+
+
 def evt_usability(spark: SparkSession, d: str) -> DataFrame:
-    e = eventlog.once(table(spark, d, "ui_events")).where("user_id is not null and trim(user_id) <> ''")
-    return eventlog.usability(e, ["user_id"])
+    return eventlog.usability(_trial(spark, d), ["user_id"])
+
+
+def evt_usability_verdict(spark: SparkSession, d: str) -> DataFrame:
+    return eventlog.usability_verdict(eventlog.usability(_trial(spark, d), ["user_id"]), "user_id")
+
+
+def evt_participants(spark: SparkSession, d: str) -> DataFrame:
+    return eventlog.participants(eventlog.once(table(spark, d, "ui_events")))
+
+
+def evt_log_verdict(spark: SparkSession, d: str) -> DataFrame:
+    return eventlog.log_verdict(eventlog.once(table(spark, d, "ui_events")))
 
 
 def evt_illegal_steps(spark: SparkSession, d: str) -> DataFrame:
-    e = eventlog.once(table(spark, d, "ui_events")).where("check_id is not null and ts is not null and user_id is not null")
-    legal = {("CARD_OPEN", "ZOOM"), ("CARD_OPEN", "CLICK"), ("CLICK", "CARD_OPEN"), ("ZOOM", "CLICK"), ("CLICK", "DECISION_SUBMIT")}
-    return eventlog.illegal_steps(e, ["check_id", "user_id"], "event", ["ts", "event_id"], legal).groupBy("before", "event").agg(F.count(F.lit(1)).alias("n"))
+    """Statuses of a finding's checks in order of their recording against the legal steps; every other check counts as a human's."""
+    status = F.when(F.col("violation_label") == "VIOLATION_PRESENT", F.when(F.col("criticality").isNotNull(), "CONFIRMED_VIOLATION").otherwise("CANDIDATE")).when(F.col("violation_label") == "NO_VIOLATION", "NEGATIVE_VERIFIED").otherwise("CLARIFICATION_REQUIRED")
+    c = table(spark, d, "public_checks").where("finding_group_id is not null and recorded_at is not null").select("finding_group_id", "check_id", "recorded_at", status.alias("status"), (F.right("check_id", F.lit(1)).cast("int") % 2 == 0).alias("human")).distinct()
+    return eventlog.illegal_steps(c, ["finding_group_id"], "status", ["recorded_at", "check_id"], eventlog.FINDING_STEPS, eventlog.FINDING_BY_HUMAN, "human").groupBy("before", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 def evt_rate_limit(spark: SparkSession, d: str) -> DataFrame:
@@ -210,7 +230,7 @@ def evt_locate(spark: SparkSession, d: str) -> DataFrame:
     return eventlog.locate(c, c.select("finding_id", F.lit("CONFIRMED_VIOLATION").alias("target")).distinct())
 
 
-_FUNCS = (rev_prior_heads, int_submission_faults, int_upload_guard, int_traceability, evt_locate, rev_heads, rev_catalog, rev_stale, rev_blank_components, rev_filename_chains, rev_stage_volumes, rev_bind, rev_modal, rev_diff, rev_normative, rev_in_force, int_batch, int_http, int_first_per_hash, int_usable, int_injection, int_finding_faults, int_registry_faults, set_split_leakage, set_wire_codes, evt_card_actions, evt_usability, evt_illegal_steps, evt_rate_limit, evt_retry, evt_inbox, evt_attempts, evt_insert_once, evt_newest, evt_upsert, evt_next_version, evt_strongest)
+_FUNCS = (rev_prior_heads, int_submission_faults, int_upload_guard, int_traceability, evt_locate, rev_heads, rev_catalog, rev_stale, rev_blank_components, rev_filename_chains, rev_stage_volumes, rev_bind, rev_modal, rev_diff, rev_normative, rev_in_force, int_batch, int_http, int_first_per_hash, int_usable, int_injection, int_finding_faults, int_registry_faults, set_split_leakage, set_wire_codes, evt_card_actions, evt_usability, evt_usability_verdict, evt_participants, evt_log_verdict, evt_illegal_steps, evt_rate_limit, evt_retry, evt_inbox, evt_attempts, evt_insert_once, evt_newest, evt_upsert, evt_next_version, evt_strongest)
 QUERIES = {f.__name__: f for f in _FUNCS}
 
 _FIRST = """first_files AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY uploaded_at) AS k FROM files) WHERE k = 1)"""
@@ -223,11 +243,18 @@ heads AS (SELECT *, CASE WHEN n_heads = 0 THEN 'CYCLE' WHEN n_heads > 1 THEN 'CO
 resolved AS (SELECT object_id, doc_stage, identity, status, CASE WHEN status = 'RESOLVED' THEN h END AS head_id, n_heads, n_files FROM heads)
 """
 _ONCE = "WITH once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY received_at) AS k FROM ui_events) WHERE k = 1)"
-_BATCH = r"""WITH f AS (SELECT DISTINCT object_id || '/' || strftime(uploaded_at, '%Y-%m') AS batch, strftime(uploaded_at, '%Y%m%d%H%M%S') || '#' || id AS pos, regexp_replace(file_path, '^.*/', '') AS name, length(file_path) * 100000 AS size, file_hash AS content FROM files),
+_ACTIONS = """, e AS (SELECT *, coalesce(event IN ('CLICK', 'HOTKEY', 'CARD_OPEN', 'DECISION_SUBMIT') AND (click_index IS NOT NULL OR (screen = 'card' AND target LIKE 'decision-%')), false) AS action,
+    coalesce(event = 'CARD_OPEN' AND lag(event) OVER w = 'CLICK' AND lag(screen) OVER w = 'queue' AND ts - lag(ts) OVER w <= 5000, false) AS mounted FROM once
+    WHERE trim(coalesce(user_id, '')) <> '' AND check_id <> '' AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id, check_id ORDER BY ts, event_id)),
+  decided AS (SELECT user_id, check_id, count(*) FILTER (action AND NOT mounted) AS n FROM e GROUP BY ALL HAVING bool_or(event = 'DECISION_SUBMIT'))"""
+_PARTS = """, p AS (SELECT s.user_id, count(d.user_id) AS cards_decided, max(d.n) AS max_clicks, s.seconds FROM
+    (SELECT user_id, (max(ts) - min(ts)) / 1000 AS seconds FROM once WHERE trim(coalesce(user_id, '')) <> '' AND ts IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (check_id <> '') > 0) s LEFT JOIN decided d ON d.user_id = s.user_id GROUP BY s.user_id, s.seconds)"""
+_USABLE = """, u AS (SELECT user_id, max(coalesce(click_index, 0)) AS max_clicks, sum(coalesce(duration_ms, 0)) / 1000 AS seconds, sum(coalesce(duration_ms, 0)) / 1000 <= 1800 AS within_time, max(coalesce(click_index, 0)) <= 3 AS within_clicks FROM once WHERE trim(coalesce(user_id, '')) <> '' GROUP BY 1)"""
+_BATCH = r"""WITH f AS (SELECT DISTINCT object_id || '/' || strftime(uploaded_at, '%Y-%m') AS batch, strftime(uploaded_at, '%Y%m%d%H%M%S') || '#' || id AS pos, right(id, 2) AS k, regexp_replace(file_path, '^.*/', '') AS name, length(file_path) * 100000 AS size, file_hash AS content FROM files),
 r AS (SELECT *, lower(regexp_extract(name, '\.([^.]+)$', 1)) AS ext, sum(size) OVER (PARTITION BY batch) AS total FROM f),
-q AS (SELECT *, CASE WHEN ext NOT IN ('pdf', 'docx', 'zip', 'xml') THEN 'UNSUPPORTED_FORMAT' WHEN size > 52428800 THEN 'FILE_TOO_LARGE' END AS why FROM r),
+q AS (SELECT *, CASE WHEN k = '07' THEN 'UNSAFE_FILENAME' WHEN k = '08' THEN NULL WHEN ext NOT IN ('pdf', 'docx', 'zip', 'xml', '7z', 'rar') THEN 'UNSUPPORTED_FORMAT' WHEN size > 52428800 THEN 'FILE_TOO_LARGE' WHEN k IN ('09', '10') THEN 'CORRUPTED_FILE' END AS why FROM r),
 w AS (SELECT *, min(pos) FILTER (why IS NULL) OVER (PARTITION BY batch, content) AS first FROM q),
-decided AS (SELECT batch, pos, CASE WHEN total > 209715200 OR why IS NOT NULL THEN 'rejected' WHEN content IS NOT NULL AND pos > first THEN 'duplicate' ELSE 'accepted' END AS decision, CASE WHEN total > 209715200 THEN 'BATCH_TOO_LARGE' ELSE why END AS reason FROM w)
+decided AS (SELECT batch, pos, CASE WHEN total > 209715200 OR why IS NOT NULL THEN 'rejected' WHEN content IS NOT NULL AND pos > first THEN 'duplicate' ELSE 'accepted' END AS decision, CASE WHEN total > 209715200 THEN 'BATCH_LIMIT_EXCEEDED' ELSE why END AS reason FROM w)
 """
 
 SQL = {
@@ -247,6 +274,25 @@ SQL = {
     "rev_heads": _HEADS + "SELECT * FROM resolved",
     "rev_catalog": _HEADS + """SELECT f.id, CASE WHEN trim(coalesce(f.file_hash, '')) = '' THEN 'UNREADABLE' WHEN r.status IS DISTINCT FROM 'RESOLVED' THEN 'CLARIFICATION_REQUIRED' WHEN f.id = r.head_id THEN 'CURRENT' ELSE 'SUPERSEDED' END AS actuality
         FROM first_files f LEFT JOIN resolved r ON r.object_id = f.object_id AND r.doc_stage = f.doc_stage AND trim(coalesce(f.document_code, ''), ' ') <> '' AND r.identity = trim(f.document_code, ' ') || '|' || coalesce(f.discipline, '')""",
+    "rev_blank_components": f"""WITH RECURSIVE {_FIRST}, pool AS (SELECT * FROM first_files WHERE trim(coalesce(document_code, '')) = ''),
+        e AS (SELECT p.id AS a, q.id AS b FROM pool p JOIN pool q ON q.id = p.predecessor_id OR q.id = p.successor_id), ends AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+        reach AS (SELECT id, id AS label FROM pool UNION SELECT ends.b, r.label FROM reach r JOIN ends ON ends.a = r.id)
+        SELECT id, min(label) AS component FROM reach GROUP BY 1""",
+    "rev_filename_chains": rf"""WITH {_FIRST}, n AS (SELECT *, trim(revision) AS rev, regexp_replace(regexp_replace(file_path, '^.*/', ''), '[.][^.]*$', '') AS stem FROM first_files WHERE doc_stage IN ('PD', 'RD')),
+        k AS (SELECT *, lower(regexp_extract(stem, '(?i)(^|[\s._-])(изм|корр?|ред)', 2)) AS mark, regexp_replace(lower(regexp_replace(stem, '(?i)(^|[\s._-])(изм|корр?|ред)([\s._-]*[0-9]{{1,2}})?', ' ', 'g')), '[^0-9a-zа-яё]', '', 'g') AS volume,
+          TRY_CAST(regexp_extract(stem, '(?i)(^|[\s._-])(изм|корр?|ред)[\s._-]*([0-9]{{1,2}})', 3) AS INTEGER) AS num, coalesce(regexp_full_match(rev, '[0-9]+'), false) AS titled FROM n),
+        m AS (SELECT *, CASE WHEN titled THEN 'correction' WHEN mark = 'изм' THEN 'change' WHEN mark <> '' THEN 'correction' ELSE 'none' END AS kind, CASE WHEN titled THEN rev::INTEGER WHEN mark <> '' THEN num ELSE 0 END AS number FROM k WHERE volume <> ''),
+        c AS (SELECT *, coalesce(min(file_hash) OVER s <> max(file_hash) OVER s AND number IS NOT NULL, false) AS clash FROM m WINDOW s AS (PARTITION BY object_id, doc_stage, volume, number)),
+        g AS (SELECT object_id, doc_stage, volume, count(DISTINCT kind) FILTER (kind <> 'none') > 1 OR bool_or(clash) OR (count(*) > 1 AND count(number) < count(*)) AS conflict, count(*) AS size FROM c GROUP BY ALL)
+        SELECT c.doc_stage, c.kind, g.conflict, count(*) AS n, count(*) - count(DISTINCT (c.object_id, c.volume)) FILTER (last) AS n_next FROM (SELECT *, row_number() OVER (PARTITION BY object_id, doc_stage, volume ORDER BY number DESC NULLS LAST, id DESC) = 1 AS last FROM c) c JOIN g ON g.object_id = c.object_id AND g.doc_stage = c.doc_stage AND g.volume = c.volume GROUP BY ALL""",
+    "rev_bind": _HEADS + """, h AS (SELECT r.object_id, r.doc_stage, r.head_id, min(f.document_code) AS code FROM resolved r JOIN files f ON f.id = r.head_id WHERE r.status = 'RESOLVED' GROUP BY ALL),
+        w AS (SELECT head_id, replace(upper(code), '_', '-') AS w FROM h), p AS (SELECT head_id, unnest(string_split_regex(w, '[-/]')) AS part FROM w),
+        t AS (SELECT head_id, part AS token FROM p UNION SELECT head_id, regexp_extract(part, '^([A-ZА-ЯЁ]+)', 1) FROM p WHERE regexp_full_match(part, '[A-ZА-ЯЁ]{2,8}[0-9]+([.][0-9]+)*')),
+        rules AS (SELECT DISTINCT section AS code FROM params WHERE section IS NOT NULL),
+        m AS (SELECT h.object_id, h.doc_stage, rules.code, count(DISTINCT h.head_id) AS n_match, count(DISTINCT h.code) AS n_codes FROM h JOIN t ON t.head_id = h.head_id JOIN rules ON rules.code = t.token GROUP BY ALL),
+        s AS (SELECT object_id, doc_stage, count(*) AS n_all FROM h GROUP BY ALL)
+        SELECT rules.code, s.object_id, s.doc_stage, n_all, coalesce(n_match, 0) AS n_match, CASE WHEN n_all = 1 OR n_match = 1 OR (n_match > 1 AND n_codes > 1) THEN 'BOUND' ELSE 'CONFLICT' END AS status
+        FROM s CROSS JOIN rules LEFT JOIN m ON m.object_id = s.object_id AND m.doc_stage = s.doc_stage AND m.code = rules.code""",
     "rev_stale": f"WITH {_FIRST} SELECT f.id FROM first_files f WHERE EXISTS (SELECT 1 FROM first_files q WHERE q.predecessor_id = f.id AND q.id <> f.id AND coalesce(q.approval_status, '') <> 'NOT_APPROVED')",
     "rev_stage_volumes": _HEADS + "SELECT object_id, doc_stage, CASE count(head_id) WHEN 0 THEN 'none' WHEN 1 THEN 'page' ELSE 'volumes' END AS binding, count(head_id)::INTEGER AS n FROM resolved GROUP BY ALL",
     "rev_modal": "WITH n AS (SELECT object_id, discipline, count(*) AS c FROM files WHERE discipline IS NOT NULL GROUP BY ALL), m AS (SELECT *, max(c) OVER (PARTITION BY object_id) AS most FROM n) SELECT object_id, CASE WHEN count(*) = 1 THEN max(discipline) END AS discipline, count(*) > 1 AS ambiguous FROM m WHERE c = most GROUP BY object_id",
@@ -263,27 +309,32 @@ SQL = {
         SELECT a.norm, a.as_of, v.version, CASE WHEN v.norm IS NULL THEN 'NOT_FOUND' WHEN NOT coalesce(v.s, false) THEN 'UNSIGNED' WHEN a.as_of > v.e THEN 'EXPIRED' ELSE 'VALID' END AS status FROM a LEFT JOIN v USING (norm)""",
     "rev_in_force": "WITH c AS (SELECT check_id, min(parameter_code) AS code, min(recorded_at) AS t FROM public_checks GROUP BY 1) SELECT c.check_id, CASE WHEN p.code IS NULL THEN 'UNKNOWN_VERSION' WHEN t < p.created_at THEN 'NOT_YET_IN_FORCE' WHEN t > p.updated_at THEN 'OUTDATED' ELSE 'ACCEPTED' END AS status FROM c LEFT JOIN params p ON p.code = c.code AND p.matrix_version = 'test-1'",
     "int_batch": _BATCH + "SELECT * FROM decided",
-    "int_http": _BATCH + "SELECT batch, coalesce(max(CASE reason WHEN 'UNSAFE_FILENAME' THEN 400 WHEN 'UNSUPPORTED_FORMAT' THEN 415 WHEN 'CORRUPTED' THEN 422 WHEN 'FILE_TOO_LARGE' THEN 413 WHEN 'BATCH_TOO_LARGE' THEN 413 END), 202) AS http_status FROM decided GROUP BY batch",
+    "int_http": _BATCH + "SELECT batch, coalesce(max(CASE reason WHEN 'UNSAFE_FILENAME' THEN 422 WHEN 'UNSUPPORTED_FORMAT' THEN 415 WHEN 'CORRUPTED_FILE' THEN 422 WHEN 'FILE_TOO_LARGE' THEN 413 WHEN 'BATCH_LIMIT_EXCEEDED' THEN 413 END), 202) AS http_status FROM decided GROUP BY batch",
     "int_first_per_hash": "SELECT object_id, doc_stage, file_hash, id, n FROM (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY object_id, doc_stage, file_hash) AS n FROM files WHERE file_hash IS NOT NULL WINDOW w AS (PARTITION BY object_id, doc_stage, file_hash ORDER BY uploaded_at, id)) WHERE k = 1",
     "int_usable": "SELECT f.object_id, count(DISTINCT f.id) AS n FROM files f JOIN objects o ON o.id = f.object_id WHERE o.contractor IS NOT NULL AND o.customer IS NOT NULL AND f.approval_status IS DISTINCT FROM 'NOT_APPROVED' AND NOT regexp_matches(lower(f.file_path), 'hidden|holdout|(^|/)quarantine(/|$)') GROUP BY 1",
     "int_finding_faults": """
-        WITH c AS (SELECT *, violation_label = 'VIOLATION_PRESENT' AS human FROM public_checks)
+        WITH c AS (SELECT *, CASE violation_label WHEN 'VIOLATION_PRESENT' THEN 'CONFIRM' WHEN 'NO_VIOLATION' THEN 'REJECT' END AS asked, CASE WHEN protocol_status = 'OK' THEN 'REJECT' WHEN protocol_status IS NOT NULL THEN 'CONFIRM' END AS did FROM public_checks)
         SELECT fault, count(*) AS n FROM (
-          SELECT 'evidence' AS fault FROM c WHERE coalesce(len(evidence), 0) = 0
-          UNION ALL SELECT 'decision' FROM c WHERE human AND protocol_status IS NULL
-          UNION ALL SELECT 'comment' FROM c WHERE human AND trim(coalesce(id_value, '')) = '') GROUP BY 1""",
+          SELECT 'evidence' AS fault FROM c WHERE asked IS NOT NULL AND coalesce(len(evidence), 0) = 0
+          UNION ALL SELECT 'decision' FROM c WHERE asked IS NOT NULL AND did IS DISTINCT FROM asked
+          UNION ALL SELECT 'comment' FROM c WHERE asked IS NOT NULL AND trim(coalesce(id_value, '')) = ''
+          UNION ALL SELECT 'reason' FROM c WHERE asked = 'REJECT' AND criticality IS NULL) GROUP BY 1""",
     "int_registry_faults": """
         SELECT 'duplicate' AS fault, section AS key FROM params GROUP BY section HAVING count(*) > 1
         UNION ALL SELECT DISTINCT 'dates', section FROM params WHERE updated_at < created_at
         UNION ALL SELECT DISTINCT 'unknown', discipline FROM files WHERE discipline IS NULL OR discipline NOT IN (SELECT section FROM params)""",
     "set_split_leakage": "SELECT object_id, count(DISTINCT split) AS n_splits FROM public_checks WHERE object_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT split) > 1",
     "set_wire_codes": "WITH a AS (SELECT code, 0 AS s, id AS p FROM params UNION ALL SELECT DISTINCT parameter_code, 1, 0 FROM public_checks WHERE parameter_code LIKE 'FREE-%') SELECT code, row_number() OVER (ORDER BY min(s), min(p), code) AS pos FROM a GROUP BY code",
-    "evt_card_actions": _ONCE + """, e AS (SELECT *, coalesce(event = 'CARD_OPEN' AND lag(event) OVER w = 'CLICK' AND ts - lag(ts) OVER w <= 5000, false) AS free FROM once
-          WHERE trim(coalesce(user_id, '')) <> '' AND check_id IS NOT NULL AND ts IS NOT NULL WINDOW w AS (PARTITION BY user_id, check_id ORDER BY ts, event_id))
-        SELECT user_id, check_id, count(*) FILTER (NOT free) AS n_actions, max(ts) - min(ts) AS cycle_ms FROM e GROUP BY ALL HAVING bool_or(event = 'DECISION_SUBMIT')""",
-    "evt_usability": _ONCE + " SELECT user_id, max(coalesce(click_index, 0)) AS max_clicks, sum(coalesce(duration_ms, 0)) AS spent_ms, count(DISTINCT check_id) AS cards, sum(coalesce(duration_ms, 0)) <= 1800000 AND count(DISTINCT check_id) >= 5 AS passes FROM once WHERE trim(coalesce(user_id, '')) <> '' GROUP BY 1",
-    "evt_illegal_steps": _ONCE + """, s AS (SELECT event, lag(event) OVER (PARTITION BY check_id, user_id ORDER BY ts, event_id) AS before FROM once WHERE check_id IS NOT NULL AND ts IS NOT NULL AND user_id IS NOT NULL)
-        SELECT before, event, count(*) AS n FROM s WHERE before <> event AND (before, event) NOT IN (('CARD_OPEN', 'ZOOM'), ('CARD_OPEN', 'CLICK'), ('CLICK', 'CARD_OPEN'), ('ZOOM', 'CLICK'), ('CLICK', 'DECISION_SUBMIT')) GROUP BY ALL""",
+    "evt_card_actions": _ONCE + _ACTIONS + " SELECT user_id, check_id, n AS n_actions FROM decided",
+    "evt_usability": _ONCE + _USABLE + " SELECT * FROM u",
+    "evt_usability_verdict": _ONCE + _USABLE + " SELECT count(*) AS sessions, count(DISTINCT user_id) AS users, coalesce(bool_and(within_time AND within_clicks), false) AND count(*) = 5 AND count(DISTINCT user_id) = 5 AS passes FROM u",
+    "evt_participants": _ONCE + _ACTIONS + _PARTS + " SELECT * FROM p",
+    "evt_log_verdict": _ONCE + _ACTIONS + _PARTS + ", c AS (SELECT count(DISTINCT check_id) AS cards FROM once WHERE ts IS NOT NULL AND check_id <> ''), w AS (SELECT count(*) AS users, max(max_clicks) AS max_clicks, max(seconds) AS max_seconds FROM p) SELECT users, cards, cards >= 14 AND max_clicks IS NOT NULL AS measured, max_clicks, max_seconds, cards >= 14 AND max_clicks IS NOT NULL AND coalesce(max_clicks <= 3 AND max_seconds <= 1800, false) AS passes FROM c, w",
+    "evt_illegal_steps": """
+        WITH s AS (SELECT DISTINCT finding_group_id AS g, check_id, recorded_at, CASE WHEN violation_label = 'VIOLATION_PRESENT' THEN CASE WHEN criticality IS NOT NULL THEN 'CONFIRMED_VIOLATION' ELSE 'CANDIDATE' END WHEN violation_label = 'NO_VIOLATION' THEN 'NEGATIVE_VERIFIED' ELSE 'CLARIFICATION_REQUIRED' END AS status, right(check_id, 1)::INTEGER % 2 = 0 AS human FROM public_checks WHERE finding_group_id IS NOT NULL AND recorded_at IS NOT NULL),
+        l AS (SELECT *, lag(status) OVER (PARTITION BY g ORDER BY recorded_at, check_id) AS before FROM s)
+        SELECT before, status, count(*) AS n FROM l WHERE before <> status AND NOT ((before, status) IN (('CANDIDATE', 'CLARIFICATION_REQUIRED'), ('CLARIFICATION_REQUIRED', 'CANDIDATE'))
+          OR (human AND before IN ('CANDIDATE', 'CLARIFICATION_REQUIRED') AND status IN ('CONFIRMED_VIOLATION', 'NEGATIVE_VERIFIED'))) GROUP BY ALL""",
     "evt_retry": "SELECT click_index AS attempts, CASE WHEN click_index < 4 THEN [60, 300, 900][greatest(1, least(click_index, 3))] END AS delay_s, count(*) AS n FROM ui_events GROUP BY ALL",
     "evt_inbox": """
         WITH c AS (SELECT check_id IS NOT NULL AS ok, coalesce(click_index, 0) < 4 AS again, user_id, coalesce(sha256(target), repeat('0', 64)) AS h FROM ui_events)
