@@ -161,14 +161,14 @@ def vocabulary(name: str, folder: str | None = None) -> Vocabulary:
 
 
 class _Kept(dict):
-    """Piece to what `of` makes of its ids; bounded."""
+    """Piece to what `of` makes of its ids in each vocabulary; bounded."""
 
-    def __init__(self, vocab: Vocabulary, of: Callable[[list[int]], object]) -> None:
-        self.v, self.of = vocab, of
+    def __init__(self, vocabs: list[Vocabulary], of: Callable[[list[list[int]]], object]) -> None:
+        self.vocabs, self.of = vocabs, of
 
     def __missing__(self, piece: str):
         data = piece.encode("utf-8", "replace")
-        value = self.of(self.v.merge(data))
+        value = self.of([v.merge(data) for v in self.vocabs])
         if len(data) <= KEPT_BYTES:
             if len(self) >= KEPT:
                 self.clear()
@@ -176,27 +176,30 @@ class _Kept(dict):
         return value
 
 
-def _packed(ids: list[int]) -> bytes:
-    return np.asarray(ids, dtype="<i4").tobytes()
+def _packed(ids: list[list[int]]) -> bytes:
+    return np.asarray(ids[0], dtype="<i4").tobytes()
 
 
-class StreamingEncoder:
-    """feed() takes text in any slices and gives what `kept` makes of the ids that no later text can change; finish() gives the rest.
+#: Bits of one vocabulary's count where the counts of several are summed as one number.
+COUNT_BITS = 31
 
-    Held back are at most the lookahead of the split pattern, that of the merges, and one token.
-    """
 
-    def __init__(self, vocab: Vocabulary, kept: _Kept | None = None, lookahead: int | None = None) -> None:
-        self.v, self.kept = vocab, _Kept(vocab, _packed) if kept is None else kept
-        self.lookahead = vocab.lookahead if lookahead is None else lookahead
-        self.text = ""
-        self.open = b""
+def _counted(ids: list[list[int]]) -> int:
+    return sum(len(x) << (COUNT_BITS * i) for i, x in enumerate(ids))
+
 
-    def _stable(self, ended: bool) -> list:
-        """Of the piece under way the tokens that are stable: all at its end, else those with the lookahead behind them."""
+class _Tail:
+    """The bytes of a piece that goes on, as far as a vocabulary's tokens for them may still change."""
+
+    def __init__(self, vocab: Vocabulary, lookahead: int) -> None:
+        self.v, self.lookahead, self.open = vocab, lookahead, b""
+
+    def stable(self, data: bytes, ended: bool) -> list[int]:
+        """The ids that are stable with data added: all at the piece's end, else those with the lookahead behind them."""
+        self.open += data
         if ended:
             piece, self.open = self.open, b""
-            return [self.kept.of(self.v.merge(piece))] if piece else []
+            return self.v.merge(piece) if piece else []
         if len(self.open) <= 2 * self.lookahead:
             return []
         ids, end, limit = [], 0, len(self.open) - self.lookahead
@@ -207,41 +210,55 @@ class StreamingEncoder:
             ids.append(i)
             end += n
         self.open = self.open[end:]
-        return [self.kept.of(ids)]
+        return ids
+
+
+class StreamingEncoder:
+    """feed() takes text in any slices and gives what `kept` makes of the ids that no later text can change; finish() gives the rest.
+
+    Held back are at most the lookahead of the split pattern, that of the merges, and one token.
+    Several vocabularies share one pass, since they share the split pattern.
+    """
+
+    def __init__(self, kept: _Kept, lookaheads: list[int] | None = None) -> None:
+        self.kept, self.pieces = kept, kept.vocabs[0].pieces
+        self.tails = [_Tail(v, n) for v, n in zip(kept.vocabs, lookaheads or [v.lookahead for v in kept.vocabs])]
+        self.long = 2 * max(t.lookahead for t in self.tails) + PIECE_LOOKAHEAD
+        self.text, self.going = "", False
+
+    def _stable(self, text: str, ended: bool) -> object:
+        self.going, data = not ended, text.encode("utf-8", "replace")
+        return self.kept.of([t.stable(data, ended) for t in self.tails])
 
     def feed(self, text: str, last: bool = False) -> list:
         self.text += text
         out: list = []
         done = 0
-        if self.open:
-            # the open piece is a run of letters, digits, marks or blanks; it goes on as far as the same run does
+        if self.going:
+            # the piece is a run of letters, digits, marks or blanks; it goes on as far as the same run does
             limit = len(self.text) - (0 if last else PIECE_LOOKAHEAD)
-            n = max(0, self.v.pieces.match(self.kind + self.text).end() - 1)
-            if n >= limit and not last:
-                n = max(0, limit)
-                self.open += self.text[:n].encode("utf-8", "replace")
-                self.text = self.text[n:]
-                return self._stable(False)
-            self.open += self.text[:n].encode("utf-8", "replace")
-            out = self._stable(True)
-            done = n
+            done = max(0, self.pieces.match(self.kind + self.text).end() - 1)
+            if done >= limit and not last:
+                done = max(0, limit)
+                out = [self._stable(self.text[:done], False)]
+                self.text = self.text[done:]
+                return out
+            out = [self._stable(self.text[:done], True)]
         # every character belongs to a piece, so the pieces say where each of them ends
-        pieces, held = self.v.pieces.findall(self.text, done), 0
+        pieces, held = self.pieces.findall(self.text, done), 0
         while pieces and held < PIECE_LOOKAHEAD and not last:
             held += len(pieces.pop())
         out += map(self.kept.__getitem__, pieces)
         self.text = self.text[len(self.text) - held :] if held else ""
-        if held > 2 * self.lookahead + PIECE_LOOKAHEAD:
-            first = self.v.pieces.match(self.text).end()
-            if first > 2 * self.lookahead + PIECE_LOOKAHEAD:
-                keep = first - PIECE_LOOKAHEAD
-                self.open, self.kind = self.text[:keep].encode("utf-8", "replace"), self.v.kind(self.text[keep - 1])
-                self.text = self.text[keep:]
-                out += self._stable(False)
+        if held > self.long and (first := self.pieces.match(self.text).end()) > self.long:
+            keep = first - PIECE_LOOKAHEAD
+            self.kind = self.kept.vocabs[0].kind(self.text[keep - 1])
+            out.append(self._stable(self.text[:keep], False))
+            self.text = self.text[keep:]
         return out
 
     def finish(self) -> list:
-        return self.feed("", last=True) + self._stable(True)
+        return [*self.feed("", last=True), self._stable("", True)]
 
 
 class StreamingDecoder:
@@ -260,28 +277,39 @@ class StreamingDecoder:
 
 def stream(vocab: Vocabulary, text: str, slice_: int = SLICE) -> list[int]:
     """The ids of a text fed in slices."""
-    e = StreamingEncoder(vocab)
+    e = StreamingEncoder(_Kept([vocab], _packed))
     out = [x for i in range(0, len(text), slice_) for x in e.feed(text[i : i + slice_])]
     return np.frombuffer(b"".join(out + e.finish()), dtype="<i4").tolist()
 
 
 class Encoder:
-    """Packed ids of whole texts, or their number."""
+    """Packed ids of whole texts, or their numbers in each of several vocabularies that share the split pattern."""
 
-    def __init__(self, vocab: Vocabulary, count: bool = False, lookahead: int | None = None) -> None:
-        self.v, self.kept, self.join = vocab, _Kept(vocab, len if count else _packed), sum if count else b"".join
-        self.lookahead = vocab.lookahead if lookahead is None else lookahead
+    def __init__(self, vocabs: list[Vocabulary], count: bool = False, lookaheads: list[int] | None = None) -> None:
+        self.kept = _Kept(vocabs, _counted if count else _packed)
+        self.lookaheads = lookaheads or [v.lookahead for v in vocabs]
 
-    def __call__(self, text: str | None):
-        e, out = StreamingEncoder(self.v, self.kept, self.lookahead), []
-        for i in range(0, len(text or ""), SLICE):
+    def parts(self, text: str | None) -> list:
+        if not text:
+            return []
+        e, out = StreamingEncoder(self.kept, self.lookaheads), []
+        for i in range(0, len(text), SLICE):
             out += e.feed(text[i : i + SLICE], i + SLICE >= len(text))
-        return self.join(out + e._stable(True))
+        if e.going:
+            out.append(e._stable("", True))
+        return out
+
+    def __call__(self, text: str | None) -> bytes:
+        return b"".join(self.parts(text))
+
+    def counts(self, text: str | None) -> list[int]:
+        n, k = sum(self.parts(text)), len(self.kept.vocabs)
+        return [(n >> (COUNT_BITS * i)) & ((1 << COUNT_BITS) - 1) if i < k - 1 else n >> (COUNT_BITS * i) for i in range(k)]
 
 
 @functools.lru_cache(maxsize=8)
-def _encoder(name: str, folder: str | None, count: bool, lookahead: int) -> Encoder:
-    return Encoder(vocabulary(name, folder), count, lookahead)
+def _encoder(names: tuple[str, ...], folder: str | None, count: bool, lookaheads: tuple[int, ...]) -> Encoder:
+    return Encoder([vocabulary(n, folder) for n in names], count, list(lookaheads))
 
 
 def encode(documents: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
@@ -294,7 +322,7 @@ def encode(documents: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     lookahead = vocabulary(tokenizer, folder).lookahead  # of the merge list, found once, by the driver
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(tokenizer, folder, False, lookahead)
+        enc = _encoder((tokenizer,), folder, False, (lookahead,))
         for batch in batches:
             keys, at, packed, total = batch.column("key"), 0, [], 0
             for i, t in enumerate(batch.column("text").to_pylist()):
@@ -313,14 +341,14 @@ def encode(documents: DataFrame, tokenizer: str, key: str = "doc_id", text: str
 def count_tokens(documents: DataFrame, tokenizers: list[str], key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
     """key, tokenizer, n_tokens: the length of each text in tokens of each tokenizer; 0 for null and empty texts."""
     rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    lookaheads = {t: vocabulary(t, folder).lookahead for t in tokenizers}
+    names, lookaheads = tuple(tokenizers), tuple(vocabulary(t, folder).lookahead for t in tokenizers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encs = [_encoder(t, folder, True, n) for t, n in lookaheads.items()]
+        enc = _encoder(names, folder, True, lookaheads) if names else None
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for name, enc in zip(tokenizers, encs):
-                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([name] * len(texts), pa.string()), pa.array([enc(t) for t in texts], pa.int64())], ["key", "tokenizer", "n_tokens"])
+            counts = [enc.counts(t) for t in batch.column("text").to_pylist()] if names else []
+            for i, name in enumerate(names):
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([name] * len(counts), pa.string()), pa.array([c[i] for c in counts], pa.int64())], ["key", "tokenizer", "n_tokens"])
 
     kind = dict(rows.dtypes)["key"]
     return rows.mapInArrow(run, f"key {kind}, tokenizer string, n_tokens bigint").withColumnRenamed("key", key)

@@ -105,7 +105,7 @@ PARTS = ["a", "b", "e", " ", "  ", "\n", "'s", "'ll", "'", "!", "1", "23", "я",
 
 def test_encoding_equals_library(vocab, library):
     rng = random.Random(1)
-    enc = T.Encoder(vocab)
+    enc = T.Encoder([vocab])
     for _ in range(1500):
         s = "".join(rng.choice(PARTS) for _ in range(rng.randint(0, 40)))
         assert np.frombuffer(enc(s), dtype="<i4").tolist() == library(s), repr(s)
@@ -120,14 +120,24 @@ def test_streaming_equals_library(vocab, library):
 
 
 def test_streaming_memory(vocab):
-    e, held = T.StreamingEncoder(vocab), 0
+    e, held = T.StreamingEncoder(T._Kept([vocab], T._packed)), 0
     for _ in range(400):
         e.feed("abcd" * 100)
-        held = max(held, len(e.text) + len(e.open))
+        held = max(held, len(e.text) + len(e.tails[0].open))
     e.finish()
     assert held < 3 * vocab.lookahead + 1000
 
 
+def test_counts_of_several_vocabularies(vocab):
+    """One pass for both gives what each gives alone, runs that stream included."""
+    other = T.vocabulary("byte_bpe_multi_50k")
+    enc = T.Encoder([vocab, other], count=True)
+    rng = random.Random(7)
+    texts = [None, "", *("".join(rng.choice(PARTS) for _ in range(n)) for n in (1, 50, 3000)), "ab" * 20_000, "я" * 30_000 + " конец", " " * 40_000]
+    for t in texts:
+        assert enc.counts(t) == [len(T.stream(v, t or "")) for v in (vocab, other)]
+
+
 def test_decoder(vocab):
     text = "жёлтый 😀 ́中文"
     d = T.StreamingDecoder(vocab)
