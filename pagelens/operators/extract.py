@@ -294,10 +294,23 @@ def align(a: DataFrame, b: DataFrame, keys: list[str], part: str, tolerance: flo
 
 
 def page_pairs(pd_pages: DataFrame, rd_pages: DataFrame, keys: list[str], least: float = 0.5) -> DataFrame:
-    """CMP-13: pairs of pages of two stages whose room sets (page, rooms) overlap; pages meet through the rooms that they share."""
+    """CMP-13: pairs of pages of two stages whose room sets (page, rooms) overlap; pages meet through the rooms that they share.
+
+    Two sets with the overlap asked for share one of the rarest rooms of each, namely of the
+    (1 - least) * size + 1 rarest, so pages meet through these alone and not through a room that
+    stands on every page.
+    """
     a = pd_pages.select(*keys, F.col("page").alias("pd_page"), F.col("rooms").alias("pd_rooms"))
     b = rd_pages.select(*keys, F.col("page").alias("rd_page"), F.col("rooms").alias("rd_rooms"))
-    met = a.select(*keys, "pd_page", F.explode("pd_rooms").alias("room")).join(b.select(*keys, "rd_page", F.explode("rd_rooms").alias("room")), [*keys, "room"]).select(*keys, "pd_page", "rd_page").distinct()
+    one = lambda df, s: df.select(*keys, f"{s}_page", F.explode(F.array_distinct(f"{s}_rooms")).alias("room"))
+    n = one(a, "pd").select(*keys, "room").unionByName(one(b, "rd").select(*keys, "room")).groupBy(*keys, "room").agg(F.count(F.lit(1)).alias("n"))
+
+    def rarest(df: DataFrame, s: str) -> DataFrame:
+        r = one(df, s).join(n, [*keys, "room"]).groupBy(*keys, f"{s}_page").agg(F.array_sort(F.collect_list(F.struct("n", "room"))).alias("r"))
+        k = F.size("r") - F.ceil(F.size("r") * F.lit(least) - 1e-9).cast("int") + 1
+        return r.select(*keys, f"{s}_page", F.explode(F.slice("r", 1, k)).alias("x")).select(*keys, f"{s}_page", "x.room")
+
+    met = rarest(a, "pd").join(rarest(b, "rd"), [*keys, "room"]).select(*keys, "pd_page", "rd_page").distinct()
     j = met.join(a, [*keys, "pd_page"]).join(b, [*keys, "rd_page"]).withColumn("overlap", jaccard(F.col("pd_rooms"), F.col("rd_rooms")))
     return j.where(F.col("overlap") >= least).select(*keys, "pd_page", "rd_page", "overlap")
 

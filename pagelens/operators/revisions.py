@@ -62,13 +62,14 @@ def filename_chains(files: DataFrame) -> DataFrame:
     return f.select("id", *KEYS, "volume", "kind", "number", F.lag("id").over(order).alias("previous_id"), F.lead("id").over(order).alias("next_id"), conflict.alias("conflict"))
 
 
-def heads(files: DataFrame, policy: str = "sole_head") -> DataFrame:
+def heads(files: DataFrame, policy: str = "sole_head", picks: DataFrame | None = None) -> DataFrame:
     """REV-04, REV-07 to REV-09: per object, stage and identity the current revision: status, head_id, n_heads, n_files.
 
     Files not approved and files without a code stay out.  A head has no successor in its pool and
     is named as predecessor by none of it.  No head is a cycle, several conflict.  A sole head of
     stage PD whose approval is unknown is taken under the policy sole_head if no other file of the
-    pool is approved, else it must be clarified; RD and ID heads need no approval.
+    pool is approved, else it must be clarified; RD and ID heads need no approval.  A file that an
+    inspector picked (picks: id) is the head, whatever the links and approvals say; two picked ones conflict.
     """
     pool = first_delivery(files).where(F.coalesce(F.col("approval_status"), F.lit("UNKNOWN")) != "NOT_APPROVED")
     pool = pool.withColumn("identity", identity_key(F.col("document_code"), F.col("discipline"))).where(F.col("identity").isNotNull())
@@ -77,6 +78,8 @@ def heads(files: DataFrame, policy: str = "sole_head") -> DataFrame:
     later = ids.withColumnRenamed("other", "successor_id").withColumn("has_later", F.lit(True))
     named = pool.where(F.col("predecessor_id").isNotNull() & (F.col("predecessor_id") != F.col("id"))).select(*keys, F.col("predecessor_id").alias("id")).distinct().withColumn("is_named", F.lit(True))
     pool = pool.join(later, [*keys, "successor_id"], "left").join(named, [*keys, "id"], "left")
+    picked = pool.withColumn("picked", F.lit(False)) if picks is None else pool.join(picks.select("id").distinct().withColumn("picked", F.lit(True)), "id", "left")
+    pool = picked.withColumn("picked", F.coalesce("picked", F.lit(False)))
     head = F.col("has_later").isNull() & F.col("is_named").isNull()
     g = pool.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_files"),
@@ -84,10 +87,12 @@ def heads(files: DataFrame, policy: str = "sole_head") -> DataFrame:
         F.min(F.when(head, F.col("id"))).alias("head_id"),
         F.max(F.when(head, F.col("approval_status"))).alias("head_approval"),
         F.count_if((F.col("approval_status") == "APPROVED") & ~head).alias("other_approved"),
+        F.count_if("picked").alias("n_picked"),
+        F.min(F.when(F.col("picked"), F.col("id"))).alias("picked_id"),
     )
     unknown = (F.col("doc_stage") == "PD") & (F.coalesce("head_approval", F.lit("UNKNOWN")) != "APPROVED")
-    status = F.when(F.col("n_heads") == 0, "CYCLE").when(F.col("n_heads") > 1, "CONFLICT").when(unknown & ((F.col("other_approved") > 0) | F.lit(policy != "sole_head")), "CLARIFICATION_REQUIRED").otherwise("RESOLVED")
-    return g.select(*keys, status.alias("status"), F.when(status == "RESOLVED", F.col("head_id")).alias("head_id"), "n_heads", "n_files")
+    status = F.when(F.col("n_picked") == 1, "RESOLVED").when(F.col("n_picked") > 1, "CONFLICT").when(F.col("n_heads") == 0, "CYCLE").when(F.col("n_heads") > 1, "CONFLICT").when(unknown & ((F.col("other_approved") > 0) | F.lit(policy != "sole_head")), "CLARIFICATION_REQUIRED").otherwise("RESOLVED")
+    return g.select(*keys, status.alias("status"), F.when(status == "RESOLVED", F.coalesce("picked_id", "head_id")).alias("head_id"), "n_heads", "n_files")
 
 
 def stale(files: DataFrame) -> DataFrame:

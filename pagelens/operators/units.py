@@ -178,17 +178,23 @@ def alias_dictionary(spellings: DataFrame, units: DataFrame) -> DataFrame:
     Each reference stands in the list's case and in capitals, since look-alikes differ by case.
     The n-grams of the reference spellings, a fixed list, are the inverted index; a spelling's
     candidates are the references that share at least half of the grams of the shorter of the
-    two, or stand first by that share.  Candidates are verified by the weighted edit distance;
+    two, and those that share the most.  Candidates are verified by the weighted edit distance;
     a spelling is taken if its nearest reference is near enough and no other unit is as near.
-    Spellings of over 60 characters, empty and null ones name none.
+    A character too much costs MARK at least, so a spelling that is longer than every reference by
+    more than FAR / MARK characters is near to none and need not be looked up.  Empty and null
+    spellings name none.
     """
     spark = spellings.sparkSession
     fixed = spark.createDataFrame([(c, s) for c, names in SPELLINGS.items() for n in names for s in {n, n.upper()}], "canon string, ref string")
     known = small(units.select("canon").distinct())
     fixed = fixed.join(known, "canon", "left_semi").unionByName(units.select("canon", F.col("canon").alias("ref"))).select("canon", spelling(clean(F.col("ref"))).alias("ref")).distinct()
     index = fixed.withColumn("grams", _grams(F.col("ref"))).select("canon", "ref", F.size("grams").alias("n_ref"), F.explode("grams").alias("gram"))
-    own = spellings.select("unit").where((F.length("unit") > 0) & (F.length("unit") <= 60)).distinct().withColumn("grams", _grams(F.col("unit"))).select("unit", F.size("grams").alias("n_own"), F.explode("grams").alias("gram"))
-    pairs = own.join(small(index), "gram").groupBy("unit", "canon", "ref", "n_own", "n_ref").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") * 2 >= F.least("n_own", "n_ref"))
+    longest = max(len(n) for names in SPELLINGS.values() for n in names) + round(FAR / MARK)
+    longest = units.agg(F.greatest(F.lit(longest), F.max(F.length("canon")) + round(FAR / MARK)).alias("n")).first()["n"]
+    own = spellings.select("unit").where((F.length("unit") > 0) & (F.length("unit") <= longest)).distinct().withColumn("grams", _grams(F.col("unit"))).select("unit", F.size("grams").alias("n_own"), F.explode("grams").alias("gram"))
+    pairs = own.join(small(index), "gram").groupBy("unit", "canon", "ref", "n_own", "n_ref").agg((F.count(F.lit(1)) / F.least("n_own", "n_ref")).alias("shared"))
+    most = F.max("shared").over(Window.partitionBy("unit"))
+    pairs = pairs.withColumn("most", most).where((F.col("shared") >= 0.5) | (F.col("shared") == F.col("most")))
 
     @F.pandas_udf("double")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:

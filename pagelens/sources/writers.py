@@ -37,8 +37,19 @@ def protocol_xml(rows: DataFrame, id_: str, tag: str = "finding") -> DataFrame:
 
 
 def by_object(rows: DataFrame, path: str) -> None:
-    """SNK-03."""
-    rows.repartition("object_id").write.mode("overwrite").partitionBy("object_id").json(path)
+    """SNK-03: a folder of JSON lines for each object; an object of many rows is split over several files and tasks, by adaptive execution."""
+    rows.hint("rebalance", "object_id").write.mode("overwrite").partitionBy("object_id").json(path)
+
+
+def run_manifest(index: DataFrame, errors: DataFrame) -> DataFrame:
+    """SNK-03: one JSON text: files read, those skipped by reason, and failures by error, of a run.
+
+    index: reason (null for files read); errors: error.  Only their counts are brought together.
+    """
+    tally = lambda df, c: df.groupBy(c).agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(c, "n")))).alias("m")).withColumn("_one", F.lit(1))
+    read = index.where("reason is null").agg(F.count(F.lit(1)).alias("read")).withColumn("_one", F.lit(1))
+    skipped, failed = tally(index.where("reason is not null"), "reason").withColumnRenamed("m", "skipped"), tally(errors.where("error is not null"), "error").withColumnRenamed("m", "failed")
+    return read.join(skipped, "_one").join(failed, "_one").select(F.to_json(F.struct("read", "skipped", "failed")).alias("json"))
 
 
 def params_csv(params: DataFrame, path: str) -> None:

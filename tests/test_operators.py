@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pagelens.functions import measure, text
 from pagelens.operators import anchors, cascade, comparators, eventlog, extract, intake, revisions, scoring
 from pagelens.plans.texts import RULE_TYPE
+from pagelens.sources import readers, writers
 
 
 def one(spark, column, **values):
@@ -409,3 +410,63 @@ def test_duct_width(spark):
     label = spark.createDataFrame([("f", 1, 700.0)], "file_id string, page int, label_mm double")
     got = extract.duct_width(seg, scale, label).collect()
     assert len(got) == 1 and got[0].width_mm == pytest.approx(mm)
+
+
+def test_more_sources_and_sinks(spark, tmp_path):
+    """Missing files, mixed stages, the source's hash, normative versions, OCR lines, and the manifest of a run."""
+    lines = [{"object_id": "o", "stage": "MIXED", "file_id": "a", "path": "o/том РД.pdf"}, {"object_id": "o", "stage": "mixed", "file_id": "b", "path": "o/b.pdf", "first_page": "АОСР № 1"}, {"object_id": "o", "stage": "MIXED", "file_id": "c", "path": "o/c.pdf"}, {"object_id": "o", "stage": "pd", "file_id": "d", "path": "o/gone.pdf"}]
+    (tmp_path / "index.jsonl").write_text("\n".join(json.dumps(x) for x in lines) + "\n\n")
+    there = spark.createDataFrame([(x["path"],) for x in lines[:3]], "path string")
+    index = readers.files_index(spark, str(tmp_path / "index.jsonl"), present=there)
+    assert {r.file_id: (r.stage, r.reason) for r in index.collect()} == {"a": ("RD", None), "b": ("ID", None), "c": (None, "stage"), "d": ("PD", "missing")}
+    manifest = json.loads(writers.run_manifest(index, spark.createDataFrame([("bomb",), (None,), ("bomb",)], "error string")).first().json)
+    assert manifest == {"read": 2, "skipped": {"missing": 1, "stage": 1}, "failed": {"bomb": 2}}
+    (tmp_path / "gold.jsonl").write_text(json.dumps({"check_id": "1", "object_id": "o", "violation_label": "NO_VIOLATION"}) + "\n" + json.dumps({"check_id": "2", "violation_label": "x", "object_id": "o"}))
+    gold = {r.check_id: (r.fpr_denominator, r.error, len(r.source_sha)) for r in readers.gold(spark, str(tmp_path / "gold.jsonl")).collect()}
+    assert gold == {"1": (True, None, 64), "2": (False, "label", 64)}
+    (tmp_path / "norms.jsonl").write_text(json.dumps({"norm_id": "n", "version": "1", "effective_from": "2024-01-02", "expires_at": "2024-01-01", "signed": True}))
+    assert readers.normative_registry(spark, str(tmp_path / "norms.jsonl")).first().error == "dates"
+    (tmp_path / "ocr.jsonl").write_text(json.dumps({"line_id": "1", "orientation": "vertical", "encoding_flags": ["x"]}))
+    assert readers.recognition_lines(spark, str(tmp_path / "ocr.jsonl")).first().flags == ["VERTICAL", "LOW_QUALITY"]
+    (tmp_path / "free.json").write_text(json.dumps({"entries": [{"code": "FREE-1", "kind": "MATRIX_GAP"}, {"code": "FREE-2", "kind": "x"}]}))
+    assert [r.error for r in readers.free_search(spark, str(tmp_path / "free.json")).orderBy("code").collect()] == [None, "kind"]
+    new = spark.createDataFrame([(1, "b"), (2, "c")], "k int, v string")
+    assert readers.upsert(spark, new, str(tmp_path / "none"), ["k"]).count() == 2
+    spark.createDataFrame([(1, "a"), (3, "a")], "k int, v string").write.parquet(str(tmp_path / "table"))
+    assert {tuple(r) for r in readers.upsert(spark, new, str(tmp_path / "table"), ["k"]).collect()} == {(1, "b"), (2, "c"), (3, "a")}
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "x.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="(?i)parquet|footer"):
+        readers.upsert(spark, new, str(tmp_path / "broken"), ["k"]).count()
+    rows = spark.createDataFrame([("a", i) for i in range(50)] + [("b", 1)], "object_id string, v int")
+    writers.by_object(rows, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).groupBy("object_id").count().orderBy("object_id").collect()[0]["count"] == 50
+    writers.params_csv(rows, str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 51
+
+
+def test_inspector_picks(spark):
+    """A picked file is the head whatever its approval; two of one identity conflict; others are not touched."""
+    s = "id string, object_id string, doc_stage string, discipline string, document_code string, revision string, approval_status string, predecessor_id string, successor_id string, uploaded_at timestamp"
+    files = spark.createDataFrame([("a", "o", "PD", "x", "C1", "1", "UNKNOWN", None, None, None), ("b", "o", "PD", "x", "C1", "2", "APPROVED", None, None, None), ("c", "o", "RD", "x", "C2", "1", "UNKNOWN", None, None, None)], s)
+    got = lambda *ids: {r.identity: (r.status, r.head_id) for r in revisions.heads(files, picks=spark.createDataFrame([(i,) for i in ids], "id string")).collect()}
+    assert got() == {"C1|x": ("CONFLICT", None), "C2|x": ("RESOLVED", "c")}
+    assert got("a") == {"C1|x": ("RESOLVED", "a"), "C2|x": ("RESOLVED", "c")}
+    assert got("a", "b") == {"C1|x": ("CONFLICT", None), "C2|x": ("RESOLVED", "c")}
+
+
+def test_steps_and_trials(spark):
+    """Human steps need a human; a log of too few cards measures nothing."""
+    log = spark.createDataFrame([("f", 1, "CANDIDATE", False), ("f", 2, "CONFIRMED_VIOLATION", False), ("g", 1, "CANDIDATE", False), ("g", 2, "NEGATIVE_VERIFIED", True), ("g", 3, "CANDIDATE", True), ("h", 1, "LOW_QUALITY", True), ("h", 2, "CANDIDATE", True)], "k string, t int, status string, human boolean")
+    bad = eventlog.illegal_steps(log, ["k"], "status", ["t"], eventlog.FINDING_STEPS, eventlog.FINDING_BY_HUMAN, "human")
+    assert {(r.k, r.before, r.status) for r in bad.collect()} == {("f", "CANDIDATE", "CONFIRMED_VIOLATION"), ("g", "NEGATIVE_VERIFIED", "CANDIDATE"), ("h", "LOW_QUALITY", "CANDIDATE")}
+    s = "event_id bigint, event string, user_id string, object_id string, check_id string, screen string, target string, click_index int, duration_ms int, ts bigint, received_at timestamp"
+    e = [(1, "CLICK", "u", None, "c", "queue", "row", 1, 5, 0), (2, "CARD_OPEN", "u", None, "c", "card", "row", 1, 5, 4000), (3, "DECISION_SUBMIT", "u", None, "c", "card", "decision-ok", None, 5, 9000), (4, "SCROLL", "u", None, "c", "card", "row", 2, 5, 9500), (5, "CARD_OPEN", "u", None, "d", "card", "row", 1, 5, 10_000)]
+    events = spark.createDataFrame([(*x, datetime(2024, 1, 1)) for x in e], s)
+    assert [(r.check_id, r.n_actions) for r in eventlog.card_actions(events).collect()] == [("c", 2)]
+    assert [tuple(r) for r in eventlog.participants(events).collect()] == [("u", 1, 2, 10.0)]
+    v = eventlog.log_verdict(events).first()
+    assert (v.users, v.cards, v.measured, v.passes) == (1, 2, False, False)
+    assert eventlog.log_verdict(events.limit(0)).first().measured is False
+    five = spark.createDataFrame([(u, 2, 60.0, True, True) for u in "abcde"], "user_id string, max_clicks int, seconds double, within_time boolean, within_clicks boolean")
+    assert eventlog.usability_verdict(five, "user_id").first().passes and not eventlog.usability_verdict(five.limit(4), "user_id").first().passes
