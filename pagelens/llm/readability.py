@@ -140,14 +140,14 @@ def word_frequencies(documents: DataFrame, seed: Seeds, text: str = "text") -> D
 @dataclass(frozen=True)
 class Formula:
     """Word lists; score = weights over (1, share of words that are not plain, share of unfamiliar words, log words per sentence);
-    cuts between neighbouring grades on it; and the weights of (1, share of hard sentences, log words per sentence - usual_length) that say whether a text is demanding."""
+    cuts between neighbouring grades on it; and the weights of (share of hard sentences - 1/2, log words per sentence - usual_length) that say whether a text is demanding."""
 
     familiar: frozenset[str]
     unfamiliar: frozenset[str]
     plain: frozenset[str]
     weights: tuple[float, ...] = (1.0, 1.0, 3.0, 0.0)
     cuts: tuple[float, ...] = (1.5, 2.5, 3.5, 4.5)
-    side: tuple[float, float, float] = (-0.5, 1.0, 0.0)
+    side: tuple[float, float] = (1.0, 0.0)
     usual_length: float = 0.0
 
 
@@ -273,8 +273,8 @@ def fit(passages: list[tuple[int, str]], frequencies: list[tuple], seed: Seeds)
     score = x @ weights
     cuts = tuple(cut_point(score, grade, g, g + 0.5) for g in range(1, 5))
     usual = float(x[:, 3].mean())
-    side = logistic(np.array([(1.0, s.hard_share, f[3] - usual) for (_, s), f in zip(said, x)]), (grade >= DEMANDING).astype(float), (RIDGE, RIDGE, RIDGE_LENGTH))
-    side = tuple(map(float, side)) if side[1] > 0 else lists.side
+    side = logistic(np.array([(s.hard_share - 0.5, f[3] - usual) for (_, s), f in zip(said, x)]), (grade >= DEMANDING).astype(float), (RIDGE, RIDGE_LENGTH))
+    side = tuple(map(float, side)) if side[0] > 0 else lists.side
     return Formula(lists.familiar, lists.unfamiliar, lists.plain, tuple(map(float, weights)), cuts, side, usual)
 
 
@@ -297,7 +297,7 @@ def measure(text: str | None, formula: Formula, marks: _Marks) -> tuple:
     if not said.n:
         return (0, None, None, None, None, None, None)
     x = said.features()
-    demanding = formula.side[0] + formula.side[1] * said.hard_share + formula.side[2] * (x[3] - formula.usual_length) > 0
+    demanding = said.hard > said.easy and formula.side[0] * (said.hard_share - 0.5) + formula.side[1] * (x[3] - formula.usual_length) > 0
     score = sum(w * v for w, v in zip(formula.weights, x))
     grades = range(DEMANDING, 5) if demanding else range(1, DEMANDING - 1)
     level = grades.start + sum(score > formula.cuts[g - 1] for g in grades)
