@@ -222,7 +222,7 @@ def agg_localised(spark: SparkSession, d: str) -> DataFrame:
     """Orders of which a box of an open line meets one of another line on the page."""
     corners = F.array(*(F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))))
     b = _boxes(spark, d).select(F.col("file_id").alias("key"), "file_id", "page", corners.alias("polygon"), "k")
-    return scoring.localised(b.where("k < 3"), b.where("k >= 3"), ["key"], 0.1)
+    return scoring.localised(b.where("k < 3"), b.where("k >= 3"), ["key"], 0.1234567)
 
 
 _FUNCS = (mth_boxes, mth_reading_order, mth_points, mth_visible, int_tokens, int_fragments, int_roles, cas_missing_stage, cas_suspicion, agg_timings, cmp_operators, cmp_triggers, rev_overlay, rev_narrow, rev_last_file, rev_gold_slots, evt_claimable, evt_publish, evt_mass_confirm, lim_missing, set_stale_outputs, src_cache, ext_contours, ext_scales, ext_elements, ext_geometry, ext_rooms, ext_page_pairs, agg_localised)
@@ -281,5 +281,5 @@ SQL = {
         SELECT 'G1' AS code, f.file_id, m.k::DOUBLE AS value, CASE WHEN m.k IS NULL THEN 'MEASUREMENT_REQUIRED' ELSE 'PRINTED' END AS source FROM (SELECT DISTINCT file_id FROM b) f LEFT JOIN m ON m.file_id = f.file_id AND r = 1""",
     "ext_page_pairs": """WITH s AS (SELECT l_suppkey % 20 AS object_id, l_orderkey AS page, l_linestatus AS st, list(DISTINCT l_partkey % 40) AS rooms FROM lineitem GROUP BY ALL)
         SELECT a.object_id, a.page AS pd_page, b.page AS rd_page, round(len(list_intersect(a.rooms, b.rooms)) / len(list_distinct(a.rooms || b.rooms)), 6) AS overlap FROM s a JOIN s b ON a.object_id = b.object_id AND a.st = 'O' AND b.st = 'F' AND list_has_any(a.rooms, b.rooms) AND len(list_intersect(a.rooms, b.rooms)) / len(list_distinct(a.rooms || b.rooms)) >= 0.5""",
-    "agg_localised": f"WITH {_BOX} SELECT DISTINCT a.file_id AS key FROM b a JOIN b ON a.file_id = b.file_id AND a.page = b.page AND a.k < 3 AND b.k >= 3 WHERE {_IOU} / ({_AREA} - {_IOU})) >= 0.1",
+    "agg_localised": f"WITH {_BOX} SELECT DISTINCT a.file_id AS key FROM b a JOIN b ON a.file_id = b.file_id AND a.page = b.page AND a.k < 3 AND b.k >= 3 WHERE {_IOU} / ({_AREA} - {_IOU})) >= 0.1234567",
 }

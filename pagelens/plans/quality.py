@@ -448,6 +448,18 @@ SQL = {
     "ext_room_diff": f"""WITH {_CHECKS}, r AS (SELECT object_id, location, coalesce(bool_or(pd_value NOT IN ('нет данных', 'не указано', '—')), false) AS p, coalesce(bool_or(rd_value NOT IN ('нет данных', 'не указано', '—')), false) AS q FROM c WHERE location IS NOT NULL GROUP BY ALL),
         n AS (SELECT object_id, count(*) FILTER (p <> q) AS n FROM r GROUP BY 1)
         SELECT r.object_id, location AS room, CASE WHEN p = q THEN 'match' WHEN n.n > 12 THEN 'abstain' WHEN p THEN 'candidate' ELSE 'suspicion' END AS verdict FROM r JOIN n ON n.object_id = r.object_id""",
+    "ext_multi_field": r"""
+        WITH u(code, place, unit, key) AS (VALUES ('M1', 0, 't', 't'), ('M1', 1, 'kPa', 'kpa'), ('M2', 0, 'м3', 'м3'), ('M2', 1, 'м²', 'м2')),
+        w AS (SELECT doc_id, list_filter(string_split_regex(text, '[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: x <> '') AS w FROM documents),
+        p AS (SELECT doc_id, unnest(list_transform(range(2, len(w) + 1), lambda i: {'k': regexp_replace(lower(w[i]), '([мm])²', '\1' || '2'), 'v': w[i - 1]})) AS p FROM w),
+        n AS (SELECT doc_id, p.k AS key, p.v AS v FROM p WHERE p.k IN ('t', 'kpa', 'м3', 'м2')),
+        x AS (SELECT doc_id, key, TRY_CAST(CASE WHEN regexp_full_match(v, '[+-]?[0-9]+') THEN v
+          WHEN regexp_full_match(v, '[+-]?[0-9]{1,3}([.][0-9]{3})+,[0-9]+') THEN replace(replace(v, '.', ''), ',', '.') WHEN regexp_full_match(v, '[+-]?[0-9]{1,3}(,[0-9]{3})+[.][0-9]+') THEN replace(v, ',', '')
+          WHEN contains(v, '.') AND contains(v, ',') THEN NULL WHEN regexp_full_match(v, '[+-]?[1-9][.][0-9]{3}') THEN NULL WHEN regexp_full_match(v, '[+-]?[0-9]+[.][0-9]+') THEN v
+          WHEN regexp_full_match(v, '[+-]?[0-9]{1,3}([.][0-9]{3}){2,}') THEN replace(v, '.', '') WHEN regexp_full_match(v, '[+-]?[0-9]+,[0-9]+') THEN replace(v, ',', '.') WHEN regexp_full_match(v, '[+-]?[0-9]{1,3}(,[0-9]{3}){2,}') THEN replace(v, ',', '') END AS DOUBLE) AS v FROM n),
+        h AS (SELECT u.code, doc_id, place, unit, count(*) AS n, max(v) AS v FROM x JOIN u ON u.key = x.key WHERE v IS NOT NULL GROUP BY ALL)
+        SELECT u.code, f.doc_id AS file_id, u.place, u.unit, CASE WHEN h.n = 1 THEN h.v END AS value, CASE WHEN h.n IS NULL THEN 'missing' WHEN h.n > 1 THEN 'repeated' END AS reason
+        FROM (SELECT DISTINCT code, doc_id FROM h) f JOIN u ON u.code = f.code LEFT JOIN h ON h.code = u.code AND h.doc_id = f.doc_id AND h.place = u.place""",
     "ext_element_table": """
         WITH p AS (SELECT p_partkey AS file_id, p_size, p_size % 9 + 1 AS n FROM part)
         SELECT file_id, 1 AS page, 'П' || n || '.1' AS mark, p_size::DOUBLE AS value, NULL AS error FROM p UNION ALL SELECT file_id, 1, 'П' || n || '.2', p_size, NULL FROM p

@@ -193,6 +193,7 @@ SQL = {
         m AS (SELECT *, lower(regexp_extract(stem, '(?i)(^|[\s._-])(изм|корр?|ред)', 2)) AS mark, TRY_CAST(regexp_extract(stem, '(?i)(^|[\s._-])(изм|корр?|ред)[\s._-]*([0-9]{1,2})', 3) AS INTEGER) AS num FROM s),
         k AS (SELECT CASE WHEN regexp_full_match(rev, '[0-9]+') THEN 'correction' WHEN mark = 'изм' THEN 'change' WHEN mark <> '' THEN 'correction' ELSE 'none' END AS kind, CASE WHEN regexp_full_match(rev, '[0-9]+') THEN rev::INTEGER WHEN mark <> '' THEN num WHEN stem IS NOT NULL THEN 0 END AS number FROM m)
         SELECT kind, number, count(*) AS n FROM k GROUP BY ALL""",
+    "txt_numbers": r"WITH n AS (SELECT doc_id, regexp_extract_all(text, '([0-9]+(?:[ \x{a0}\x{202f}][0-9]{3})*(?:[.,][0-9]+)?)(?:[^0-9]|$)', 1) AS l FROM documents) SELECT doc_id, coalesce(len(l), 0)::INTEGER AS n, l[-1] AS last FROM n",
     "txt_standards": "SELECT p_partkey, 'гост ' || (p_partkey % 100) || ', сп ' || p_size || '.13330' AS standards, p_size <> 1 AS differ FROM part",
     "txt_system_marks": """
         WITH p AS (SELECT p_partkey, p_size, p_size % 9 + 1 AS n FROM part)
