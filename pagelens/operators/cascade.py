@@ -50,6 +50,50 @@ def halted(*halts: tuple[Column, str]) -> Column:
     return out
 
 
+# What stops the evaluation of a rule, in the order in which it is looked at: the fact, its stage, the name under which a rule may rename the status, the status.
+RULE_HALTS = [
+    ("extractor_unsupported", "L6", None, "CLARIFICATION_REQUIRED"),
+    ("operator_unsupported", "L6", None, "CLARIFICATION_REQUIRED"),
+    ("stage_missing", "L2", "source_absent", "MISSING_EVIDENCE"),
+    ("revision_unresolved", "L4", "revision_conflict", "CLARIFICATION_REQUIRED"),
+    ("binding_conflict", "L4", "revision_conflict", "CLARIFICATION_REQUIRED"),
+    ("identity_missing", "L1", None, "CLARIFICATION_REQUIRED"),
+    ("head_conflict", "L4", "revision_conflict", "CLARIFICATION_REQUIRED"),
+    ("head_absent", "L4", "source_absent", "MISSING_EVIDENCE"),
+    ("not_the_head", "L4", "revision_conflict", "CLARIFICATION_REQUIRED"),
+    ("not_approved", "L4", "revision_conflict", "CLARIFICATION_REQUIRED"),
+    ("approval_open", "L4", "revision_conflict", "CLARIFICATION_REQUIRED"),
+    ("volumes_conflict", "L4", "revision_conflict", "CLARIFICATION_REQUIRED"),
+    ("no_volume_hit", "L2", "low_quality", "LOW_QUALITY"),
+    ("source_absent", "L2", "source_absent", "MISSING_EVIDENCE"),
+    ("no_value", "L2", "low_quality", "LOW_QUALITY"),
+    ("stamp_overlap", "L2", "low_quality", "LOW_QUALITY"),
+    ("reads_disagree", "L2", "reads_disagree", "ABSTAIN"),
+    ("not_grounded", "L2", "low_quality", "LOW_QUALITY"),
+    ("not_localised", "L3", "low_quality", "LOW_QUALITY"),
+    ("one_file", "L5", "not_comparable", "NOT_COMPARABLE"),
+    ("unpaired", "L5", "not_comparable", "NOT_COMPARABLE"),
+]
+
+
+def rule_halt(facts: dict[str, Column], mapping: Column | None = None) -> Column:
+    """CAS-02, CAS-03: struct(halt, stage, status) of the first fact that stops a rule; null where none does and the values are compared.
+
+    facts: conditions by the names in RULE_HALTS; those left out, and null ones, do not hold.  mapping:
+    the rule's own names for statuses.  All halts are one expression over one wide row.
+    """
+    unknown = facts.keys() - {name for name, *_ in RULE_HALTS}
+    if unknown:
+        raise ValueError(f"no halts: {sorted(unknown)}")
+
+    def stop(name: str, stage: str, reason: str | None, status: str) -> Column:
+        own = F.lit(status) if mapping is None or reason is None else mapped(F.lit(status), F.lit(reason), mapping)
+        return F.when(facts[name], F.struct(F.lit(name).alias("halt"), F.lit(stage).alias("stage"), own.alias("status")))
+
+    stops = [stop(*h) for h in RULE_HALTS if h[0] in facts]
+    return F.coalesce(*stops) if stops else F.lit(None).cast("struct<halt: string, stage: string, status: string>")
+
+
 def mapped(status: Column, reason: Column, mapping: Column) -> Column:
     """CAS-03: the rule's own name for a reason, else the status."""
     return F.coalesce(F.try_element_at(mapping, reason), status)

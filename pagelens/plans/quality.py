@@ -147,13 +147,19 @@ def cas_first_halt(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cas_rule_order(spark: SparkSession, d: str) -> DataFrame:
-    """Checks through the ordered halts, then the comparison's own verdict and the coverage's downgrade."""
-    c = _checks(spark, d).join(F.broadcast(table(spark, d, "params").select(F.col("code").alias("parameter_code"), "coverage", "data_type")), "parameter_code", "left")
-    halt = cascade.halted((F.col("coverage").isNull(), "CLARIFICATION_REQUIRED"), (F.size("evidence") < 2, "MISSING_EVIDENCE"), (F.col("pd_value").isNull() | F.col("rd_value").isNull(), "MISSING_EVIDENCE"), (F.col("protocol_status") == "COMPARISON_IMPOSSIBLE", "NOT_COMPARABLE"))
-    status = F.coalesce(halt, F.when(F.col("pd_value") == F.col("rd_value"), "AUTO_NO_DIFFERENCE").otherwise("CANDIDATE"))
+    """Checks through the ordered halts, some renamed by their rule, then the comparison's own verdict and the coverage's downgrade."""
     from pagelens.operators.intake import downgrade
 
-    return c.groupBy(downgrade(status, F.col("coverage"), F.lit(None).cast("string")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    c = _checks(spark, d).join(F.broadcast(table(spark, d, "params").select(F.col("code").alias("parameter_code"), "coverage", "data_type")), "parameter_code", "left")
+    file_ = lambda i: F.try_element_at("evidence", F.lit(i))["file_id"]
+    facts = {
+        "operator_unsupported": F.col("coverage").isNull(), "stage_missing": F.size("evidence") < 2, "identity_missing": F.col("location").isNull(), "head_absent": file_(1).isNull(),
+        "not_approved": F.col("criticality") == "Критическое", "no_value": F.col("pd_value").isNull() | F.col("rd_value").isNull(), "reads_disagree": F.col("protocol_status") == "COMPARISON_IMPOSSIBLE", "one_file": file_(1) == file_(2),
+    }
+    mapping = F.when(F.col("data_type") != "number", F.create_map(F.lit("reads_disagree"), F.lit("SUSPICION"), F.lit("revision_conflict"), F.lit("ABSTAIN"))).otherwise(F.create_map().cast("map<string, string>"))
+    halt = cascade.rule_halt(facts, mapping)
+    status = F.coalesce(halt["status"], F.when(F.col("pd_value") == F.col("rd_value"), "AUTO_NO_DIFFERENCE").otherwise("CANDIDATE"))
+    return c.groupBy(halt["halt"].alias("halt"), halt["stage"].alias("stage"), downgrade(status, F.col("coverage"), F.lit(None).cast("string")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def cas_free_search(spark: SparkSession, d: str) -> DataFrame:
@@ -248,7 +254,7 @@ def ext_text(spark: SparkSession, d: str) -> DataFrame:
 
 def ext_presence(spark: SparkSession, d: str) -> DataFrame:
     t, r = _anchored(spark, d)
-    return extract.extract_presence(t, r.where("code = 'T2'")).select("code", "file_id")
+    return extract.extract_presence(t, r).select("code", "file_id")
 
 
 def ext_element_table(spark: SparkSession, d: str) -> DataFrame:
@@ -423,8 +429,12 @@ SQL = {
             WHEN o_orderkey % 5 = 0 AND o_orderkey % 13 <> 0 THEN 'L6' WHEN o_totalprice >= 300000 THEN 'L7' WHEN o_totalprice >= 200000 THEN 'L9' END AS stage FROM orders)
         SELECT k AS o_orderkey, stage, CASE stage WHEN 'L1' THEN 'CLARIFICATION_REQUIRED' WHEN 'L2' THEN 'LOW_QUALITY' WHEN 'L3' THEN 'LOW_QUALITY' WHEN 'L4' THEN 'CLARIFICATION_REQUIRED' WHEN 'L5' THEN 'NOT_COMPARABLE' WHEN 'L6' THEN 'CLARIFICATION_REQUIRED' WHEN 'L7' THEN 'ABSTAIN' WHEN 'L9' THEN CASE WHEN k % 3 = 0 THEN 'SUSPICION' END END AS status,
           CASE WHEN stage = 'L0' THEN 'intake' WHEN stage = 'L9' AND k % 3 = 1 THEN 'human only' WHEN stage = 'L9' AND k % 3 = 2 THEN 'no status' WHEN stage IS NULL AND k % 13 = 0 THEN 'missing L6' END AS error FROM t""",
-    "cas_rule_order": f"""WITH {_CHECKS}, s AS (SELECT p.coverage, CASE WHEN p.coverage IS NULL THEN 'CLARIFICATION_REQUIRED' WHEN len(evidence) < 2 OR pd_value IS NULL OR rd_value IS NULL THEN 'MISSING_EVIDENCE' WHEN protocol_status = 'COMPARISON_IMPOSSIBLE' THEN 'NOT_COMPARABLE' WHEN pd_value = rd_value THEN 'AUTO_NO_DIFFERENCE' ELSE 'CANDIDATE' END AS st FROM c LEFT JOIN params p ON p.code = c.parameter_code)
-        SELECT CASE WHEN st = 'CANDIDATE' AND coverage IN ('advisory', 'source_missing', 'not_applicable') THEN 'LOW_QUALITY' ELSE st END AS status, count(*) AS n FROM s GROUP BY 1""",
+    "cas_rule_order": f"""WITH {_CHECKS}, h AS (SELECT c.*, p.coverage, p.data_type, CASE WHEN p.coverage IS NULL THEN 'operator_unsupported' WHEN len(evidence) < 2 THEN 'stage_missing' WHEN location IS NULL THEN 'identity_missing' WHEN evidence[1].file_id IS NULL THEN 'head_absent' WHEN criticality = 'Критическое' THEN 'not_approved'
+            WHEN pd_value IS NULL OR rd_value IS NULL THEN 'no_value' WHEN protocol_status = 'COMPARISON_IMPOSSIBLE' THEN 'reads_disagree' WHEN evidence[1].file_id = evidence[2].file_id THEN 'one_file' END AS halt FROM c LEFT JOIN params p ON p.code = c.parameter_code),
+        s AS (SELECT *, CASE halt WHEN 'operator_unsupported' THEN 'CLARIFICATION_REQUIRED' WHEN 'stage_missing' THEN 'MISSING_EVIDENCE' WHEN 'identity_missing' THEN 'CLARIFICATION_REQUIRED' WHEN 'head_absent' THEN 'MISSING_EVIDENCE' WHEN 'not_approved' THEN CASE WHEN data_type <> 'number' THEN 'ABSTAIN' ELSE 'CLARIFICATION_REQUIRED' END
+            WHEN 'no_value' THEN 'LOW_QUALITY' WHEN 'reads_disagree' THEN CASE WHEN data_type <> 'number' THEN 'SUSPICION' ELSE 'ABSTAIN' END WHEN 'one_file' THEN 'NOT_COMPARABLE' ELSE CASE WHEN pd_value = rd_value THEN 'AUTO_NO_DIFFERENCE' ELSE 'CANDIDATE' END END AS st FROM h)
+        SELECT halt, CASE halt WHEN 'operator_unsupported' THEN 'L6' WHEN 'stage_missing' THEN 'L2' WHEN 'identity_missing' THEN 'L1' WHEN 'head_absent' THEN 'L4' WHEN 'not_approved' THEN 'L4' WHEN 'no_value' THEN 'L2' WHEN 'reads_disagree' THEN 'L2' WHEN 'one_file' THEN 'L5' END AS stage,
+          CASE WHEN st = 'CANDIDATE' AND coverage IN ('advisory', 'source_missing', 'not_applicable') THEN 'LOW_QUALITY' ELSE st END AS status, count(*) AS n FROM s GROUP BY ALL""",
     "cas_free_search": f"""WITH {_CHECKS}, k AS (SELECT DISTINCT object_id, location FROM c WHERE matrix_scope = 'MATRIX' AND location IS NOT NULL)
         SELECT check_id, 'SUSPICION' AS status, CASE WHEN location_type = 'ROOM' THEN 'provision' END AS source FROM c
         WHERE matrix_scope = 'FREE_SEARCH' AND violation_label = 'VIOLATION_PRESENT' AND (location_type IS DISTINCT FROM 'ROOM' OR NOT EXISTS (SELECT 1 FROM k WHERE k.object_id = c.object_id AND k.location = c.location))""",
@@ -465,7 +475,9 @@ SQL = {
         SELECT file_id, 1 AS page, 'П' || n || '.1' AS mark, p_size::DOUBLE AS value, NULL AS error FROM p UNION ALL SELECT file_id, 1, 'П' || n || '.2', p_size, NULL FROM p
         UNION ALL SELECT file_id, 1, 'В' || n, NULL, 'number' FROM p UNION ALL SELECT file_id, 1, 'ДУ1.1', NULL, 'repeated mark' FROM p""",
     "ext_presence": r"""
-        SELECT 'T2' AS code, doc_id AS file_id FROM documents WHERE regexp_matches(lower(regexp_replace(text, '[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')), 'корпусу|building|haus')""",
+        WITH d AS (SELECT doc_id, lower(regexp_replace(nfc_normalize(text), '[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) AS said FROM documents),
+        r(code, anchors) AS (VALUES ('T1', 'договору|contract|vertrag'), ('T2', 'корпусу|building|haus'), ('T3', 'помещений'), ('T4', 'объём работ за неделю составил'))
+        SELECT code, doc_id AS file_id FROM d JOIN r ON regexp_matches(said, anchors)""",
     "ext_align": """
         WITH p AS (SELECT l_partkey, l_linenumber, min(l_quantity) AS e, max(l_quantity) AS a FROM lineitem GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY (a - e > 10) DESC, l_linenumber) AS k FROM p)
         SELECT l_partkey, CASE WHEN a - e > 10 THEN 'CANDIDATE' ELSE 'AUTO_NO_DIFFERENCE' END AS status, l_linenumber, e AS expected, a AS actual FROM o WHERE k = 1""",

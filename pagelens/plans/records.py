@@ -50,7 +50,8 @@ def rev_modal(spark: SparkSession, d: str) -> DataFrame:
 def rev_diff(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "public_checks").select("object_id", "parameter_code", "pd_value", F.try_element_at("evidence", F.lit(1))["pdf_page_number"].alias("page"), "recorded_at")
     mid = F.lit("2025-01-01").cast("timestamp")
-    old, new = c.where(F.col("recorded_at") < mid), c.where(F.col("recorded_at") >= mid)
+    late = F.coalesce(F.col("recorded_at") >= mid, F.lit(False))  # of unknown time counts as old
+    old, new = c.where(~late), c.where(late)
     x = revisions.revision_diff(old, new, ["object_id", "parameter_code"], "pd_value", "page")
     return x.select("object_id", "parameter_code", "change")
 
@@ -191,7 +192,8 @@ def evt_attempts(spark: SparkSession, d: str) -> DataFrame:
 def evt_insert_once(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "ui_events").select("event_id", "event", "received_at")
     cut = F.lit("2025-01-01").cast("timestamp")
-    return eventlog.insert_once(e.where(F.col("received_at") < cut), e.where(F.col("received_at") >= cut), "event_id", "received_at")
+    late = F.coalesce(F.col("received_at") >= cut, F.lit(False))
+    return eventlog.insert_once(e.where(~late), e.where(late), "event_id", "received_at")
 
 
 def evt_newest(spark: SparkSession, d: str) -> DataFrame:
@@ -208,7 +210,8 @@ def evt_upsert(spark: SparkSession, d: str) -> DataFrame:
         status = F.when((F.col("violation_label") == "VIOLATION_PRESENT") & F.lit(human), "CONFIRMED_VIOLATION").otherwise("CANDIDATE")
         return x.groupBy(F.col("finding_group_id").alias("finding_id")).agg(F.min("parameter_code").alias("rule_code"), F.min("location").alias("expected"), F.min("location_type").alias("actual"), F.max(status).alias("status"), F.max(F.when(F.lit(human), F.col("protocol_status"))).alias("decision"))
 
-    return eventlog.upsert_findings(side(c.where(F.col("recorded_at") < cut), True), side(c.where(F.col("recorded_at") >= cut), False))
+    late = F.coalesce(F.col("recorded_at") >= cut, F.lit(False))
+    return eventlog.upsert_findings(side(c.where(~late), True), side(c.where(late), False))
 
 
 def evt_next_version(spark: SparkSession, d: str) -> DataFrame:
@@ -315,7 +318,7 @@ SQL = {
     "rev_stage_volumes": _HEADS + "SELECT object_id, doc_stage, CASE count(head_id) WHEN 0 THEN 'none' WHEN 1 THEN 'page' ELSE 'volumes' END AS binding, count(head_id)::INTEGER AS n FROM resolved GROUP BY ALL",
     "rev_modal": "WITH n AS (SELECT object_id, discipline, count(*) AS c FROM files WHERE discipline IS NOT NULL GROUP BY ALL), m AS (SELECT *, max(c) OVER (PARTITION BY object_id) AS most FROM n) SELECT object_id, CASE WHEN count(*) = 1 THEN max(discipline) END AS discipline, count(*) > 1 AS ambiguous FROM m WHERE c = most GROUP BY object_id",
     "rev_diff": """
-        WITH c AS (SELECT object_id, parameter_code, pd_value, evidence[1].pdf_page_number AS page, recorded_at >= TIMESTAMP '2025-01-01' AS new FROM public_checks WHERE recorded_at IS NOT NULL),
+        WITH c AS (SELECT object_id, parameter_code, pd_value, evidence[1].pdf_page_number AS page, coalesce(recorded_at >= TIMESTAMP '2025-01-01', false) AS new FROM public_checks),
         s AS (SELECT object_id, parameter_code, new, count(DISTINCT pd_value) AS n, first(pd_value ORDER BY page NULLS FIRST, pd_value NULLS FIRST) AS v FROM c GROUP BY ALL),
         o AS (SELECT * FROM s WHERE NOT new), w AS (SELECT * FROM s WHERE new)
         SELECT coalesce(o.object_id, w.object_id) AS object_id, coalesce(o.parameter_code, w.parameter_code) AS parameter_code,
@@ -359,10 +362,10 @@ SQL = {
         WITH c AS (SELECT check_id IS NOT NULL AS ok, coalesce(click_index, 0) < 4 AS again, user_id, coalesce(sha256(target), repeat('0', 64)) AS h FROM ui_events)
         SELECT CASE WHEN ok THEN 'ack' WHEN again THEN 'requeue' ELSE 'dead_letter' END AS action, CASE WHEN ok THEN 'RECEIVED' WHEN NOT again AND user_id IS NOT NULL THEN 'POISON' END AS row_status, count(*) AS n, count(DISTINCT h) AS hashes FROM c GROUP BY ALL""",
     "evt_attempts": "SELECT target, coalesce(greatest(TRY_CAST(target AS INTEGER), 0) + 1, 1) AS attempt, count(*) AS n FROM ui_events GROUP BY ALL",
-    "evt_insert_once": "SELECT event_id, event, received_at FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY received_at, event) AS k FROM ui_events WHERE received_at >= TIMESTAMP '2025-01-01') WHERE k = 1 AND event_id NOT IN (SELECT event_id FROM ui_events WHERE received_at < TIMESTAMP '2025-01-01')",
+    "evt_insert_once": "SELECT event_id, event, received_at FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY received_at, event) AS k FROM ui_events WHERE received_at >= TIMESTAMP '2025-01-01') WHERE k = 1 AND event_id NOT IN (SELECT event_id FROM ui_events WHERE event_id IS NOT NULL AND NOT coalesce(received_at >= TIMESTAMP '2025-01-01', false))",
     "evt_newest": "SELECT object_id, arg_max(event_id, (received_at, event_id)) AS event_id FROM ui_events WHERE object_id IS NOT NULL GROUP BY 1",
     "evt_upsert": """
-        WITH c AS (SELECT *, recorded_at < TIMESTAMP '2025-01-01' AS old FROM public_checks WHERE finding_group_id IS NOT NULL),
+        WITH c AS (SELECT *, NOT coalesce(recorded_at >= TIMESTAMP '2025-01-01', false) AS old FROM public_checks WHERE finding_group_id IS NOT NULL),
         o AS (SELECT finding_group_id AS f, min(parameter_code) AS r, min(location) AS e, min(location_type) AS a, max(CASE WHEN violation_label = 'VIOLATION_PRESENT' THEN 'CONFIRMED_VIOLATION' ELSE 'CANDIDATE' END) AS s, max(protocol_status) AS d FROM c WHERE old GROUP BY 1),
         n AS (SELECT finding_group_id AS f, min(parameter_code) AS r, min(location) AS e, min(location_type) AS a FROM c WHERE NOT old GROUP BY 1),
         j AS (SELECT coalesce(n.f, o.f) AS finding_id, n.f IS NULL OR (o.s = 'CONFIRMED_VIOLATION' AND o.r IS NOT DISTINCT FROM n.r AND o.e IS NOT DISTINCT FROM n.e AND o.a IS NOT DISTINCT FROM n.a) AS keep, n.f IS NULL AS gone, o.r, o.e, o.a, o.s, o.d, n.r AS r2, n.e AS e2, n.a AS a2 FROM o FULL JOIN n ON o.f = n.f)

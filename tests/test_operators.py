@@ -470,3 +470,14 @@ def test_steps_and_trials(spark):
     assert eventlog.log_verdict(events.limit(0)).first().measured is False
     five = spark.createDataFrame([(u, 2, 60.0, True, True) for u in "abcde"], "user_id string, max_clicks int, seconds double, within_time boolean, within_clicks boolean")
     assert eventlog.usability_verdict(five, "user_id").first().passes and not eventlog.usability_verdict(five.limit(4), "user_id").first().passes
+
+
+def test_rule_halts(spark):
+    """The first halt in order wins, null facts don't hold, and a rule may rename a status."""
+    row = F.create_map(F.lit("reads_disagree"), F.lit("SUSPICION"))
+    got = one(spark, cascade.rule_halt({"one_file": F.lit(True), "reads_disagree": F.lit(True), "identity_missing": F.lit(None).cast("boolean")}, row), v=0)
+    assert tuple(got) == ("reads_disagree", "L2", "SUSPICION")
+    assert tuple(one(spark, cascade.rule_halt({name: F.lit(True) for name, *_ in cascade.RULE_HALTS}), v=0)) == ("extractor_unsupported", "L6", "CLARIFICATION_REQUIRED")
+    assert one(spark, cascade.rule_halt({"unpaired": F.lit(False)}), v=0) is None
+    with pytest.raises(ValueError):
+        cascade.rule_halt({"nonsense": F.lit(True)})
