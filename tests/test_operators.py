@@ -481,3 +481,12 @@ def test_rule_halts(spark):
     assert one(spark, cascade.rule_halt({"unpaired": F.lit(False)}), v=0) is None
     with pytest.raises(ValueError):
         cascade.rule_halt({"nonsense": F.lit(True)})
+
+
+def test_every_injection_pattern_in_odd_spellings(spark):
+    """The phrases of the query, one for each pattern, in capitals and with odd blanks and letters, are found as they are."""
+    from pagelens.plans.records import PHRASES
+
+    rows = [(t, k) for p, k in PHRASES for t in (p, p.upper(), f"x  {p}", p.replace(" ", "\u00a0\n"), p.replace("s", "ſ"))]
+    got = spark.createDataFrame(rows, "t string, k string").select("t", "k", intake.scan_injection(F.col("t"))["kind"].alias("g")).collect()
+    assert [(r.t, r.k, r.g) for r in got if r.k != r.g] == []
