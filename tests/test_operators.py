@@ -490,3 +490,36 @@ def test_every_injection_pattern_in_odd_spellings(spark):
     rows = [(t, k) for p, k in PHRASES for t in (p, p.upper(), f"x  {p}", p.replace(" ", "\u00a0\n"), p.replace("s", "ſ"))]
     got = spark.createDataFrame(rows, "t string, k string").select("t", "k", intake.scan_injection(F.col("t"))["kind"].alias("g")).collect()
     assert [(r.t, r.k, r.g) for r in got if r.k != r.g] == []
+
+
+def shuffled_rows(spark):
+    """Rows that all stages so far wrote to shuffles."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_page_pairs_are_not_shuffled(spark):
+    """Two stages of 1,200 pages with the same room: 1,440,000 pairs, of which none goes through a shuffle."""
+    pages = spark.range(1200).select(F.lit(1).alias("object_id"), F.col("id").alias("page"), F.array(F.lit("101")).alias("rooms"))
+    before = shuffled_rows(spark)
+    got = extract.page_pairs(pages, pages, ["object_id"]).agg(F.count("*").alias("n"), F.sum("pd_page").alias("p"), F.sum("rd_page").alias("r"), F.min("overlap").alias("o")).first()
+    assert tuple(got) == (1200 * 1200, 1200 * 1200 * 1199 // 2, 1200 * 1200 * 1199 // 2, 1.0)
+    assert shuffled_rows(spark) - before < 20_000
+
+
+@pytest.mark.parametrize("least", [0.25, 0.5, 2 / 3, 1.0])
+def test_page_pairs_equal_all_pairs(spark, monkeypatch, least):
+    """Every pair of overlapping sets once, whatever rooms they share and however many tiles a room has."""
+    monkeypatch.setattr(extract, "TILE", 7)
+    rng = random.Random(5)
+
+    def pages(shift):
+        rows = [(rng.randrange(2), shift + i, [rng.choice("aaabcdefgh") for _ in range(rng.randrange(6))]) for i in range(150)]
+        return [*rows, (0, shift + 900, None), (None, shift + 901, ["a"])]
+
+    a, b = pages(0), pages(1000)
+    want = sorted((k, p, r, len({*x} & {*y}) / len({*x} | {*y})) for k, p, x in a for m, r, y in b if k == m and k is not None and x and y and len({*x} & {*y}) / len({*x} | {*y}) >= least)
+    schema = "object_id int, page int, rooms array<string>"
+    got = extract.page_pairs(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), ["object_id"], least).collect()
+    assert sorted(map(tuple, got)) == want and want
